@@ -35,7 +35,7 @@ def closing_refs(text: Column | str) -> Column:
     """
     found = F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))),
                                  F.lit(CLOSING_REF_PATTERN), 1)
-    return F.transform(found, lambda s: s.cast("bigint"))
+    return F.transform(found, lambda s: s.try_cast("bigint"))
 
 
 def first_ref(text: Column | str) -> Column:
@@ -49,5 +49,5 @@ def choose_link(*candidates: Column) -> Column:
 
 
 def number_from_url(url: Column | str) -> Column:
-    """H3: trailing number of a URL (``.../pull/17`` -> 17)."""
-    return F.substring_index(_c(url), "/", -1).cast("bigint")
+    """H3: trailing number of a URL (``.../pull/17`` -> 17); NULL when not a number."""
+    return F.substring_index(_c(url), "/", -1).try_cast("bigint")

@@ -37,7 +37,7 @@ def collapse_whitespace(col: Column | str) -> Column:
 
 
 def split_identifier(col: Column | str, keep_capital_runs: bool = False) -> Column:
-    """H9: put a break before each capital, split on ``_``, join by spaces.
+    """H9: put ``_`` before each capital, split on ``_``, drop empty parts, join by spaces.
 
     Case is kept; with the default a run of capitals falls apart into single
     letters (``HTTPServer`` -> ``H T T P Server``).  ``keep_capital_runs``
@@ -49,7 +49,7 @@ def split_identifier(col: Column | str, keep_capital_runs: bool = False) -> Colu
         c = F.regexp_replace(c, r"(\p{Ll}|\p{N})(\p{Lu})", "$1_$2")
     else:
         c = F.regexp_replace(c, UPPER_PATTERN, "_$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "_+", " "), " +", " "))
+    return F.array_join(F.filter(F.split(c, "_"), lambda s: s != ""), " ")
 
 
 def find_acronyms(col: Column | str) -> Column:
@@ -64,9 +64,10 @@ def is_all_caps(col: Column | str) -> Column:
 
 
 def lines(col: Column | str) -> Column:
-    """Lines of a text, stripped, empty trailing line dropped."""
+    """Lines of a text, each stripped of surrounding whitespace; empty lines dropped."""
     parts = F.split(F.regexp_replace(_c(col), r"\r\n", "\n"), "\n")
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
+    stripped = F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    return F.filter(stripped, lambda s: s != "")
 
 
 def issue_text(title: Column | str, body: Column | str) -> Column:

@@ -18,7 +18,7 @@ def _tf_sql(tbl: str, key: str) -> str:
             f"(SELECT {key}, unnest({TOK}) AS term FROM {tbl}) GROUP BY {key}, term")
 
 
-def _pair_scores_sql(qt: str, qk: str, ut: str, uk: str) -> str:
+def pair_scores_sql(qt: str, qk: str, ut: str, uk: str) -> str:
     return f"""
 q AS ({_tf_sql(qt, qk)}),
 u AS ({_tf_sql(ut, uk)}),
@@ -34,7 +34,7 @@ s AS (SELECT p.{qk}, p.{uk},
 
 
 @register("tfidf_topk", sql=f"""
-WITH {_pair_scores_sql('benchmark', 'item_id', 'documents', 'doc_id')},
+WITH {pair_scores_sql('benchmark', 'item_id', 'documents', 'doc_id')},
 r AS (SELECT item_id, doc_id, score,
              CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
       FROM s)
@@ -47,7 +47,7 @@ def tfidf_topk(spark, sf_dir):
 
 
 @register("tfidf_all_scores", sql=f"""
-WITH {_pair_scores_sql('benchmark', 'item_id', 'documents', 'doc_id')}
+WITH {pair_scores_sql('benchmark', 'item_id', 'documents', 'doc_id')}
 SELECT item_id, doc_id, score,
        CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
 FROM s

@@ -32,7 +32,9 @@ def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 def load_all() -> None:
     """Import the modules that register queries (idempotent)."""
     from . import (  # noqa: F401
+        queries_catalog,
         queries_links,
+        queries_search,
         queries_similarity,
     )
 

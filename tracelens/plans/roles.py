@@ -73,29 +73,64 @@ def pull_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.expr(COMMENT_BODY_SQL).alias("body"))
 
 
+ISSUE_TITLE_SQL = "'Issue ' || CAST(o_orderkey AS STRING)"
+ISSUE_BODY_SQL = "CASE WHEN o_orderkey % 4 <> 0 THEN 'Priority ' || o_orderpriority END"
+
+
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues: ``(repo_id, number, title, body, state, created_at)``."""
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_custkey").alias("repo_id"),
         F.col("o_orderkey").alias("number"),
-        F.concat(F.lit("Issue "), F.col("o_orderkey").cast("string")).alias("title"),
-        F.when(F.col("o_orderkey") % 4 != 0,
-               F.concat(F.lit("Priority "), F.col("o_orderpriority"))).alias("body"),
+        F.expr(ISSUE_TITLE_SQL).alias("title"),
+        F.expr(ISSUE_BODY_SQL).alias("body"),
         F.col("o_orderstatus").alias("state"),
         F.col("o_orderdate").alias("created_at"),
     )
 
 
-def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repositories: ``(repo_id, full_name, description, language, stars, size, url)``."""
+# Repository columns derived from a customer row (shared with the oracle).
+REPO_COLS_SQL = {
+    "repo_id": "c_custkey",
+    "full_name": "'acme/' || c_name",
+    "description": "'Segment ' || c_mktsegment",
+    "language": "c_mktsegment",
+    "stars": "CAST(floor(c_acctbal) AS BIGINT)",
+    "size": "CAST(c_nationkey AS BIGINT) * 1000",
+    "forks": "CAST(floor(abs(c_acctbal) / 10) AS BIGINT)",
+    "subscribers": "CAST(c_nationkey AS BIGINT) + 1",
+    "private": "false",
+    "archived": "c_acctbal < 0",
+    "url": "'https://code.example.com/acme/' || c_name",
+}
+
+
+def repositories(spark: SparkSession, sf_dir: str, with_pushed_at: bool = False) -> DataFrame:
+    """Repositories with the searchable attributes of the reference's exports.
+
+    ``pushed_at`` (latest activity) is the newest order date of the customer,
+    a grouped aggregate joined on demand.
+    """
     c = table(spark, sf_dir, "customer")
-    return c.select(
-        F.col("c_custkey").alias("repo_id"),
-        F.concat(F.lit("acme/"), F.col("c_name")).alias("full_name"),
-        F.concat(F.lit("Segment "), F.col("c_mktsegment")).alias("description"),
-        F.col("c_mktsegment").alias("language"),
-        F.col("c_acctbal").alias("stars"),
-        F.col("c_nationkey").alias("size"),
-        F.concat(F.lit("https://code.example.com/acme/"), F.col("c_name")).alias("url"),
-    )
+    repos = c.select(*[F.expr(e).alias(n) for n, e in REPO_COLS_SQL.items()],
+                     F.array(F.lower("c_mktsegment"),
+                             F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string"))
+                             ).alias("topics"))
+    if with_pushed_at:
+        pushed = (table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("repo_id"))
+                  .agg(F.max("o_orderdate").alias("pushed_at")))
+        repos = repos.join(pushed, "repo_id", "left")
+    return repos
+
+
+def repos_cte_sql(with_pushed_at: bool = False) -> str:
+    cols = ", ".join(f"{e} AS {n}" for n, e in REPO_COLS_SQL.items())
+    cols += ", [lower(c_mktsegment), 'nation-' || CAST(c_nationkey AS STRING)] AS topics"
+    if with_pushed_at:
+        cols += ", (SELECT max(o_orderdate) FROM orders WHERE o_custkey = c_custkey) AS pushed_at"
+    return f"repos AS (SELECT {cols} FROM customer)"
+
+
+# Files of a repository tree and changed files of pull requests.
+FILE_PATH_SQL = "p_brand || '/' || replace(p_name, ' ', '_') || '.py'"
