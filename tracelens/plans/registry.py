@@ -36,6 +36,8 @@ def load_all() -> None:
         queries_links,
         queries_search,
         queries_similarity,
+        queries_snapshots,
+        queries_vectors,
     )
 
 
