@@ -37,6 +37,7 @@ def load_all() -> None:
         queries_search,
         queries_similarity,
         queries_snapshots,
+        queries_text,
         queries_vectors,
     )
 
