@@ -33,6 +33,7 @@ def load_all() -> None:
     """Import the modules that register queries (idempotent)."""
     from . import (  # noqa: F401
         queries_catalog,
+        queries_code,
         queries_links,
         queries_search,
         queries_similarity,
