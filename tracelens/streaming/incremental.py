@@ -36,7 +36,8 @@ def start_scoring(spark: SparkSession, issues_dir: str, unit_tf: DataFrame, resu
     otherwise the query keeps polling the folder.
     """
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
-    stream = spark.readStream.schema(ISSUE_TEXT_SCHEMA).parquet(issues_dir)
+    stream = (spark.readStream.schema(ISSUE_TEXT_SCHEMA)
+              .option("recursiveFileLookup", "true").parquet(issues_dir))
 
     def score_batch(batch: DataFrame, epoch_id: int) -> None:
         try:
