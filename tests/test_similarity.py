@@ -106,3 +106,26 @@ def test_cosine_requires_scope(spark):
     df = spark.createDataFrame([(1, [1.0])], "id long, vector array<double>")
     with pytest.raises(ValueError):
         sim.cosine_scores(df, df, [], "id", "id")
+
+
+def test_rank_all_hot_group_equals_row_number(spark):
+    """Full ranking without k: one group holds a third of the rows, scores tie."""
+    from pyspark.sql import Window
+
+    df = spark.range(0, 30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"),
+        F.col("id").alias("u"), (F.col("id") * 7919 % 11 / 10.0).alias("score"))
+    got = sim.rank_within(df.repartition(5), "g", "u", k=None)
+    w = Window.partitionBy("g").orderBy(F.col("score").desc(), "u")
+    want = df.withColumn("rank", F.row_number().over(w))
+    assert got.schema["rank"].dataType == want.schema["rank"].dataType
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    # the hot group is spread over several range partitions (AQE would merge
+    # partitions this small, so coalescing is off for the check)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = sim.rank_within(df, "g", "u", k=None).where("g = 0")
+        segs = hot.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert segs > 1

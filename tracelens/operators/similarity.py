@@ -142,12 +142,48 @@ def rank_within(scores: DataFrame, group: Sequence[str] | str, tiebreak: Sequenc
     """Rank 1.. by score descending, ties by ``tiebreak`` ascending.
 
     With ``k`` only the first k per group are kept (Catalyst plans the filter
-    as a partial ``WindowGroupLimit`` ahead of the shuffle).
+    as a partial ``WindowGroupLimit`` ahead of the shuffle, so a group sends at
+    most k rows per map task).  Without ``k`` the whole ranking is needed and a
+    window would hold a group in one task; ``rank_all`` spreads it instead.
     """
+    if k is None:
+        return rank_all(scores, group, tiebreak, score_col, rank_col)
     w = Window.partitionBy(*_cols(group)).orderBy(
         F.col(score_col).desc(), *[F.col(c).asc() for c in _cols(tiebreak)])
-    ranked = scores.withColumn(rank_col, F.row_number().over(w))
-    return ranked.where(F.col(rank_col) <= k) if k is not None else ranked
+    return scores.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+
+
+def rank_all(scores: DataFrame, group: Sequence[str] | str, tiebreak: Sequence[str] | str,
+             score_col: str = "score", rank_col: str = "rank") -> DataFrame:
+    """E1 over whole groups, skew-proof: the same ranks as ``row_number``.
+
+    Rows are range-partitioned and sorted on ``(group, score desc, tiebreak)``,
+    so one large group spans many tasks.  Each row's position in its sorted
+    partition comes from ``monotonically_increasing_id`` (partition id in the
+    upper bits); the ranked rows are checkpointed so the positions are fixed.
+    A summary with one row per (group, partition) gives each segment's first
+    position and the number of rows of the same group in earlier partitions;
+    rank = position - segment start + 1 + earlier rows.  The summary has at
+    most (groups + partitions) rows and is broadcast after measuring it.
+    """
+    g = _cols(group)
+    order = [F.col(c) for c in g] + [F.col(score_col).desc()] + [F.col(c).asc() for c in _cols(tiebreak)]
+    ranged = (scores.repartitionByRange(*order).sortWithinPartitions(*order)
+                    .withColumn("__pos", F.monotonically_increasing_id())
+                    .checkpoint(eager=True)
+                    .withColumn("__seg", F.shiftright("__pos", 33)))
+    segs = ranged.groupBy(*g, "__seg").agg(F.min("__pos").alias("__start"),
+                                           F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*g).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+    segs = segs.select(*g, "__seg", "__start",
+                       F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    n_segs = segs.count()
+    if n_segs * (16 * len(g) + 48) <= broadcast_limit(scores.sparkSession):
+        segs = F.broadcast(segs)
+    rank = (F.col("__pos") - F.col("__start") + F.col("__before") + 1).cast("int")
+    return (ranged.join(segs, g + ["__seg"])
+                  .withColumn(rank_col, rank)
+                  .drop("__pos", "__seg", "__start", "__before"))
 
 
 def tfidf_top_k(queries: DataFrame, units: DataFrame, query_key: str | Sequence[str],
