@@ -121,3 +121,15 @@ def test_stream_scores_once(spark, tmp_dir):
     q.awaitTermination(120)
     got = sorted((r.issue_id, r.unit_id) for r in spark.read.parquet(results).collect())
     assert got == [(1, "u1"), (2, "u2")]
+
+
+def test_score_with_embedding_scorer(spark, tmp_dir, exports):
+    from tracelens.operators import features as fs
+
+    root = f"{tmp_dir}/store_emb"
+    jobs.ingest(spark, {k: v for k, v in exports.items() if k != "snapshot_dir"}, root)
+    tree = sf.read_source_tree(spark, exports["snapshot_dir"], 1, "s1")
+    res = jobs.score_issues(spark, root, tree, k=2, scorer="embedding",
+                            encoder=fs.hashing_encoder(64)).collect()
+    assert sorted((r.issue_number, r.rank) for r in res) == [(10, 1), (10, 2), (11, 1), (11, 2)]
+    assert all(r.file_id is not None and -1.0 <= r.score <= 1.0 for r in res)

@@ -63,3 +63,48 @@ def test_hashing_encoder(spark):
     out = df.select(fs.encode("t", fs.hashing_encoder(16)).alias("v")).collect()
     assert len(out[0].v) == 16 and sum(abs(x) for x in out[0].v) == 2.0
     assert sum(abs(x) for x in out[1].v) == 0.0
+
+
+def test_paths_top_k_pruning_equals_full_ranking(spark):
+    """Blobs cut to rank() <= k before the path join give the same top k as ranking every path."""
+    from tracelens.operators import similarity as sim
+
+    # blob b0..b7; several share a score; b1 and b5 have three and two paths
+    blob_scores = spark.createDataFrame(
+        [("s", q, f"b{b}", sc) for q in (1, 2)
+         for b, sc in enumerate([0.9, 0.5, 0.5, 0.5, 0.4, 0.9, 0.1, 0.5])],
+        "snap string, q long, blob_sha string, score double")
+    manifest = spark.createDataFrame(
+        [("s", "z/only0.py", "b0"), ("s", "a/x.py", "b1"), ("s", "m/x.py", "b1"), ("s", "c/x.py", "b1"),
+         ("s", "b/y.py", "b2"), ("s", "y/z.py", "b3"), ("s", "k.py", "b4"), ("s", "e.py", "b5"),
+         ("s", "d.py", "b5"), ("s", "n.py", "b6"), ("s", "aa.py", "b7"), ("t", "other.py", "b0")],
+        "snap string, path string, blob_sha string")
+    full = blob_scores.join(manifest, ["snap", "blob_sha"])
+    w = Window.partitionBy("snap", "q").orderBy(F.col("score").desc(), "path")
+    for k in (1, 2, 3, 4, 6):
+        got = sim.paths_top_k(blob_scores, manifest, ["snap"], "q", k)
+        want = (full.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                    .select("snap", "q", "path", "score", "rank"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), k
+    everything = sim.paths_top_k(blob_scores, manifest, ["snap"], "q", None)
+    assert everything.count() == 2 * 11
+
+
+def test_cosine_paths_top_k(spark):
+    """The embedding scorer ranks per distinct content and maps back to every path."""
+    from tracelens.operators import similarity as sim
+
+    enc = fs.hashing_encoder(64)
+    import pandas as pd
+    texts = ["login user password", "export report rows", "login user password"]
+    vecs = [list(map(float, v)) for v in enc(pd.Series(texts))]
+    units = spark.createDataFrame([("s", "b0", vecs[0]), ("s", "b1", vecs[1])],
+                                  "snap string, blob_sha string, vector array<double>")
+    qv = spark.createDataFrame([("s", 1, vecs[2])], "snap string, q long, vector array<double>")
+    manifest = spark.createDataFrame([("s", "app/login.py", "b0"), ("s", "copy/login.py", "b0"),
+                                      ("s", "app/report.py", "b1")],
+                                     "snap string, path string, blob_sha string")
+    scores = sim.cosine_scores(qv, units, ["snap"], "q", "blob_sha")
+    got = [(r.path, r.rank) for r in sim.paths_top_k(scores, manifest, ["snap"], "q", 2)
+           .orderBy("rank").collect()]
+    assert got == [("app/login.py", 1), ("copy/login.py", 2)]

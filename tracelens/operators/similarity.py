@@ -203,6 +203,48 @@ def tfidf_top_k(queries: DataFrame, units: DataFrame, query_key: str | Sequence[
     return rank_within(scores, sc + qk, uk, k)
 
 
+def snapshot_top_k(query_tf: DataFrame, blob_tf: DataFrame, manifest: DataFrame,
+                   scope: Sequence[str] | str, query_key: Sequence[str] | str, k: int | None,
+                   path: str = "path", blob: str = "blob_sha",
+                   digits: int | None = 6) -> DataFrame:
+    """K4 + J5 + F2 over content ids: each query against the files of its scope.
+
+    ``query_tf`` are the queries' postings with the scope columns;
+    ``blob_tf(blob, term, tf)`` are postings per distinct content id, computed
+    once however many snapshots hold the content; ``manifest(scope..., path,
+    blob)`` lists the files.  Pairs are scored per (query, distinct blob of
+    its scope), then mapped to paths by ``paths_top_k``.
+    Returns ``(scope..., query_key..., path, score, rank)``.
+    """
+    sc = _cols(scope)
+    units = manifest.select(*sc, blob).distinct().join(blob_tf, blob)
+    scores = tfidf_pair_scores(query_tf, units, query_key, blob, sc)
+    if digits is not None:
+        scores = scores.withColumn("score", F.round("score", digits))
+    return paths_top_k(scores, manifest, sc, query_key, k, path, blob)
+
+
+def paths_top_k(blob_scores: DataFrame, manifest: DataFrame, scope: Sequence[str] | str,
+                query_key: Sequence[str] | str, k: int | None, path: str = "path",
+                blob: str = "blob_sha") -> DataFrame:
+    """Rank the paths of each query's scope by the score of their content.
+
+    ``blob_scores(scope..., query_key..., blob, score)``.  With ``k``, blobs
+    are first cut to ``rank() <= k`` per query (ties kept): every blob has at
+    least one path, so a blob with k strictly better blobs cannot place a
+    path in the top k, and only about k rows per query reach the join with
+    the manifest instead of every scored pair.
+    """
+    sc, qk = _cols(scope), _cols(query_key)
+    group = sc + [c for c in qk if c not in sc]
+    if k is not None:
+        w = Window.partitionBy(*group).orderBy(F.col("score").desc())
+        blob_scores = (blob_scores.withColumn("__r", F.rank().over(w))
+                                  .where(F.col("__r") <= k).drop("__r"))
+    paths = blob_scores.join(manifest.select(*sc, blob, path), sc + [blob])
+    return rank_within(paths, group, path, k).select(*group, path, "score", "rank")
+
+
 # ---------------------------------------------------------------------------
 # Dense vectors
 # ---------------------------------------------------------------------------

@@ -120,16 +120,22 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
     store.append(new, root, "feature")
     feats = feats.unionByName(new)
 
-    units = manifest.join(feats.select("blob_sha", "text", "vector"), "blob_sha")
     scope = ["repo_id", "snapshot_sha"]
+    # Only the snapshots that pending issues point at are scored.
+    manifest = manifest.join(queries.select(*scope).distinct(), scope, "left_semi")
     if scorer == "tfidf":
+        # Postings per distinct content id, shared by every snapshot holding it.
+        texts = feats.select("blob_sha", "text").join(
+            manifest.select("blob_sha").distinct(), "blob_sha", "left_semi")
+        blob_tf = sim.term_counts(texts.dropDuplicates(["blob_sha"]), "blob_sha")
         q_tf = sim.term_counts(queries, "issue_number", scope=scope)
-        u_tf = sim.term_counts(units, "path", scope=scope)
-        scores = sim.tfidf_pair_scores(q_tf, u_tf, "issue_number", "path", scope)
+        ranked = sim.snapshot_top_k(q_tf, blob_tf, manifest, scope, "issue_number", k, digits=None)
     else:
+        units = (manifest.select(*scope, "blob_sha").distinct()
+                         .join(feats.select("blob_sha", "vector").dropDuplicates(["blob_sha"]), "blob_sha"))
         qv = queries.withColumn("vector", fs.encode("text", encoder))
-        scores = sim.cosine_scores(qv, units, scope, "issue_number", "path", "vector", "vector")
-    ranked = sim.rank_within(scores, ["repo_id", "issue_number"], "path", k)
+        scores = sim.cosine_scores(qv, units, scope, "issue_number", "blob_sha", "vector", "vector")
+        ranked = sim.paths_top_k(scores, manifest, scope, "issue_number", k)
     files = store.read(spark, root, "git_file")
     result = cat.attach_file_ids(ranked, files).select("repo_id", "issue_number", "rank", "path",
                                                        "file_id", "score")

@@ -39,11 +39,22 @@ def _block(line: Column, i: Column) -> Column:
     return F.when(i % 3 == 0, top).when(i % 3 == 1, asyn).otherwise(klass)
 
 
+def module_ids(spark, sf_dir):
+    """``(doc_id, blob_sha)``: the content id of each document's module.
+
+    A module is a deterministic function of its document's text, so the hash
+    of the text identifies it; mapping files to parsed content needs no
+    module text.
+    """
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.sha1("text").alias("blob_sha"))
+
+
 def modules(spark, sf_dir):
     """``(doc_id, blob_sha, source)``: one generated module per document."""
     d = table(spark, sf_dir, "documents")
     src = F.array_join(F.transform(ft.lines("text"), lambda l, i: _block(l, i)), "")
-    return d.select("doc_id", src.alias("source")).withColumn("blob_sha", F.sha1("source"))
+    return d.select("doc_id", F.sha1("text").alias("blob_sha"), src.alias("source"))
 
 
 _DUCK_LINES = (r"list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), "
@@ -65,9 +76,8 @@ FROM f
 """)
 def func_names(spark, sf_dir):
     """I1 + H8: functions of every module; the name read back from the re-printed source."""
-    mods = modules(spark, sf_dir)
-    funcs = cu.extract_functions(mods)
-    return (mods.select("doc_id", "blob_sha").join(funcs, "blob_sha")
+    funcs = cu.extract_functions(modules(spark, sf_dir))
+    return (module_ids(spark, sf_dir).join(funcs, "blob_sha")
                 .select("doc_id", "qualname", "name", "lineno",
                         fp.function_name("source").alias("src_name")))
 
@@ -83,6 +93,5 @@ FILE_TEXT_SQL = (
 @register("file_text", sql=FILE_TEXT_SQL)
 def file_text(spark, sf_dir):
     """I2 + B13 + H9 + H10: descriptive text of every module (names split, docstrings kept)."""
-    mods = modules(spark, sf_dir)
-    texts = cu.code_text(mods)
-    return mods.select("doc_id", "blob_sha").join(texts, "blob_sha").select("doc_id", "text")
+    texts = cu.code_text(modules(spark, sf_dir))
+    return module_ids(spark, sf_dir).join(texts, "blob_sha").select("doc_id", "text")

@@ -176,15 +176,9 @@ def snapshot_scores(spark, sf_dir):
     manifest = _snapshot_manifest(spark, sf_dir)
     blobs = manifest.select("blob_sha", "text").dropDuplicates(["blob_sha"])
     blob_tf = sim.term_counts(blobs, "blob_sha")
-    units = sn.manifest_units(manifest, ["snapshot"])
-    unit_tf = units.join(blob_tf, "blob_sha")
-    issues = _issues(spark, sf_dir)
-    q_tf = sim.term_counts(issues, "item_id", scope=["snapshot"])
-    scores = sim.tfidf_pair_scores(q_tf, unit_tf, "item_id", "blob_sha", scope=["snapshot"])
-    scores = scores.withColumn("score", F.round("score", 6))
-    paths = manifest.select("snapshot", "blob_sha", "path")
-    ranked = sim.rank_within(scores.join(paths, ["snapshot", "blob_sha"]), "item_id", "path", k=3)
-    return ranked.select("snapshot", "item_id", "path", "score", "rank")
+    q_tf = sim.term_counts(_issues(spark, sf_dir), "item_id", scope=["snapshot"])
+    return sim.snapshot_top_k(q_tf, blob_tf, manifest, ["snapshot"], "item_id", k=3).select(
+        "snapshot", "item_id", "path", "score", "rank")
 
 
 @register("base_sha_chain", sql=f"""
