@@ -31,6 +31,11 @@ def tokenize(col: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_c(col)), F.lit(TOKEN_PATTERN), 0)
 
 
+def token_count(col: Column | str) -> Column:
+    """Number of H14 tokens, counted without building the token array."""
+    return F.regexp_count(F.lower(_c(col)), F.lit(TOKEN_PATTERN))
+
+
 def collapse_whitespace(col: Column | str) -> Column:
     """``" ".join(s.split())``."""
     return F.trim(F.regexp_replace(_c(col), WHITESPACE_PATTERN, " "))

@@ -1,4 +1,4 @@
-"""Pull request -> issue links.
+"""Pull request -> issue links.
 
 The reference reads each pull request's title, body and review comments,
 extracts closing references and keeps one issue number per pull request:
@@ -94,6 +94,16 @@ def merged_and_linked(pulls: DataFrame, merged: str = "merged_at", link: str = "
     return pulls.where(F.col(merged).isNotNull() & F.col(link).isNotNull())
 
 
+def in_creation_order(pulls: DataFrame, created: str = "created_at",
+                      number: str = "number") -> DataFrame:
+    """pull requests oldest first (``sort:created-asc``), ties by number.
+
+    A global sort: Spark range-partitions on the sort key, so it scales with
+    the data and needs no single task to hold all rows.
+    """
+    return pulls.orderBy(F.col(created).asc_nulls_last(), F.col(number).asc())
+
+
 def first_pull_per_issue(resolved: DataFrame, issue_key: Sequence[str] | str,
                          order: Sequence[str] | str, pull: str) -> DataFrame:
     """The first pull request (by ``order``) reaching each issue.

@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,10 @@ from ..sources import exports as ex
 from ..sources import store
 
 
+# A scorer maps (queries, units) to scores per (scope, issue, content id).
+Scorer = Callable[[DataFrame, DataFrame], DataFrame]
+
+
 def find_repositories(repos: DataFrame, linked_pulls: DataFrame, min_stars: float,
                       language: str, limit: int | None) -> DataFrame:
     """find-repo: ``FullName, Stars, Issues, Size, Url`` of the matching repositories."""
@@ -77,9 +83,17 @@ def ingest(spark: SparkSession, exports: dict[str, str], root: str) -> dict[str,
 
 
 def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10,
-                 scorer: str = "tfidf", encoder: fs.Encoder | None = None) -> DataFrame:
+                 scorer: str | Scorer = "tfidf", encoder: fs.Encoder | None = None) -> DataFrame:
     """semantic-test-repo: top-k files per pending issue, appended to ``result``.
 
+    ``scorer`` is ``"tfidf"`` (pairwise TF-IDF cosine), ``"embedding"``
+    (cosine of ``encoder`` vectors) or a function (U3)
+    ``scorer(queries, units) -> (repo_id, snapshot_sha, issue_number, blob_sha, score)``
+    over ``queries(repo_id, snapshot_sha, issue_number, text)`` and
+    ``units(repo_id, snapshot_sha, blob_sha, text)``, the distinct contents
+    of each issue's snapshot with their descriptive text.  It should stay a
+    join on the scope (no cross join).
+
     ``sources(repo_id, snapshot_sha, path, blob_sha, source)`` holds the
     snapshots (e.g. ``read_source_tree``).  Each issue is scored against the
     snapshot named by its pull request's base commit (K4).  Issues already in
@@ -103,10 +117,11 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
     manifest = sources.select("repo_id", "snapshot_sha", "path", "blob_sha")
 
     # K1: features only for content not seen before.
-    feats = store.read(spark, root, "feature").where(F.col("kind") == F.lit(scorer))
+    kind = scorer if scorer == "embedding" else "tfidf"  # custom scorers use the text features
+    feats = store.read(spark, root, "feature").where(F.col("kind") == F.lit(kind))
     todo = sources.join(fs.misses(sources, feats, "blob_sha"), "blob_sha", "left_semi")
     texts = cu.code_text(todo)
-    if scorer == "tfidf":
+    if kind == "tfidf":
         new = texts.select("blob_sha", F.lit("").alias("unit"), F.lit("tfidf").alias("kind"),
                            F.lit("1").alias("version"), F.lit(None).cast("array<float>").alias("vector"),
                            "text")
@@ -130,6 +145,11 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
         blob_tf = sim.term_counts(texts.dropDuplicates(["blob_sha"]), "blob_sha")
         q_tf = sim.term_counts(queries, "issue_number", scope=scope)
         ranked = sim.snapshot_top_k(q_tf, blob_tf, manifest, scope, "issue_number", k, digits=None)
+    elif callable(scorer):
+        units = (manifest.select(*scope, "blob_sha").distinct()
+                         .join(feats.select("blob_sha", "text").dropDuplicates(["blob_sha"]), "blob_sha"))
+        scores = scorer(queries, units).select(*scope, "issue_number", "blob_sha", "score")
+        ranked = sim.paths_top_k(scores, manifest, scope, "issue_number", k)
     else:
         units = (manifest.select(*scope, "blob_sha").distinct()
                          .join(feats.select("blob_sha", "vector").dropDuplicates(["blob_sha"]), "blob_sha"))

@@ -121,15 +121,17 @@ def pr_unresolved(spark, sf_dir):
 
 @register("linked_merged_pulls", sql=f"""
 WITH {LINKED_CTE}
-SELECT repo_id, number, link FROM lp
+SELECT repo_id, number, link, created_at FROM lp
 WHERE merged_at IS NOT NULL AND link IS NOT NULL
   AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = lp.repo_id AND o.o_orderkey = lp.link)
+ORDER BY created_at, number
 """)
 def linked_merged_pulls(spark, sf_dir):
-    """Merged pull requests linked to an existing issue."""
+    """B3 + F4: merged pull requests linked to an existing issue, oldest first."""
     merged = lk.merged_and_linked(linked_pulls(spark, sf_dir))
-    return (lk.resolve_links(merged, roles.issues(spark, sf_dir), how="left_semi")
-              .select("repo_id", "number", "link"))
+    found = (lk.resolve_links(merged, roles.issues(spark, sf_dir), how="left_semi")
+               .select("repo_id", "number", "link", "created_at"))
+    return lk.in_creation_order(found)
 
 
 @register("first_pr_per_issue", sql=f"""

@@ -79,8 +79,8 @@ def _store(spark, sf_dir):
 
 
 def _features(docs):
-    from ..functions.text import tokenize
-    return docs.select(F.md5("text").alias("blob_sha"), F.size(tokenize("text")).alias("n_tokens"))
+    from ..functions.text import token_count
+    return docs.select(F.md5("text").alias("blob_sha"), token_count("text").alias("n_tokens"))
 
 
 def _units(spark, sf_dir):

@@ -122,7 +122,7 @@ WHERE len({TOKEN_SQL}) > {MAX_TOKENS}
 def overlength(spark, sf_dir):
     """B14 (re-aimed): files whose token count exceeds the model's input length."""
     d = table(spark, sf_dir, "documents")
-    n = F.size(ft.tokenize("text"))
+    n = ft.token_count("text")
     return d.where(n > MAX_TOKENS).select("doc_id", n.alias("n_tokens"))
 
 
