@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..functions.vectors import dot, norm
-from ..session import broadcast_limit
+from ..session import broadcast_limit, materialize
 
 # Fixed value: squared idf of a term found in only one of the two texts.
 IDF_SINGLE = 1.0 + math.log(1.5)
@@ -157,28 +157,34 @@ def rank_all(scores: DataFrame, group: Sequence[str] | str, tiebreak: Sequence[s
              score_col: str = "score", rank_col: str = "rank") -> DataFrame:
     """E1 over whole groups, skew-proof: the same ranks as ``row_number``.
 
-    Rows are range-partitioned and sorted on ``(group, score desc, tiebreak)``,
-    so one large group spans many tasks.  Each row's position in its sorted
-    partition comes from ``monotonically_increasing_id`` (partition id in the
-    upper bits); the ranked rows are checkpointed so the positions are fixed.
-    A summary with one row per (group, partition) gives each segment's first
-    position and the number of rows of the same group in earlier partitions;
-    rank = position - segment start + 1 + earlier rows.  The summary has at
-    most (groups + partitions) rows and is broadcast after measuring it.
+    The scores are written once (Parquet under the shared checkpoint folder),
+    so the expensive pair computation is not repeated by the range sampler or
+    after a lost executor.  Rows are then range-partitioned and sorted on
+    ``(group, score desc, tiebreak)``, so one large group spans many tasks;
+    each row's position in its sorted partition comes from
+    ``monotonically_increasing_id`` (partition id in the upper bits).  The input
+    is fixed and the order total, so positions are the same on every
+    evaluation.  A summary with one row per (group, partition) gives each
+    segment's first position and the number of rows of the same group in
+    earlier partitions; rank = position - segment start + 1 + earlier rows.
+    The summary has at most (groups + partitions) rows; it is broadcast when
+    that bound, counted on the written scores, is under the broadcast limit.
     """
     g = _cols(group)
     order = [F.col(c) for c in g] + [F.col(score_col).desc()] + [F.col(c).asc() for c in _cols(tiebreak)]
-    ranged = (scores.repartitionByRange(*order).sortWithinPartitions(*order)
-                    .withColumn("__pos", F.monotonically_increasing_id())
-                    .checkpoint(eager=True)
-                    .withColumn("__seg", F.shiftright("__pos", 33)))
+    spark = scores.sparkSession
+    base = materialize(scores, "scores")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (base.repartitionByRange(*order).sortWithinPartitions(*order)
+                  .withColumn("__pos", F.monotonically_increasing_id())
+                  .withColumn("__seg", F.shiftright("__pos", 33)))
     segs = ranged.groupBy(*g, "__seg").agg(F.min("__pos").alias("__start"),
                                            F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*g).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
     segs = segs.select(*g, "__seg", "__start",
                        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    n_segs = segs.count()
-    if n_segs * (16 * len(g) + 48) <= broadcast_limit(scores.sparkSession):
+    bound = base.select(*g).distinct().count() + n_parts
+    if bound * (16 * len(g) + 48) <= broadcast_limit(spark):
         segs = F.broadcast(segs)
     rank = (F.col("__pos") - F.col("__start") + F.col("__before") + 1).cast("int")
     return (ranged.join(segs, g + ["__seg"])
