@@ -108,3 +108,50 @@ def test_cosine_paths_top_k(spark):
     got = [(r.path, r.rank) for r in sim.paths_top_k(scores, manifest, ["snap"], "q", 2)
            .orderBy("rank").collect()]
     assert got == [("app/login.py", 1), ("copy/login.py", 2)]
+
+
+def test_salted_join_equals_plain_join_with_hot_copies(spark):
+    """One blob held by a third of the units is spread over salts; the join result is unchanged."""
+    from tracelens.operators.joins import hot_keys, salted_join
+
+    units = spark.range(0, 3000).select(
+        F.concat(F.lit("snap"), (F.col("id") % 1000).cast("string")).alias("snap"),
+        F.when(F.col("id") < 1000, F.lit("hot")).otherwise(
+            F.concat(F.lit("b"), (F.col("id") % 97).cast("string"))).alias("blob_sha")).distinct()
+    postings = spark.range(0, 97).select(
+        F.concat(F.lit("b"), F.col("id").cast("string")).alias("blob_sha"),
+        F.lit("term").alias("term"), F.col("id").alias("tf")).unionByName(
+        spark.createDataFrame([("hot", "licence", 3), ("hot", "copyright", 1)],
+                              "blob_sha string, term string, tf long"))
+    hot = {r["blob_sha"]: r["__salts"] for r in hot_keys(units, "blob_sha", 100).collect()}
+    assert hot == {"hot": 10}
+    got = salted_join(units, postings, "blob_sha", limit=100)
+    want = units.join(postings, "blob_sha")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert sorted(got.columns) == sorted(want.columns)
+
+
+def test_snapshot_top_k_with_salted_blob(spark):
+    """Scores are the same whether or not the shared blob is salted."""
+    from tracelens.operators import similarity as sim
+
+    docs = {"b0": "login user password check", "b1": "export report rows", "b2": "licence text user"}
+    blobs = spark.createDataFrame(list(docs.items()), "blob_sha string, text string")
+    blob_tf = sim.term_counts(blobs, "blob_sha")
+    manifest = spark.createDataFrame(
+        [(f"s{i}", f"lic{i}.txt", "b2") for i in range(40)]
+        + [(f"s{i}", "login.py", "b0") for i in range(40)] + [("s0", "report.py", "b1")],
+        "snap string, path string, blob_sha string")
+    issues = spark.createDataFrame([(f"s{i}", i, "user cannot login") for i in range(40)],
+                                   "snap string, q long, text string")
+    q_tf = sim.term_counts(issues, "q", scope=["snap"])
+    res = []
+    for limit in ("5", None):
+        if limit:
+            spark.conf.set("tracelens.rowsPerKeyTask", limit)
+        try:
+            res.append(sorted(map(tuple, sim.snapshot_top_k(q_tf, blob_tf, manifest, ["snap"], "q", 2).collect())))
+        finally:
+            spark.conf.unset("tracelens.rowsPerKeyTask")
+    assert res[0] == res[1] and len(res[0]) == 80
+    assert {r[2] for r in res[0] if r[4] == 1} == {"login.py"}

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokenize
 from ..functions.vectors import dot, norm
 from ..session import broadcast_limit, materialize
+from .joins import salted_join
 
 # Fixed value: squared idf of a term found in only one of the two texts.
 IDF_SINGLE = 1.0 + math.log(1.5)
@@ -90,7 +91,8 @@ def postings_fit_broadcast(postings: DataFrame, limit: int | None = None) -> boo
 def tfidf_pair_scores(query_tf: DataFrame, unit_tf: DataFrame,
                       query_key: Sequence[str] | str, unit_key: Sequence[str] | str,
                       scope: Sequence[str] | str | None = None,
-                      broadcast_queries: bool | None = None) -> DataFrame:
+                      broadcast_queries: bool | None = None,
+                      unit_ss: str | None = None) -> DataFrame:
     """J4/J5 (C9): TF-IDF cosine of every (query, unit) pair sharing a term.
 
     Inputs are ``term_counts`` outputs.  Pairs inside one scope (for instance
@@ -100,6 +102,8 @@ def tfidf_pair_scores(query_tf: DataFrame, unit_tf: DataFrame,
     The per-text sums of squares ride along on every posting (a window over
     the text's postings, which are already partitioned by text), so the texts
     are tokenised once and no table that grows with the units is broadcast.
+    ``unit_ss`` names a column of ``unit_tf`` that already holds the unit's
+    sum of squares (then no window over the unit postings is needed).
     """
     qk, uk, sc = _cols(query_key), _cols(unit_key), _cols(scope)
     q_ids, u_ids = sc + [c for c in qk if c not in sc], sc + [c for c in uk if c not in sc]
@@ -109,8 +113,8 @@ def tfidf_pair_scores(query_tf: DataFrame, unit_tf: DataFrame,
     sq = F.col("tf") * F.col("tf")
     q = query_tf.select(*q_ids, "term", F.col("tf").alias("q_tf"),
                         F.sum(sq).over(Window.partitionBy(*q_ids)).alias("q_ss"))
-    u = unit_tf.select(*u_ids, "term", F.col("tf").alias("u_tf"),
-                       F.sum(sq).over(Window.partitionBy(*u_ids)).alias("u_ss"))
+    u_ss = F.col(unit_ss) if unit_ss else F.sum(sq).over(Window.partitionBy(*u_ids))
+    u = unit_tf.select(*u_ids, "term", F.col("tf").alias("u_tf"), u_ss.alias("u_ss"))
     if broadcast_queries:
         q = F.broadcast(q)
 
@@ -219,12 +223,18 @@ def snapshot_top_k(query_tf: DataFrame, blob_tf: DataFrame, manifest: DataFrame,
     ``blob_tf(blob, term, tf)`` are postings per distinct content id, computed
     once however many snapshots hold the content; ``manifest(scope..., path,
     blob)`` lists the files.  Pairs are scored per (query, distinct blob of
-    its scope), then mapped to paths by ``paths_top_k``.
+    its scope), then mapped to paths by ``paths_top_k``.  A blob shared by
+    many snapshots is tokenised once and its copies are spread by
+    ``salted_join``.
     Returns ``(scope..., query_key..., path, score, rank)``.
     """
     sc = _cols(scope)
-    units = manifest.select(*sc, blob).distinct().join(blob_tf, blob)
-    scores = tfidf_pair_scores(query_tf, units, query_key, blob, sc)
+    # Per-blob sum of squares while the postings are still partitioned by
+    # blob; the (scope, blob) copies then join the postings with hot blobs
+    # spread over several tasks (a file kept in most snapshots).
+    blob_ss = blob_tf.withColumn("__ss", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(blob)))
+    units = salted_join(manifest.select(*sc, blob).distinct(), blob_ss, blob)
+    scores = tfidf_pair_scores(query_tf, units, query_key, blob, sc, unit_ss="__ss")
     if digits is not None:
         scores = scores.withColumn("score", F.round("score", digits))
     return paths_top_k(scores, manifest, sc, query_key, k, path, blob)
@@ -239,15 +249,24 @@ def paths_top_k(blob_scores: DataFrame, manifest: DataFrame, scope: Sequence[str
     are first cut to ``rank() <= k`` per query (ties kept): every blob has at
     least one path, so a blob with k strictly better blobs cannot place a
     path in the top k, and only about k rows per query reach the join with
-    the manifest instead of every scored pair.
+    the manifest instead of every scored pair.  That cut is written once
+    and broadcast after counting it, so the manifest is not shuffled.
     """
     sc, qk = _cols(scope), _cols(query_key)
     group = sc + [c for c in qk if c not in sc]
+    files = manifest.select(*sc, blob, path)
     if k is not None:
         w = Window.partitionBy(*group).orderBy(F.col("score").desc())
-        blob_scores = (blob_scores.withColumn("__r", F.rank().over(w))
-                                  .where(F.col("__r") <= k).drop("__r"))
-    paths = blob_scores.join(manifest.select(*sc, blob, path), sc + [blob])
+        top = materialize(blob_scores.withColumn("__r", F.rank().over(w))
+                                     .where(F.col("__r") <= k).drop("__r"), "top-blobs")
+        # Written and counted: broadcast when it fits, so the manifest is
+        # streamed, not shuffled.
+        width = 24 * (len(group) + 2)
+        if top.count() * width <= broadcast_limit(top.sparkSession):
+            top = F.broadcast(top)
+        paths = files.join(top, sc + [blob])
+    else:
+        paths = blob_scores.join(files, sc + [blob])
     return rank_within(paths, group, path, k).select(*group, path, "score", "rank")
 
 

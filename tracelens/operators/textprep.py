@@ -122,9 +122,15 @@ def swap_equal(a: Column, b: Column) -> Column:
                            F.substr(a, i, F.lit(1)), F.substr(a, i + 2)) == b)
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance, except that one adjacent swap counts as one edit."""
-    return F.when(swap_equal(a, b), F.lit(1)).otherwise(F.levenshtein(a, b))
+def edit_distance(a: Column, b: Column, max_distance: int | None = None) -> Column:
+    """Levenshtein distance, except that one adjacent swap counts as one edit.
+
+    With ``max_distance`` the bounded Levenshtein is used and pairs beyond it
+    get -1.  A swap of two different adjacent letters has Levenshtein
+    distance 2, so the (interpreted) swap test runs only on those pairs.
+    """
+    lev = F.levenshtein(a, b) if max_distance is None else F.levenshtein(a, b, max_distance)
+    return F.when((lev == 2) & swap_equal(a, b), F.lit(1)).otherwise(lev)
 
 
 def spelling_candidates(words: DataFrame, dictionary: DataFrame, max_distance: int = 2) -> DataFrame:
@@ -137,8 +143,8 @@ def spelling_candidates(words: DataFrame, dictionary: DataFrame, max_distance: i
     d = dictionary.select("term", "freq",
                           F.explode(deletion_keys(F.col("term"), max_distance)).alias("k"))
     pairs = w.join(d, "k").select("word", "term", "freq").distinct()
-    return (pairs.withColumn("dist", edit_distance(F.col("word"), F.col("term")))
-                 .where(F.col("dist") <= max_distance))
+    return (pairs.withColumn("dist", edit_distance(F.col("word"), F.col("term"), max_distance))
+                 .where((F.col("dist") >= 0) & (F.col("dist") <= max_distance)))
 
 
 def correct_words(words: DataFrame, dictionary: DataFrame, max_distance: int = 2) -> DataFrame:

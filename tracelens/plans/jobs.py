@@ -23,6 +23,7 @@ from ..operators import features as fs
 from ..operators import links as lk
 from ..operators import search as se
 from ..operators import similarity as sim
+from ..operators.joins import salted_join
 from ..session import materialize
 from ..sources import exports as ex
 from ..sources import store
@@ -146,13 +147,13 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
         q_tf = sim.term_counts(queries, "issue_number", scope=scope)
         ranked = sim.snapshot_top_k(q_tf, blob_tf, manifest, scope, "issue_number", k, digits=None)
     elif callable(scorer):
-        units = (manifest.select(*scope, "blob_sha").distinct()
-                         .join(feats.select("blob_sha", "text").dropDuplicates(["blob_sha"]), "blob_sha"))
+        units = salted_join(manifest.select(*scope, "blob_sha").distinct(),
+                            feats.select("blob_sha", "text").dropDuplicates(["blob_sha"]), "blob_sha")
         scores = scorer(queries, units).select(*scope, "issue_number", "blob_sha", "score")
         ranked = sim.paths_top_k(scores, manifest, scope, "issue_number", k)
     else:
-        units = (manifest.select(*scope, "blob_sha").distinct()
-                         .join(feats.select("blob_sha", "vector").dropDuplicates(["blob_sha"]), "blob_sha"))
+        units = salted_join(manifest.select(*scope, "blob_sha").distinct(),
+                            feats.select("blob_sha", "vector").dropDuplicates(["blob_sha"]), "blob_sha")
         qv = queries.withColumn("vector", fs.encode("text", encoder))
         scores = sim.cosine_scores(qv, units, scope, "issue_number", "blob_sha", "vector", "vector")
         ranked = sim.paths_top_k(scores, manifest, scope, "issue_number", k)
