@@ -83,3 +83,33 @@ def test_first_pull_per_issue_and_update(spark):
     new = spark.createDataFrame([(1, 40)], "number long, issue_number long")
     upd = {r.number: r.issue_number for r in lk.update_links(old, new, "number").collect()}
     assert upd == {1: 40, 2: 5}
+
+
+def test_closing_refs_match_python_regex_on_random_texts(spark):
+    """Property: Spark's extraction equals Python's ``re`` (Unicode whitespace and digits) on random texts."""
+    import re
+
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    # The H1 pattern with Python semantics, as written in SURVEY section 2.14.
+    py_pattern = re.compile(
+        r"(?:close[sd]?|fix(?:es|ed)?|resolve[sd]?)\s+(?:#|https?://[^/]+/[^/]+/[^/]+/[^/]+/)(\d+)")
+    pieces = st.sampled_from([
+        "close", "closes", "closed", "Fix", "fixes", "FIXED", "resolve", "Resolves", "resolved",
+        "enclose", "fixing", " ", "  ", "\t", "\n", NBSP, " ", "#", "##", ":", ",", "/",
+        "https://h/o/r/issues/", "http://x.y/a/b/pull/", "https://h/o/r/", "see ", "1", "42", "007",
+        "a", "B", "é", "x1",
+    ])
+    texts = st.lists(st.lists(pieces, max_size=12).map("".join), min_size=200, max_size=200)
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(texts)
+    def check(batch):
+        df = spark.createDataFrame(list(enumerate(batch)), "i int, t string")
+        got = {r.i: list(r.refs) for r in df.select("i", closing_refs("t").alias("refs")).collect()}
+        for i, t in enumerate(batch):
+            want = [int(n) for n in py_pattern.findall(t.lower())]
+            assert got[i] == want, repr(t)
+
+    check()

@@ -55,3 +55,28 @@ def test_paths(spark):
 def test_issue_text_skips_null_body(spark):
     df = spark.createDataFrame([("T", "B"), ("T", None)], "t string, b string")
     assert [r.o for r in df.select(ft.issue_text("t", "b").alias("o")).collect()] == ["T, B", "T"]
+
+
+def test_split_identifier_matches_python_definition(spark):
+    """Property: '_' before each capital, split on '_', drop empty parts, join by spaces (case kept)."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    from tracelens.functions.text import split_identifier
+
+    def split_py(s):
+        marked = "".join("_" + c if c.isupper() else c for c in s)
+        return " ".join(p for p in marked.split("_") if p)
+
+    chars = st.sampled_from(list("abcXYZ_09ÉéßΔδ") + ["__", "HTTP", "Server", "get", "Id"])
+    idents = st.lists(st.lists(chars, max_size=10).map("".join), min_size=200, max_size=200)
+
+    @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(idents)
+    def check(batch):
+        df = spark.createDataFrame(list(enumerate(batch)), "i int, s string")
+        got = {r.i: r.w for r in df.select("i", split_identifier("s").alias("w")).collect()}
+        for i, s in enumerate(batch):
+            assert got[i] == split_py(s), repr(s)
+
+    check()
