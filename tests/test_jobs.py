@@ -153,3 +153,20 @@ def test_score_with_custom_scorer(spark, tmp_dir, exports):
         ranks.append(sorted((r.issue_number, r.rank, r.path, round(r.score, 9)) for r in res.collect()))
     # issue 11 shares no term with login.py: zero scores are not emitted
     assert ranks[0] == ranks[1] and len(ranks[0]) == 3
+
+
+def test_stream_backlog_in_small_batches(spark, tmp_dir):
+    """A backlog cut into one-file micro-batches scores each issue once, as one pass would."""
+    units = spark.createDataFrame([("s", "u1", "login handler user"), ("s", "u2", "report export")],
+                                  "scope string, unit_id string, text string")
+    unit_tf = sim.term_counts(units, "unit_id", scope=["scope"])
+    inbox, results = f"{tmp_dir}/inbox3", f"{tmp_dir}/results3"
+    for i, rows in enumerate([[("s", 1, "login fails")], [("s", 2, "export report"), ("s", 1, "login fails")],
+                              [("s", 3, "user login handler")]]):
+        spark.createDataFrame(rows, "scope string, issue_id long, text string").coalesce(1) \
+            .write.parquet(f"{inbox}/f{i}")
+    q = start_scoring(spark, inbox, unit_tf, results, k=1, name=f"t{os.getpid()}c", max_files_per_trigger=1)
+    q.awaitTermination(180)
+    assert q.lastProgress is not None and q.lastProgress["batchId"] >= 2  # three batches at least
+    got = sorted((r.issue_id, r.unit_id) for r in spark.read.parquet(results).collect())
+    assert got == [(1, "u1"), (2, "u2"), (3, "u1")]

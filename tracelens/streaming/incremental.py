@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import similarity as sim
-from ..session import ensure_checkpoint_dir
+from ..session import broadcast_limit, ensure_checkpoint_dir
 
 ISSUE_TEXT_SCHEMA = T.StructType([
     T.StructField("scope", T.StringType()),
@@ -29,23 +29,40 @@ RESULT_SCHEMA = "scope string, issue_id bigint, unit_id string, score double, ra
 
 def start_scoring(spark: SparkSession, issues_dir: str, unit_tf: DataFrame, results_dir: str,
                   k: int = 10, name: str = "incremental-scoring",
-                  available_now: bool = True) -> StreamingQuery:
+                  available_now: bool = True, max_files_per_trigger: int = 1000) -> StreamingQuery:
     """Start the stream; ``unit_tf(scope, unit_id, term, tf)`` are the unit postings.
 
     ``available_now`` processes what is there and stops (batch-style runs);
-    otherwise the query keeps polling the folder.
+    otherwise the query keeps polling the folder.  A backlog is cut into
+    micro-batches of at most ``max_files_per_trigger`` files.
     """
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
     stream = (spark.readStream.schema(ISSUE_TEXT_SCHEMA)
-              .option("recursiveFileLookup", "true").parquet(issues_dir))
+              .option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", str(max_files_per_trigger))
+              .parquet(issues_dir))
+    keys = ["scope", "issue_id"]
 
     def score_batch(batch: DataFrame, epoch_id: int) -> None:
+        batch_keys = batch.select(*keys).distinct()
+        n_keys = batch_keys.count()
+        if n_keys == 0:
+            return
         try:
-            done = spark.read.schema(RESULT_SCHEMA).parquet(results_dir).select("scope", "issue_id")
-            todo = batch.join(done.distinct(), ["scope", "issue_id"], "left_anti")
+            done = spark.read.schema(RESULT_SCHEMA).parquet(results_dir).select(*keys)
         except Exception:  # noqa: BLE001 - no results yet
+            done = None
+        if done is not None:
+            # Only stored results of this batch's issues matter: the batch's
+            # keys (counted above) are broadcast when they fit, so the growing
+            # result table is scanned but never shuffled.
+            if n_keys * 64 <= broadcast_limit(spark):
+                batch_keys = F.broadcast(batch_keys)
+            seen = done.join(batch_keys, keys, "left_semi").distinct()
+            todo = batch.join(seen, keys, "left_anti")
+        else:
             todo = batch
-        todo = todo.dropDuplicates(["scope", "issue_id"])
+        todo = todo.dropDuplicates(keys)
         q_tf = sim.term_counts(todo, "issue_id", scope=["scope"])
         scores = sim.tfidf_pair_scores(q_tf, unit_tf, "issue_id", "unit_id", ["scope"])
         ranked = sim.rank_within(scores.withColumn("score", F.round("score", 6)),
