@@ -170,3 +170,19 @@ def test_stream_backlog_in_small_batches(spark, tmp_dir):
     assert q.lastProgress is not None and q.lastProgress["batchId"] >= 2  # three batches at least
     got = sorted((r.issue_id, r.unit_id) for r in spark.read.parquet(results).collect())
     assert got == [(1, "u1"), (2, "u2"), (3, "u1")]
+
+
+def test_read_source_trees_one_scan(spark, tmp_dir):
+    """Many snapshots laid out as root/<repo>/<sha>/... read in one scan, same rows as per-snapshot reads."""
+    root = f"{tmp_dir}/trees"
+    files = {("1", "s1", "app/a.py"): "x = 1\n", ("1", "s2", "app/a.py"): "x = 2\n",
+             ("2", "s9", "b.py"): "y = 'é'\n", ("1", "s2", "notes.txt"): "skip\n"}
+    for (repo, sha, path), text in files.items():
+        full = os.path.join(root, repo, sha, path)
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        with open(full, "w", encoding="utf-8") as f:
+            f.write(text)
+    got = sorted(tuple(r) for r in sf.read_source_trees(spark, root).collect())
+    want = sorted(tuple(r) for repo, sha in (("1", "s1"), ("1", "s2"), ("2", "s9"))
+                  for r in sf.read_source_tree(spark, os.path.join(root, repo, sha), int(repo), sha).collect())
+    assert got == want and len(got) == 3

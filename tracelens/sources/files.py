@@ -35,6 +35,27 @@ def read_source_tree(spark: SparkSession, root: str, repo_id: int, snapshot_sha:
     )
 
 
+def read_source_trees(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
+    """A8 for many snapshots in one scan: ``root/<repo_id>/<snapshot_sha>/<path>``.
+
+    Same columns as ``read_source_tree``; the repository id and the snapshot
+    come from the first two folder levels, so thousands of snapshots are one
+    ``binaryFile`` scan instead of a union of scans.
+    """
+    files = (spark.read.format("binaryFile")
+                  .option("recursiveFileLookup", "true")
+                  .option("pathGlobFilter", glob)
+                  .load(root))
+    rel = relative_path(F.regexp_replace("path", "^file:", ""),
+                        root.rstrip("/").replace("file:", ""))
+    parts = files.select(F.split(rel, "/", 3).alias("__p"), "content").where(F.size("__p") == 3)
+    return parts.select(F.element_at("__p", 1).cast("bigint").alias("repo_id"),
+                        F.element_at("__p", 2).alias("snapshot_sha"),
+                        F.element_at("__p", 3).alias("path"),
+                        git_blob_sha("content").alias("blob_sha"),
+                        F.decode("content", "UTF-8").alias("source"))
+
+
 def manifest_of(tree: DataFrame) -> DataFrame:
     """A2: the manifest part of a source tree (no contents)."""
     return tree.select("repo_id", "snapshot_sha", "path", "blob_sha")

@@ -62,10 +62,18 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def append(df: DataFrame, root: str, name: str) -> None:
-    """Append rows (columns aligned by name to the declared schema)."""
+    """Append rows (columns aligned by name to the declared schema).
+
+    Partitioned tables are clustered by ``repo_id`` with a ``rebalance`` hint
+    first: AQE groups each repository's rows into few tasks (few files per
+    partition) and splits a repository that holds a large share of the rows.
+    """
     schema = TABLES[name]
     aligned = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
-    aligned.write.mode("append").partitionBy(*_partitioning(name)).parquet(table_path(root, name))
+    parts = _partitioning(name)
+    if parts:
+        aligned = aligned.hint("rebalance", *parts)
+    aligned.write.mode("append").partitionBy(*parts).parquet(table_path(root, name))
 
 
 def drop(spark: SparkSession, root: str, name: str) -> None:
