@@ -54,8 +54,11 @@ def ingest(spark: SparkSession, exports: dict[str, str], root: str) -> dict[str,
     pulls = ex.read_pulls(spark, exports["pulls"])
     review = ex.read_review_comments(spark, exports["review_comments"])
     linked = lk.pull_links(pulls, ["repo_id", "number"], review)
-    merged = linked.where(F.col("merged_at").isNotNull())
-    resolved = lk.resolve_links(merged, issues).select("repo_id", "number", "issue_number")
+    # Link extraction feeds five of the tables written below: written once
+    # (which also cuts the lineage) instead of recomputed for every write.
+    merged = materialize(linked.where(F.col("merged_at").isNotNull()), "merged-pulls")
+    resolved = materialize(lk.resolve_links(merged, issues).select("repo_id", "number", "issue_number"),
+                           "resolved-links")
     pull_rows = merged.join(resolved, ["repo_id", "number"], "left")
     linked_issues = issues.join(resolved.select("repo_id", F.col("issue_number").alias("number")),
                                 ["repo_id", "number"], "left_semi")
