@@ -129,3 +129,18 @@ def test_rank_all_hot_group_equals_row_number(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert segs > 1
+
+
+def test_unscored_counts(spark):
+    """Zero-score units are counted, not emitted: scored + zero = units of the query's scope."""
+    queries = spark.createDataFrame([("s", 1, "login user"), ("s", 2, "nothing shared"), ("t", 3, "report")],
+                                    "scope string, q long, text string")
+    units = spark.createDataFrame([("s", "a", "login handler"), ("s", "b", "user list"), ("s", "c", "misc"),
+                                   ("t", "d", "report export")], "scope string, u string, text string")
+    q_tf = sim.term_counts(queries, "q", scope=["scope"])
+    u_tf = sim.term_counts(units, "u", scope=["scope"])
+    scores = sim.tfidf_pair_scores(q_tf, u_tf, "q", "u", ["scope"])
+    got = sorted(tuple(r) for r in sim.unscored_counts(scores, queries, units, ["scope"], "q", "u").collect())
+    assert got == [("s", 1, 2, 1), ("s", 2, 0, 3), ("t", 3, 1, 0)]
+    flat = sim.unscored_counts(scores.drop("scope"), queries.drop("scope"), units.drop("scope"), [], "q", "u")
+    assert sorted(tuple(r) for r in flat.collect()) == [(1, 2, 2), (2, 0, 4), (3, 1, 3)]

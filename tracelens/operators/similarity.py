@@ -240,6 +240,32 @@ def snapshot_top_k(query_tf: DataFrame, blob_tf: DataFrame, manifest: DataFrame,
     return paths_top_k(scores, manifest, sc, query_key, k, path, blob)
 
 
+def unscored_counts(scores: DataFrame, queries: DataFrame, units: DataFrame,
+                    scope: Sequence[str] | str, query_key: Sequence[str] | str,
+                    unit_key: Sequence[str] | str) -> DataFrame:
+    """J6 zeros without emitting them: per query, units scored and units at 0.
+
+    The reference ranks every unit, zero scores included.  Those zero-score
+    pairs are all pairs of a scope that share no term; they tie at 0 and
+    follow the scored units in tie-break order, so the count says everything
+    about them.  Two aggregates, no pair emission: units per scope and scored
+    units per query.  Returns ``(scope..., query_key..., n_scored, n_zero)``.
+    """
+    sc, qk, uk = _cols(scope), _cols(query_key), _cols(unit_key)
+    group = sc + [c for c in qk if c not in sc]
+    distinct_units = units.select(*sc, *[c for c in uk if c not in sc]).distinct()
+    scored = scores.groupBy(*group).agg(F.count(F.lit(1)).alias("n_scored"))
+    q = queries.select(*group).distinct()
+    if sc:
+        per_scope = distinct_units.groupBy(*sc).agg(F.count(F.lit(1)).alias("__n_units"))
+        out = q.join(per_scope, sc, "left")
+    else:  # one scope: the unit count is a single number
+        out = q.withColumn("__n_units", F.lit(distinct_units.count()))
+    return (out.join(scored, group, "left")
+               .select(*group, F.coalesce("n_scored", F.lit(0)).alias("n_scored"),
+                       (F.coalesce("__n_units", F.lit(0)) - F.coalesce("n_scored", F.lit(0))).alias("n_zero")))
+
+
 def paths_top_k(blob_scores: DataFrame, manifest: DataFrame, scope: Sequence[str] | str,
                 query_key: Sequence[str] | str, k: int | None, path: str = "path",
                 blob: str = "blob_sha") -> DataFrame:

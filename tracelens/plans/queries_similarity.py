@@ -78,3 +78,18 @@ def doc_norms(spark, sf_dir):
     return tf.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"),
                                     F.sum("tf").alias("n_tokens"),
                                     F.sum(F.col("tf") * F.col("tf")).alias("sum_sq"))
+
+
+@register("tfidf_unscored", sql=f"""
+WITH {pair_scores_sql('benchmark', 'item_id', 'documents', 'doc_id')},
+n AS (SELECT item_id, CAST(count(*) AS BIGINT) AS n_scored FROM s GROUP BY item_id)
+SELECT b.item_id, coalesce(n.n_scored, 0) AS n_scored,
+       (SELECT count(DISTINCT doc_id) FROM documents) - coalesce(n.n_scored, 0) AS n_zero
+FROM (SELECT DISTINCT item_id FROM benchmark) b LEFT JOIN n ON b.item_id = n.item_id
+""")
+def tfidf_unscored(spark, sf_dir):
+    """J6 zeros: per benchmark text, documents scored and documents at score 0 (counted, not emitted)."""
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    scores = sim.tfidf_pair_scores(sim.term_counts(b, "item_id"), sim.term_counts(d, "doc_id"),
+                                   "item_id", "doc_id")
+    return sim.unscored_counts(scores, b, d, [], "item_id", "doc_id")
