@@ -166,9 +166,10 @@ def rank_all(scores: DataFrame, group: Sequence[str] | str, tiebreak: Sequence[s
     after a lost executor.  Rows are then range-partitioned and sorted on
     ``(group, score desc, tiebreak)``, so one large group spans many tasks;
     each row's position in its sorted partition comes from
-    ``monotonically_increasing_id`` (partition id in the upper bits).  The input
-    is fixed and the order total, so positions are the same on every
-    evaluation.  A summary with one row per (group, partition) gives each
+    ``monotonically_increasing_id`` (partition id in the upper bits).  The
+    positioned rows are written too, so the summary and the ranks read the
+    same positions whatever the planner does with the two uses (range bounds
+    are sampled per shuffle).  A summary with one row per (group, partition) gives each
     segment's first position and the number of rows of the same group in
     earlier partitions; rank = position - segment start + 1 + earlier rows.
     The summary has at most (groups + partitions) rows; it is broadcast when
@@ -179,9 +180,9 @@ def rank_all(scores: DataFrame, group: Sequence[str] | str, tiebreak: Sequence[s
     spark = scores.sparkSession
     base = materialize(scores, "scores")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (base.repartitionByRange(*order).sortWithinPartitions(*order)
-                  .withColumn("__pos", F.monotonically_increasing_id())
-                  .withColumn("__seg", F.shiftright("__pos", 33)))
+    ranged = materialize(base.repartitionByRange(*order).sortWithinPartitions(*order)
+                             .withColumn("__pos", F.monotonically_increasing_id()), "ranked")
+    ranged = ranged.withColumn("__seg", F.shiftright("__pos", 33))
     segs = ranged.groupBy(*g, "__seg").agg(F.min("__pos").alias("__start"),
                                            F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*g).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
