@@ -186,3 +186,26 @@ def test_read_source_trees_one_scan(spark, tmp_dir):
     want = sorted(tuple(r) for repo, sha in (("1", "s1"), ("1", "s2"), ("2", "s9"))
                   for r in sf.read_source_tree(spark, os.path.join(root, repo, sha), int(repo), sha).collect())
     assert got == want and len(got) == 3
+
+
+def test_score_functions_with_describer(spark, tmp_dir, exports):
+    """Function grain: functions described (J1), embedded (J2), best function per file (D5), cached (K1)."""
+    from tracelens.operators import features as fs
+
+    root = f"{tmp_dir}/store_fn"
+    jobs.ingest(spark, {k: v for k, v in exports.items() if k != "snapshot_dir"}, root)
+    tree = sf.read_source_tree(spark, exports["snapshot_dir"], 1, "s1")
+
+    def describer(src):  # stand-in for a summarisation model: split camel case, lower-case
+        return src.str.replace(r"([A-Z])", r" \1", regex=True).str.lower()
+
+    res = jobs.score_issues(spark, root, tree, k=1, scorer="embedding", encoder=fs.hashing_encoder(256),
+                            grain="function", describer=describer).collect()
+    top = {r.issue_number: (r.path, r.unit) for r in res}
+    assert top == {10: ("app/login.py", "loginHandler@1"), 11: ("app/report.py", "exportReport@1")}
+    n_feat = store.read(spark, root, "feature").count()
+    assert n_feat == 4  # two functions and one marker per blob
+    # a new issue-free run adds no result and computes no feature again
+    assert jobs.score_issues(spark, root, tree, k=1, scorer="embedding", encoder=fs.hashing_encoder(256),
+                             grain="function", describer=describer).count() == 0
+    assert store.read(spark, root, "feature").count() == n_feat

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Encoder = Callable[[pd.Series], pd.Series]
+# Source text -> description text, one pandas batch at a time.
+Describer = Callable[[pd.Series], pd.Series]
 
 
 def _cols(cols: Sequence[str] | str) -> list[str]:
@@ -78,6 +80,12 @@ def encode(texts: Column | str, encoder: Encoder) -> Column:
     return udf(F.col(texts) if isinstance(texts, str) else texts)
 
 
+def describe(sources: Column | str, describer: Describer) -> Column:
+    """Apply a pandas batch describer (e.g. a code summarisation model) to source text."""
+    udf = F.pandas_udf(describer, T.StringType())
+    return udf(F.col(sources) if isinstance(sources, str) else sources)
+
+
 def hashing_encoder(dim: int = 64) -> Encoder:
     """Deterministic bag-of-words hashing encoder (stand-in for a sentence model)."""
     import zlib

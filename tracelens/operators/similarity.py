@@ -269,7 +269,7 @@ def unscored_counts(scores: DataFrame, queries: DataFrame, units: DataFrame,
 
 def paths_top_k(blob_scores: DataFrame, manifest: DataFrame, scope: Sequence[str] | str,
                 query_key: Sequence[str] | str, k: int | None, path: str = "path",
-                blob: str = "blob_sha") -> DataFrame:
+                blob: str = "blob_sha", carry: Sequence[str] = ()) -> DataFrame:
     """Rank the paths of each query's scope by the score of their content.
 
     ``blob_scores(scope..., query_key..., blob, score)``.  With ``k``, blobs
@@ -278,6 +278,7 @@ def paths_top_k(blob_scores: DataFrame, manifest: DataFrame, scope: Sequence[str
     path in the top k, and only about k rows per query reach the join with
     the manifest instead of every scored pair.  That cut is written once
     and broadcast after counting it, so the manifest is not shuffled.
+    ``carry`` names further columns of ``blob_scores`` kept in the result.
     """
     sc, qk = _cols(scope), _cols(query_key)
     group = sc + [c for c in qk if c not in sc]
@@ -294,7 +295,7 @@ def paths_top_k(blob_scores: DataFrame, manifest: DataFrame, scope: Sequence[str
         paths = files.join(top, sc + [blob])
     else:
         paths = blob_scores.join(files, sc + [blob])
-    return rank_within(paths, group, path, k).select(*group, path, "score", "rank")
+    return rank_within(paths, group, path, k).select(*group, path, "score", "rank", *carry)
 
 
 # ---------------------------------------------------------------------------

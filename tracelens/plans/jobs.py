@@ -87,7 +87,8 @@ def ingest(spark: SparkSession, exports: dict[str, str], root: str) -> dict[str,
 
 
 def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10,
-                 scorer: str | Scorer = "tfidf", encoder: fs.Encoder | None = None) -> DataFrame:
+                 scorer: str | Scorer = "tfidf", encoder: fs.Encoder | None = None,
+                 grain: str = "file", describer: fs.Describer | None = None) -> DataFrame:
     """semantic-test-repo: top-k files per pending issue, appended to ``result``.
 
     ``scorer`` is ``"tfidf"`` (pairwise TF-IDF cosine), ``"embedding"``
@@ -103,7 +104,19 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
     snapshot named by its pull request's base commit (K4).  Issues already in
     ``result`` are skipped (C6/K3).  Descriptive texts are computed once per
     distinct content id and cached in ``feature`` (K1).
+
+    ``grain="function"`` (embedding scorer only) scores functions, as the
+    original's neural scorer did: the functions of each new blob (I1) are
+    described by ``describer`` (J1; the source itself when None), embedded
+    (J2) and cached per (blob, function); each file then scores by its best
+    function (D5), whose name is kept in ``unit``.
     """
+    if grain not in ("file", "function"):
+        raise ValueError(f"unknown grain {grain!r}")
+    if grain == "function" and scorer != "embedding":
+        raise ValueError("the function grain needs the embedding scorer")
+    if scorer == "embedding" and encoder is None:
+        raise ValueError("the embedding scorer needs an encoder")
     issues = store.read(spark, root, "issue")
     pulls = store.read(spark, root, "pull_request").where(F.col("issue_number").isNotNull())
     done = store.read(spark, root, "result").select("repo_id", "issue_number").distinct()
@@ -121,20 +134,29 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
     manifest = sources.select("repo_id", "snapshot_sha", "path", "blob_sha")
 
     # K1: features only for content not seen before.
-    kind = scorer if scorer == "embedding" else "tfidf"  # custom scorers use the text features
+    if grain == "function":
+        kind = "embedding-function"
+    else:
+        kind = scorer if scorer == "embedding" else "tfidf"  # custom scorers use the text features
     feats = store.read(spark, root, "feature").where(F.col("kind") == F.lit(kind))
     todo = sources.join(fs.misses(sources, feats, "blob_sha"), "blob_sha", "left_semi")
-    texts = cu.code_text(todo)
-    if kind == "tfidf":
-        new = texts.select("blob_sha", F.lit("").alias("unit"), F.lit("tfidf").alias("kind"),
-                           F.lit("1").alias("version"), F.lit(None).cast("array<float>").alias("vector"),
-                           "text")
+    no_vector = F.lit(None).cast("array<float>")
+    if grain == "function":
+        funcs = cu.extract_functions(todo)
+        described = fs.describe("source", describer) if describer is not None else F.col("source")
+        per_fn = (funcs.select("blob_sha", F.concat_ws("@", "qualname", F.col("lineno").cast("string")).alias("unit"),
+                               described.alias("text"))
+                       .withColumn("vector", fs.encode("text", encoder)))
+        # one marker row per parsed blob, so files without functions are not parsed again
+        marker = todo.select("blob_sha").distinct().select(
+            "blob_sha", F.lit("").alias("unit"), F.lit(None).cast("string").alias("text"), no_vector.alias("vector"))
+        new = per_fn.unionByName(marker).select("blob_sha", "unit", F.lit(kind).alias("kind"),
+                                                F.lit("1").alias("version"), "vector", "text")
     else:
-        if encoder is None:
-            raise ValueError("the embedding scorer needs an encoder")
-        new = texts.select("blob_sha", F.lit("").alias("unit"), F.lit(scorer).alias("kind"),
-                           F.lit("1").alias("version"), fs.encode("text", encoder).alias("vector"),
-                           "text")
+        texts = cu.code_text(todo)
+        vector = fs.encode("text", encoder) if kind == "embedding" else no_vector
+        new = texts.select("blob_sha", F.lit("").alias("unit"), F.lit(kind).alias("kind"),
+                           F.lit("1").alias("version"), vector.alias("vector"), "text")
     new = materialize(new, "features")
     store.append(new, root, "feature")
     feats = feats.unionByName(new)
@@ -154,14 +176,26 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
                             feats.select("blob_sha", "text").dropDuplicates(["blob_sha"]), "blob_sha")
         scores = scorer(queries, units).select(*scope, "issue_number", "blob_sha", "score")
         ranked = sim.paths_top_k(scores, manifest, scope, "issue_number", k)
+    elif grain == "function":
+        vecs = (feats.where(F.col("vector").isNotNull()).select("blob_sha", "unit", "vector")
+                     .dropDuplicates(["blob_sha", "unit"]))
+        units = salted_join(manifest.select(*scope, "blob_sha").distinct(), vecs, "blob_sha")
+        qv = queries.withColumn("vector", fs.encode("text", encoder))  # once per issue
+        fn_scores = sim.cosine_scores(qv, units, scope, "issue_number", ["blob_sha", "unit"], "vector", "vector")
+        best = sim.best_per_group(fn_scores, scope + ["issue_number", "blob_sha"], "unit")
+        blob_scores = best.select(*scope, "issue_number", "blob_sha", F.col("best_score").alias("score"),
+                                  F.col("best_unit").alias("unit"))
+        ranked = sim.paths_top_k(blob_scores, manifest, scope, "issue_number", k, carry=["unit"])
     else:
         units = salted_join(manifest.select(*scope, "blob_sha").distinct(),
                             feats.select("blob_sha", "vector").dropDuplicates(["blob_sha"]), "blob_sha")
         qv = queries.withColumn("vector", fs.encode("text", encoder))
         scores = sim.cosine_scores(qv, units, scope, "issue_number", "blob_sha", "vector", "vector")
         ranked = sim.paths_top_k(scores, manifest, scope, "issue_number", k)
+    if "unit" not in ranked.columns:
+        ranked = ranked.withColumn("unit", F.lit(None).cast("string"))
     files = store.read(spark, root, "git_file")
     result = cat.attach_file_ids(ranked, files).select("repo_id", "issue_number", "rank", "path",
-                                                       "file_id", "score")
+                                                       "file_id", "score", "unit")
     store.append(result, root, "result")
     return result

@@ -30,7 +30,7 @@ COMMENT = _s(("comment_id", L), ("repo_id", L), ("number", L), ("seq", I), ("bod
 MODIFIED_FILE = _s(("repo_id", L), ("pull_number", L), ("path", S), ("status", S), ("patch", S),
                    ("additions", I), ("deletions", I), ("changes", I))
 RESULT = _s(("repo_id", L), ("issue_number", L), ("rank", I), ("path", S), ("file_id", L),
-            ("score", D))
+            ("score", D), ("unit", S))
 FEATURE = _s(("blob_sha", S), ("unit", S), ("kind", S), ("version", S),
              ("vector", T.ArrayType(T.FloatType())), ("text", S))
 MANIFEST = _s(("repo_id", L), ("snapshot_sha", S), ("path", S), ("blob_sha", S))
