@@ -46,3 +46,50 @@ def test_replace_words(spark):
     got = {r.id: r.text for r in tp.replace_words(texts, "id", acr, words).collect()}
     assert got[1] == "The hypertext transfer protocol interface is ok, user! HTTPS stays."
     assert got[2] == ""
+
+
+def test_correct_texts_against_brute_force(spark):
+    """Whole texts: each ASCII word corrected as a brute-force search over the dictionary would."""
+    import re
+
+    dict_rows = [("receive", 50), ("relieve", 80), ("report", 40), ("export", 30), ("the", 500),
+                 ("handler", 20), ("login", 25), ("user", 60), ("users", 10)]
+    dictionary = spark.createDataFrame(dict_rows, "term string, freq long")
+    texts = ["Teh user cant recieve the REPROT.", "loggin handlr fails for usres; déjà vu",
+             "", "EXPORT expotr exprot", "qqqqqq zz", "x1 recieve_it Usre"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.text for r in tp.correct_texts(df, "id", dictionary).collect()}
+
+    def lev(a, b):
+        prev = list(range(len(b) + 1))
+        for i, ca in enumerate(a, 1):
+            cur = [i]
+            for j, cb in enumerate(b, 1):
+                cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
+            prev = cur
+        return prev[-1]
+
+    def dist(a, b):
+        swapped = any(a[:i] + a[i + 1] + a[i] + a[i + 2:] == b for i in range(len(a) - 1))
+        return 1 if len(a) == len(b) and swapped else lev(a, b)
+
+    terms = dict(dict_rows)
+
+    def fix_word(w):
+        lw = w.lower()
+        if lw in terms:
+            return w
+        cands = [(dist(lw, t), -f, t) for t, f in terms.items() if dist(lw, t) <= 2]
+        if not cands:
+            return w
+        c = min(cands)[2]
+        if w.isupper() and len(w) > 1:
+            return c.upper()
+        return c[0].upper() + c[1:] if w[0].isupper() else c
+
+    for i, t in enumerate(texts):
+        # pieces: runs of word characters and runs of other characters; only
+        # pieces made of ASCII letters go through the corrector
+        want = "".join(fix_word(p) if re.fullmatch(r"[A-Za-z]+", p) else p
+                       for p in re.findall(r"\w+|\W+", t))
+        assert got[i] == want, (t, got[i], want)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_all_caps
-from ..session import broadcast_limit
+from ..session import broadcast_limit, materialize
 
 # Fixed value: a text is cut into maximal runs of word characters and of
 # other characters, so re-joining the pieces restores it exactly.
@@ -163,3 +163,35 @@ def correct_words(words: DataFrame, dictionary: DataFrame, max_distance: int = 2
     return (w.join(best, "word", "left")
              .withColumn("correction", F.coalesce("correction", "word"))
              .withColumn("dist", F.coalesce("dist", F.lit(0))))
+
+
+def correct_texts(texts: DataFrame, key: Sequence[str] | str, dictionary: DataFrame,
+                  text: str = "text", out: str = "text", max_distance: int = 2) -> DataFrame:
+    """I5 on whole texts: every word of every text through the corrector.
+
+    Texts are cut into word and non-word pieces (in order, nothing dropped).
+    Words made of ASCII letters (the dictionary's alphabet) are corrected on their lower case by
+    ``correct_words`` (run once over the distinct words of all texts, so the
+    candidate search is bounded by the vocabulary, not by the text volume);
+    an all-capital word comes back in capitals and a capitalised word
+    capitalised.  Other pieces are kept.  ``dictionary(term, freq)``.
+    """
+    k = _cols(key)
+    src = texts.select(*k, text).repartition(*k)
+    parts = pieces(src, k, text).withColumn("__w", F.lower("piece"))
+    is_word = F.col("piece").rlike(r"^[A-Za-z]+$")
+    words = parts.where(is_word).select(F.col("__w").alias("word")).distinct()
+    fixes = (correct_words(words, dictionary, max_distance)
+             .where(F.col("correction") != F.col("word"))
+             .select(F.col("word").alias("__w"), F.col("correction").alias("__c")))
+    # The corrections table is vocabulary-sized; broadcast after measuring it.
+    fixes = _maybe_broadcast(materialize(fixes, "corrections"))
+    p = F.col("piece")
+    fixed = (F.when(F.col("__c").isNull(), p)
+              .when(is_all_caps(p) & (F.length(p) > 1), F.upper("__c"))
+              .when(F.substring(p, 1, 1) == F.upper(F.substring(p, 1, 1)),
+                    F.concat(F.upper(F.substring("__c", 1, 1)), F.substring("__c", 2, 1 << 30)))
+              .otherwise(F.col("__c")))
+    done = parts.join(fixes, "__w", "left").select(*k, "pos", fixed.alias("piece"))
+    result = reassemble(done, k, "piece", out)
+    return texts.drop(text).join(result, k, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))

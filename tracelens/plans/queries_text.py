@@ -206,3 +206,14 @@ def spell_fix(spark, sf_dir):
                       F.substr(t, F.lit(2), F.lit(1)), F.substr(t, F.lit(4)))
     words = src.select(F.explode(F.array(drop2, swap23)).alias("word")).distinct()
     return tp.correct_words(words, dictionary).select("word", "correction", "dist")
+
+
+# No oracle SQL: the all-words candidate search is too slow in DuckDB on whole
+# tables; tests check ``correct_texts`` against a brute-force search instead.
+@register("comment_spell_fix")
+def comment_spell_fix(spark, sf_dir):
+    """I5 on whole texts: every comment's words corrected against the corpus dictionary."""
+    tf = _corpus_terms(spark, sf_dir)
+    dictionary = tf.where((F.col("freq") >= DICT_MIN_FREQ) & F.col("term").rlike("^[a-z]+$"))
+    comments = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return tp.correct_texts(comments, ["conv_id", "turn"], dictionary).select("conv_id", "turn", "text")
