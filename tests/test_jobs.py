@@ -209,3 +209,20 @@ def test_score_functions_with_describer(spark, tmp_dir, exports):
     assert jobs.score_issues(spark, root, tree, k=1, scorer="embedding", encoder=fs.hashing_encoder(256),
                              grain="function", describer=describer).count() == 0
     assert store.read(spark, root, "feature").count() == n_feat
+
+
+def test_score_with_text_dictionaries(spark, tmp_dir, exports):
+    """I3-I5 in the job: stored file texts go through the dictionaries (here the spelling fix shows)."""
+    root = f"{tmp_dir}/store_dict"
+    jobs.ingest(spark, {k: v for k, v in exports.items() if k != "snapshot_dir"}, root)
+    tree = sf.read_source_tree(spark, exports["snapshot_dir"], 1, "s1")
+    acr = spark.createDataFrame([("U", "unit")], "acronym string, expansion string")
+    spelling = spark.createDataFrame([("login", 9), ("handler", 9), ("check", 9), ("user", 9), ("export", 9),
+                                      ("report", 9), ("rows", 9), ("valid", 9), ("the", 9), ("of", 9)],
+                                     "term string, freq long")
+    jobs.score_issues(spark, root, tree, k=1, acronyms=acr, spelling=spelling).collect()
+    texts = {r.blob_sha: r.text for r in store.read(spark, root, "feature").collect()}
+    login = [t for t in texts.values() if "login" in t.lower()][0]
+    # names split (H9), then I5: 'a' is unknown and 'of' the closest frequent term
+    assert "login Handler" in login and "valid User" in login
+    assert "login of of user" in login

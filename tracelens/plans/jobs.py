@@ -23,6 +23,7 @@ from ..operators import features as fs
 from ..operators import links as lk
 from ..operators import search as se
 from ..operators import similarity as sim
+from ..operators import textprep as tp
 from ..operators.joins import salted_join
 from ..session import materialize
 from ..sources import exports as ex
@@ -88,7 +89,9 @@ def ingest(spark: SparkSession, exports: dict[str, str], root: str) -> dict[str,
 
 def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10,
                  scorer: str | Scorer = "tfidf", encoder: fs.Encoder | None = None,
-                 grain: str = "file", describer: fs.Describer | None = None) -> DataFrame:
+                 grain: str = "file", describer: fs.Describer | None = None,
+                 acronyms: DataFrame | None = None, english_words: DataFrame | None = None,
+                 spelling: DataFrame | None = None) -> DataFrame:
     """semantic-test-repo: top-k files per pending issue, appended to ``result``.
 
     ``scorer`` is ``"tfidf"`` (pairwise TF-IDF cosine), ``"embedding"``
@@ -110,6 +113,11 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
     described by ``describer`` (J1; the source itself when None), embedded
     (J2) and cached per (blob, function); each file then scores by its best
     function (D5), whose name is kept in ``unit``.
+
+    At file grain the descriptive text of new content can go through the
+    dictionaries of I3-I5, in that order: ``acronyms(acronym, expansion)``,
+    ``english_words(word)`` (all-capital English words lower-cased) and
+    ``spelling(term, freq)`` (every word through the corrector).
     """
     if grain not in ("file", "function"):
         raise ValueError(f"unknown grain {grain!r}")
@@ -154,6 +162,10 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
                                                 F.lit("1").alias("version"), "vector", "text")
     else:
         texts = cu.code_text(todo)
+        if acronyms is not None or english_words is not None:
+            texts = tp.replace_words(texts, "blob_sha", acronyms=acronyms, words=english_words)
+        if spelling is not None:
+            texts = tp.correct_texts(texts, "blob_sha", spelling)
         vector = fs.encode("text", encoder) if kind == "embedding" else no_vector
         new = texts.select("blob_sha", F.lit("").alias("unit"), F.lit(kind).alias("kind"),
                            F.lit("1").alias("version"), vector.alias("vector"), "text")
