@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import join_topics
+from ..session import broadcast_limit
 
 
 def search_predicate(min_stars: float | None = None, language: str | None = None,
@@ -61,7 +62,10 @@ def search(repos: DataFrame, linked_pulls: DataFrame, predicate: Column,
     hits = repos.where(predicate)
     if limit is not None and limit > 0:
         hits = hits.orderBy(F.col("stars").desc(), F.col("repo_id").asc()).limit(limit)
-        pulls = linked_pulls.join(F.broadcast(hits.select("repo_id")), "repo_id", "left_semi")
+        ids = hits.select("repo_id")
+        if limit * 16 <= broadcast_limit(repos.sparkSession):  # at most ``limit`` ids
+            ids = F.broadcast(ids)
+        pulls = linked_pulls.join(ids, "repo_id", "left_semi")
     else:
         pulls = linked_pulls
     counts = linked_counts(pulls)
