@@ -155,3 +155,16 @@ def test_snapshot_top_k_with_salted_blob(spark):
             spark.conf.unset("tracelens.rowsPerKeyTask")
     assert res[0] == res[1] and len(res[0]) == 80
     assert {r[2] for r in res[0] if r[4] == 1} == {"login.py"}
+
+
+def test_salted_join_key_only_side(spark):
+    """A side with only the key column is still spread and the join is unchanged."""
+    from tracelens.operators.joins import salted_join
+
+    many = spark.range(0, 500).select(F.when(F.col("id") < 300, F.lit("hot")).otherwise(
+        F.col("id").cast("string")).alias("k"))
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), ("7", 3)] + [(str(i), i) for i in range(300, 310)],
+                                "k string, v long")
+    got = salted_join(many, few, "k", limit=50)
+    want = many.join(few, "k")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -60,7 +60,11 @@ def salted_join(many: DataFrame, few: DataFrame, key: Sequence[str] | str,
     if n_hot * (24 * len(k) + 32) <= broadcast_limit(many.sparkSession):
         hot = F.broadcast(hot)
     others = [c for c in many.columns if c not in k]
-    spread = F.xxhash64(*[F.col(c) for c in others]) if others else F.lit(0)
+    # Rows of a key differ in their other columns; with none, the row id
+    # spreads them (each row still meets exactly one replica, so the join
+    # result does not depend on which salt a row takes).
+    spread = (F.xxhash64(*[F.col(c) for c in others]) if others
+              else F.xxhash64(F.monotonically_increasing_id()))
     m = (many.join(hot, k, "left")
              .withColumn("__salt", F.when(F.col("__salts").isNull(), F.lit(0))
                                     .otherwise(F.pmod(spread, F.col("__salts"))))
