@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def _cols(cols: Sequence[str] | str) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
@@ -74,13 +76,12 @@ def previous_in_order(df: DataFrame, group: Sequence[str] | str, order: Sequence
     group spans many tasks; ``lag`` runs inside each (group, partition) segment
     and each segment's first row takes the last value of the segment before it
     (a window over one summary row per segment).  The ranged rows are
-    checkpointed so both uses see the same segments.  ``order`` must be unique
+    written once (shared checkpoint folder) so both uses see the same segments.  ``order`` must be unique
     within a group.
     """
     g, o = _cols(group), _cols(order)
-    ranged = (df.repartitionByRange(*[F.col(c) for c in g + o])
-                .withColumn("__seg", F.spark_partition_id())
-                .checkpoint(eager=True))
+    ranged = materialize(df.repartitionByRange(*[F.col(c) for c in g + o])
+                           .withColumn("__seg", F.spark_partition_id()), "segments")
     w = Window.partitionBy(*g, "__seg").orderBy(*o)
     inner = (ranged.withColumn(out, F.lag(value).over(w))
                    .withColumn("__first", F.row_number().over(w) == 1))
