@@ -80,3 +80,25 @@ def test_split_identifier_matches_python_definition(spark):
             assert got[i] == split_py(s), repr(s)
 
     check()
+
+
+def test_tokenize_matches_vectoriser_pattern(spark):
+    """Property: H14 equals the default vectoriser tokens, (?u)\\b\\w\\w+\\b on lower-cased text."""
+    import re
+
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    chars = st.sampled_from(list("aZ_9 .,-'\t\n") + ["é", "Ω", "ж", "中", "٣", "ß", " ", "x2", "__"])
+    texts = st.lists(st.lists(chars, max_size=20).map("".join), min_size=200, max_size=200)
+    pattern = re.compile(r"(?u)\b\w\w+\b")
+
+    @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(texts)
+    def check(batch):
+        df = spark.createDataFrame(list(enumerate(batch)), "i int, t string")
+        got = {r.i: list(r.toks) for r in df.select("i", ft.tokenize("t").alias("toks")).collect()}
+        for i, t in enumerate(batch):
+            assert got[i] == pattern.findall(t.lower()), repr(t)
+
+    check()
