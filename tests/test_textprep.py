@@ -1,5 +1,7 @@
 """Dictionary replacement (C11, I3, I4) and spelling correction."""
 
+from pyspark.sql import functions as F
+
 from tracelens.operators import textprep as tp
 
 
@@ -93,3 +95,56 @@ def test_correct_texts_against_brute_force(spark):
         want = "".join(fix_word(p) if re.fullmatch(r"[A-Za-z]+", p) else p
                        for p in re.findall(r"\w+|\W+", t))
         assert got[i] == want, (t, got[i], want)
+
+
+def test_transpositions_any_against_brute_force(spark):
+    """Opt-in distance: adjacent swaps count as one edit anywhere (edits of edits, <= 2)."""
+    import random
+
+    def edits1(w, alphabet):
+        splits = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        out = {l + r[1:] for l, r in splits if r}
+        out |= {l + r[1] + r[0] + r[2:] for l, r in splits if len(r) > 1}
+        out |= {l + c + r[1:] for l, r in splits if r for c in alphabet}
+        out |= {l + c + r for l, r in splits for c in alphabet}
+        return out
+
+    def osa(a, b):  # edits-of-edits distance as a corrector counts it, capped at 3
+        if a == b:
+            return 0
+        alphabet = set(a + b)
+        one = edits1(a, alphabet)
+        if b in one:
+            return 1
+        return 2 if any(b in edits1(x, alphabet) for x in one) else 3
+
+    rnd = random.Random(7)
+    terms = ["receive", "relieve", "report", "export", "handler", "login", "address", "believe", "seize"]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def mutate(w):
+        for _ in range(2):
+            i = rnd.randrange(max(len(w) - 1, 1))
+            op = rnd.choice(["swap", "sub", "del", "ins"])
+            if op == "swap" and len(w) > 1:
+                w = w[:i] + w[i + 1] + w[i] + w[i + 2:]
+            elif op == "sub":
+                w = w[:i] + rnd.choice(letters) + w[i + 1:]
+            elif op == "del" and len(w) > 2:
+                w = w[:i] + w[i + 1:]
+            else:
+                w = w[:i] + rnd.choice(letters) + w[i:]
+        return w
+
+    words = sorted({mutate(t) for t in terms for _ in range(12)} | {"rceeiev", "hnadelr", "lgoin"})
+    pairs = spark.createDataFrame([(w, t) for w in words for t in terms], "w string, t string")
+    got = {(r.w, r.t): r.d for r in pairs.select("w", "t", tp.edit_distance(
+        F.col("w"), F.col("t"), 2, transpositions="any").alias("d")).collect()}
+    for (w, t), d in got.items():
+        want = osa(w, t)
+        assert d == (want if want <= 2 else -1), (w, t, d, want)
+    # the candidate search finds every such pair
+    dictionary = spark.createDataFrame([(t, 10) for t in terms], "term string, freq long")
+    wdf = spark.createDataFrame([(w,) for w in words], "word string")
+    cands = {(r.word, r.term) for r in tp.spelling_candidates(wdf, dictionary, 2, "any").collect()}
+    assert cands == {(w, t) for w in words for t in terms if osa(w, t) <= 2}

@@ -113,41 +113,72 @@ def deletion_keys(word: Column, max_deletes: int = 2) -> Column:
     return keys
 
 
+def swapped_at(a: Column, i: Column) -> Column:
+    """``a`` with the characters at positions ``i`` and ``i + 1`` (1-based) swapped."""
+    return F.concat(F.substr(a, F.lit(1), i - 1), F.substr(a, i + 1, F.lit(1)),
+                    F.substr(a, i, F.lit(1)), F.substr(a, i + 2))
+
+
+def _positions(a: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1)))
+
+
 def swap_equal(a: Column, b: Column) -> Column:
     """True when ``b`` is ``a`` with one pair of adjacent characters swapped."""
     n = F.length(a)
-    return (n == F.length(b)) & (n >= 2) & F.exists(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        lambda i: F.concat(F.substr(a, F.lit(1), i - 1), F.substr(a, i + 1, F.lit(1)),
-                           F.substr(a, i, F.lit(1)), F.substr(a, i + 2)) == b)
+    return (n == F.length(b)) & (n >= 2) & F.exists(_positions(a), lambda i: swapped_at(a, i) == b)
 
 
-def edit_distance(a: Column, b: Column, max_distance: int | None = None) -> Column:
+def edit_distance(a: Column, b: Column, max_distance: int | None = None,
+                  transpositions: str = "single") -> Column:
     """Levenshtein distance, except that one adjacent swap counts as one edit.
 
     With ``max_distance`` the bounded Levenshtein is used and pairs beyond it
     get -1.  A swap of two different adjacent letters has Levenshtein
     distance 2, so the (interpreted) swap test runs only on those pairs.
+
+    ``transpositions="any"`` (with ``max_distance=2``) counts a swap as one
+    edit also next to another edit, as a corrector that applies edits to
+    edits does: a swap plus one more edit (in either order), or two swaps,
+    is distance 2.  Swap first: one swap of ``a`` is within one edit (or one
+    more swap) of ``b``; edit first: ``a`` is within one edit of one swap of
+    ``b`` (a swap is its own inverse).  The test runs only on pairs beyond
+    Levenshtein 2.
     """
     lev = F.levenshtein(a, b) if max_distance is None else F.levenshtein(a, b, max_distance)
-    return F.when((lev == 2) & swap_equal(a, b), F.lit(1)).otherwise(lev)
+    d = F.when((lev == 2) & swap_equal(a, b), F.lit(1)).otherwise(lev)
+    if transpositions == "single":
+        return d
+    if transpositions != "any" or max_distance != 2:
+        raise ValueError("transpositions='any' is defined for max_distance=2")
+    n = F.length(a)
+    near = (F.exists(_positions(a), lambda i: (F.levenshtein(swapped_at(a, i), b, 1) >= 0)
+                     | swap_equal(swapped_at(a, i), b))
+            | F.exists(_positions(b), lambda j: F.levenshtein(a, swapped_at(b, j), 1) >= 0))
+    return (F.when(d >= 0, d)
+             .when((n >= 2) & (F.abs(n - F.length(b)) <= 1) & near, F.lit(2))
+             .otherwise(F.lit(-1)))
 
 
-def spelling_candidates(words: DataFrame, dictionary: DataFrame, max_distance: int = 2) -> DataFrame:
+def spelling_candidates(words: DataFrame, dictionary: DataFrame, max_distance: int = 2,
+                        transpositions: str = "single") -> DataFrame:
     """All dictionary terms within ``max_distance`` of each word: ``(word, term, freq, dist)``.
 
     ``words(word)``; ``dictionary(term, freq)``.  Exact: symmetric deletion
-    keys guarantee every pair within the distance shares a key.
+    keys guarantee every pair within the distance shares a key (a swap costs
+    one deletion on each side, so ``transpositions="any"`` pairs are found too).
     """
     w = words.select("word").distinct().select("word", F.explode(deletion_keys(F.col("word"), max_distance)).alias("k"))
     d = dictionary.select("term", "freq",
                           F.explode(deletion_keys(F.col("term"), max_distance)).alias("k"))
     pairs = w.join(d, "k").select("word", "term", "freq").distinct()
-    return (pairs.withColumn("dist", edit_distance(F.col("word"), F.col("term"), max_distance))
+    return (pairs.withColumn("dist", edit_distance(F.col("word"), F.col("term"), max_distance,
+                                                   transpositions))
                  .where((F.col("dist") >= 0) & (F.col("dist") <= max_distance)))
 
 
-def correct_words(words: DataFrame, dictionary: DataFrame, max_distance: int = 2) -> DataFrame:
+def correct_words(words: DataFrame, dictionary: DataFrame, max_distance: int = 2,
+                  transpositions: str = "single") -> DataFrame:
     """``(word, correction, dist)``; known words and words with no candidate stay.
 
     Choice: smallest distance, then highest frequency, then the smaller term.
@@ -155,7 +186,7 @@ def correct_words(words: DataFrame, dictionary: DataFrame, max_distance: int = 2
     w = words.select("word").distinct()
     known = w.join(dictionary.select(F.col("term").alias("word")), "word", "left_semi")
     unknown = w.join(known, "word", "left_anti")
-    cands = spelling_candidates(unknown, dictionary, max_distance)
+    cands = spelling_candidates(unknown, dictionary, max_distance, transpositions)
     best = (cands.groupBy("word")
                  .agg(F.min_by(F.struct("term", "dist"),
                                F.struct("dist", (-F.col("freq")).alias("nf"), "term")).alias("b"))
@@ -166,7 +197,8 @@ def correct_words(words: DataFrame, dictionary: DataFrame, max_distance: int = 2
 
 
 def correct_texts(texts: DataFrame, key: Sequence[str] | str, dictionary: DataFrame,
-                  text: str = "text", out: str = "text", max_distance: int = 2) -> DataFrame:
+                  text: str = "text", out: str = "text", max_distance: int = 2,
+                  transpositions: str = "single") -> DataFrame:
     """I5 on whole texts: every word of every text through the corrector.
 
     Texts are cut into word and non-word pieces (in order, nothing dropped).
@@ -181,7 +213,7 @@ def correct_texts(texts: DataFrame, key: Sequence[str] | str, dictionary: DataFr
     parts = pieces(src, k, text).withColumn("__w", F.lower("piece"))
     is_word = F.col("piece").rlike(r"^[A-Za-z]+$")
     words = parts.where(is_word).select(F.col("__w").alias("word")).distinct()
-    fixes = (correct_words(words, dictionary, max_distance)
+    fixes = (correct_words(words, dictionary, max_distance, transpositions)
              .where(F.col("correction") != F.col("word"))
              .select(F.col("word").alias("__w"), F.col("correction").alias("__c")))
     # The corrections table is vocabulary-sized; broadcast after measuring it.
