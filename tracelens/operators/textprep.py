@@ -171,7 +171,9 @@ def spelling_candidates(words: DataFrame, dictionary: DataFrame, max_distance: i
     w = words.select("word").distinct().select("word", F.explode(deletion_keys(F.col("word"), max_distance)).alias("k"))
     d = dictionary.select("term", "freq",
                           F.explode(deletion_keys(F.col("term"), max_distance)).alias("k"))
-    pairs = w.join(d, "k").select("word", "term", "freq").distinct()
+    # Both sides grow with the vocabulary: a sort-merge join (spills, AQE
+    # splits hot keys) rather than a broadcast chosen from an estimate.
+    pairs = w.join(d.hint("merge"), "k").select("word", "term", "freq").distinct()
     return (pairs.withColumn("dist", edit_distance(F.col("word"), F.col("term"), max_distance,
                                                    transpositions))
                  .where((F.col("dist") >= 0) & (F.col("dist") <= max_distance)))
