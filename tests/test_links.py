@@ -113,3 +113,11 @@ def test_closing_refs_match_python_regex_on_random_texts(spark):
             assert got[i] == want, repr(t)
 
     check()
+
+
+def test_in_creation_order(spark):
+    """oldest first, ties by number, missing dates last."""
+    pulls = spark.createDataFrame(
+        [(3, "2024-01-02"), (1, "2024-01-02"), (7, None), (5, "2023-12-31")],
+        "number long, created_at string").withColumn("created_at", F.to_date("created_at"))
+    assert [r.number for r in lk.in_creation_order(pulls).collect()] == [5, 1, 3, 7]
