@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 # Callers may lower it through the session conf key below.
 DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
 BROADCAST_LIMIT_KEY = "tracelens.broadcastLimitBytes"
+# Where a locally created checkpoint folder is recorded (only when the session
+# names none; ``spark.checkpoint.dir`` itself is fixed at start-up).
+LOCAL_CHECKPOINT_KEY = "tracelens.localCheckpointDir"
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -50,13 +53,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is configured by the operator and only read here.
-    When it is unset (tests, local runs) a fresh local folder is created.
+    Otherwise a folder already given to ``SparkContext.setCheckpointDir`` is
+    used; when there is none (tests, local runs) a fresh local folder is
+    created.  ``spark.checkpoint.dir`` cannot be changed at run time, so the
+    created folder is recorded under ``LOCAL_CHECKPOINT_KEY``.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = (spark.conf.get("spark.checkpoint.dir", None)
+               or spark.conf.get(LOCAL_CHECKPOINT_KEY, None)
+               or sc.getCheckpointDir())
     if not current:
         current = tempfile.mkdtemp(prefix="tracelens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        spark.conf.set(LOCAL_CHECKPOINT_KEY, current)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
 
 
