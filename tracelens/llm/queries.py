@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, neardup
+from . import decontaminate, langid, mixing, neardup, pii, quality_rules, token_counts
 from .common import bound_batches, ensure_checkpoint_dir, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,10 +20,10 @@ ORACLE_SQL: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def wrap(fn):
-        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def query(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
             ensure_checkpoint_dir(spark)
             bound_batches(spark)
-            return fn(spark, sf_dir)
+            return fn(spark, sf_dir, **options)
 
         QUERIES[name] = query
         if sql:
@@ -32,6 +32,45 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+@register("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_rules.score(read_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+@register("op2_personal_data")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
+def token_file() -> str:
+    """The vocabulary counted by default (an installed package's file, the same on every machine)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
+    return token_counts.report(read_table(spark, sf_dir, "documents"), tokenizer_file or token_file())
+
+
+# Target shares of expected tokens by domain.
+MIX_TARGETS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
+
+
+def mixing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains of the labelled documents: toxic, else high or low by quality."""
+    labels = read_table(spark, sf_dir, "labels")
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high")
+                         .when(F.col("quality") == 0, "low").alias("domain"))
+
+
+@register("op7_mix_to_targets")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), mixing_labels(spark, sf_dir), MIX_TARGETS)
+
+
 @register("op8_benchmark_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
