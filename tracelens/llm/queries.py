@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, neardup, pii, quality_rules, token_counts
+from . import chat_tree, decontaminate, langid, mixing, neardup, ordinal, pii, quality_rules, token_counts
 from .common import bound_batches, ensure_checkpoint_dir, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,32 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read_table(spark, sf_dir, "documents"))
 
 
+# A conversation whose texts hold the template's own control strings.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+@register("op3_chat_prefix_tree")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(CONTROL_TEXT).alias("text"))
+    return chat_tree.read_back(chat_tree.build(turns.unionByName(extra)))
+
+
+def graded_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of the labelled documents: 0 toxic, 1 low quality, 2 good."""
+    labels = read_table(spark, sf_dir, "labels")
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1)
+                         .when(F.col("quality") == 1, 2).alias("grade"))
+
+
+@register("op4_ordinal_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return ordinal.score(docs, ordinal.fit(docs, graded_ratings(spark, sf_dir)))
+
+
 def token_file() -> str:
     """The vocabulary counted by default (an installed package's file, the same on every machine)."""
     import public_tokenizers
