@@ -17,11 +17,12 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import bound_batches, map_batches
 
 UNDETERMINED = "und"
 BUCKET_BITS = 16
@@ -29,6 +30,8 @@ CHUNK = 1 << 20
 # Bound of the training sample: rows per language, and languages.
 ROWS_PER_LANG = 2000
 MAX_LANGS = 200
+# Predictions below this score are rejected by ``keep_identified``.
+MIN_SCORE = 0.25
 
 # Language families by ISO 639-1 code; an unlisted language is its own family.
 FAMILIES = {
@@ -207,6 +210,30 @@ def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col:
     return out.withColumnRenamed("doc_id", id_col)
 
 
+def keep_identified(docs: DataFrame, model: LangModel, text_col: str = "text", lang_col: str = "lang",
+                    min_score: float = MIN_SCORE) -> DataFrame:
+    """Documents whose language is recognised, same columns; a null ``lang_col`` is filled with the prediction.
+
+    Undetermined texts and predictions scored under ``min_score`` go.
+    """
+    bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+    lang = docs.columns.index(lang_col) if lang_col in docs.columns else None
+
+    def run(batches):
+        for batch in batches:
+            found = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
+            cols = list(batch.columns)
+            if lang is not None and cols[lang].null_count:
+                cols[lang] = pa.array([x if x is not None else p for x, (p, _) in zip(cols[lang].to_pylist(), found, strict=True)],
+                                      batch.schema.field(lang).type)
+            stay = pa.array([p != UNDETERMINED and s >= min_score for p, s in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(stay)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key_col: str = "doc_id", folds: int = 5):
     """True for rows whose key's CRC-32 falls in fold 0 (a null key is in no fold)."""
     return F.coalesce(F.crc32(F.col(key_col).cast("string")) % folds == 0, F.lit(False))

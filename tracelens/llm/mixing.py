@@ -153,15 +153,14 @@ def attach_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     """The documents of positive rate with ``rate`` and ``copies``; other columns of these names are replaced.
 
     ``copies`` rounds the rate up or down by a hash of the id, so its mean is the rate.  Domain totals
-    come out as ``sum(rate * tokens)``; the text is read once for posteriors and carried along in the same pass.
+    come out as ``sum(rate * tokens)``.  The documents are written once with their posteriors, so that texts are classified once.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     domains = sorted(targets)
     model = train(docs, labelled, domains, id_col, text_col, domain_col)
     keep = [c for c in docs.columns if c not in ("rate", "copies")]
-    member = posteriors(docs, model, domains, text_col, keep)
-    numbers = materialize(member.select("__n", "__p"), "mixing-members")
-    steps, _, _ = fit_rates(numbers, [targets[d] for d in domains])
+    member = materialize(posteriors(docs, model, domains, text_col, keep), "mixing-members")
+    steps, _, _ = fit_rates(member, [targets[d] for d in domains])
     unit = F.pmod(F.xxhash64(F.lit("copies"), F.col(id_col)), F.lit(1_000_000)) / 1_000_000
     return (member.withColumn("rate", rate_after(steps, PULL)).where("rate > 0")
             .withColumn("copies", F.floor(F.col("rate") + unit).cast("int")).select(*keep, "rate", "copies"))

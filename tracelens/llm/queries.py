@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontaminate, langid, mixing, neardup, ordinal, pii, quality_rules, token_counts
+from . import chat_tree, decontaminate, html_extract, langid, mixing, neardup, ordinal, pii, quality_rules, token_counts
 from .common import bound_batches, ensure_checkpoint_dir, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.score(docs, ordinal.fit(docs, graded_ratings(spark, sf_dir)))
 
 
+@register("op5_html_main_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def token_file() -> str:
     """The vocabulary counted by default (an installed package's file, the same on every machine)."""
     import public_tokenizers
