@@ -1,9 +1,8 @@
 """Mixing sources to target weights with soft memberships (DataFrame functions only).
 
-1. A table of labelled documents trains a naive Bayes classifier over hashed
-   words; it gives every document a posterior over the domains.  The log odds
-   are divided by the square root of the number of buckets, so long texts keep
-   soft memberships.
+1. A table of labelled documents trains a Bernoulli naive Bayes classifier over
+   hashed words.  Only buckets whose frequency differs significantly between
+   domains take part; each document gets a posterior over the domains.
 2. A document of n tokens with posterior p adds ``rate * n * p[d]`` expected
    tokens to domain d.  Projected gradient descent fits nonnegative rates whose
    expected domain totals match the targets, by least squares with a weak pull
@@ -28,47 +27,66 @@ from pyspark.sql import functions as F
 from .common import ensure_checkpoint_dir, materialize
 
 BUCKETS = 16_384
+# Bound of the training sample: labelled rows, chosen by a hash of the id.
+TRAIN_ROWS = 40_000
 STRENGTH = 20.0
+SIGNIFICANT = 6.0
+FEATURES = 512
 STEPS = 40
 TOLERANCE = 1e-3
 PULL = 1e-3
 
 
-def word_buckets(text: Column) -> Column:
-    """Sorted distinct hash buckets (1-based) of the words of a text; null has none."""
+def words_of(text: Column) -> Column:
+    """Words of a text between ASCII blanks; null has none."""
     words = F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\r\x0b\x0c", "     "), " ")
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.pmod(F.hash(w), F.lit(BUCKETS)) + 1))
+    return F.filter(words, lambda w: w != "")
 
 
-def token_count(text: Column) -> Column:
-    words = F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\r\x0b\x0c", "     "), " ")
-    return F.size(F.filter(words, lambda w: w != "")).cast("bigint")
+def buckets_of(words: Column) -> Column:
+    """Hash bucket (from 1) of each word."""
+    return F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(BUCKETS)) + 1)
 
 
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text",
           domain_col: str = "domain") -> DataFrame:
-    """Rows ``b, w0, w1, ...``: weights of bucket b for each domain; bucket 0 has the domains' biases.
+    """Rows ``b, w0, w1, ...``: what holding bucket b adds to the log odds of each domain; bucket 0 has the constants.
 
-    ``w[d]`` is the log of how much more often a document of the domain holds the bucket than any labelled
-    document does, with STRENGTH documents of the common frequencies added to each domain.
+    Copies of a text count once in a domain.  STRENGTH documents of the common frequencies are added to each
+    domain.  A bucket is kept if in some domain its count is SIGNIFICANT standard deviations from what the
+    common frequency gives; of these, the FEATURES most significant.
     """
     named = (labelled.select(F.col(id_col), F.col(domain_col).alias("__domain"))
              .where(F.col(id_col).isNotNull() & F.col("__domain").isin(domains)).distinct())
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(named, id_col).select(
-        "__domain", word_buckets(F.col("__text")).alias("__buckets"))
+    rate = min(1_000_000, 1_000_000 * TRAIN_ROWS // max(1, named.count()))
+    # At most 2 * TRAIN_ROWS rows, so the broadcast is bounded and texts stay where they are.
+    sample = materialize(named.where(F.pmod(F.xxhash64(F.lit("mixing"), F.col(id_col)), F.lit(1_000_000)) < rate).limit(2 * TRAIN_ROWS), "mixing-sample")
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(sample), id_col)
+    single = texts.groupBy("__domain", F.xxhash64("__text").alias("__h")).agg(F.min(id_col).alias(id_col)).select(id_col, "__domain")
+    single = materialize(single, "mixing-labelled")
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(single), id_col).select(
+        "__domain", F.array_distinct(buckets_of(words_of(F.col("__text")))).alias("__buckets"))
     # Bucket 0 stands for the document itself, so one grouped count gives both document totals and bucket counts.
     counts = (rows.select("__domain", F.explode(F.concat(F.array(F.lit(0)), "__buckets")).alias("b"))
               .groupBy("__domain", "b").agg(F.count(F.lit(1)).alias("n")))
     wide = counts.groupBy("b").pivot("__domain", domains).agg(F.first("n"))
     wide = materialize(wide.select("b", *[F.coalesce(F.col(f"`{d}`"), F.lit(0)).alias(f"n{k}") for k, d in enumerate(domains)]), "mixing-counts")
-    n = [F.col(f"n{k}").cast("double") for k in range(len(domains))]
-    docs_of = wide.where("b = 0").first()
-    docs_of = [float(docs_of[k + 1]) for k in range(len(domains))] if docs_of else [0.0] * len(domains)
-    total = sum(docs_of)
-    common = (sum(n[1:], n[0]) + 1.0) / (total + 2.0)
-    weight = [F.when(F.col("b") == 0, F.log((n[k] + 1.0) / (total + len(domains))))
-              .otherwise(F.log((n[k] + STRENGTH * common) / ((docs_of[k] + STRENGTH) * common))) for k in range(len(domains))]
-    return wide.select("b", *[w.alias(f"w{k}") for k, w in enumerate(weight)])
+    ks = range(len(domains))
+    n = [F.col(f"n{k}").cast("double") for k in ks]
+    row = wide.where("b = 0").first()
+    size = [float(row[k + 1]) if row else 0.0 for k in ks]
+    total = sum(size)
+    common = F.least((sum(n[1:], n[0]) + 1.0) / (total + 2.0), F.lit(0.999))
+    share = [F.least((n[k] + STRENGTH * common) / (size[k] + STRENGTH), F.lit(0.999)) for k in ks]
+    odd = F.greatest(*[F.abs(n[k] - size[k] * common) / F.sqrt(size[k] * common + 1.0) for k in ks], F.lit(0.0))
+    chosen = materialize(wide.where("b > 0").withColumn("odd", odd).where(F.col("odd") >= SIGNIFICANT)
+                         .orderBy(F.desc("odd"), "b").limit(FEATURES).select(
+        "b", *[(F.log(share[k] / (1 - share[k])) - F.log(common / (1 - common))).alias(f"w{k}") for k in ks],
+        *[F.log((1 - share[k]) / (1 - common)).alias(f"a{k}") for k in ks]), "mixing-weights")
+    absent = chosen.agg(*[F.coalesce(F.sum(f"a{k}"), F.lit(0.0)).alias(f"a{k}") for k in ks])
+    constants = absent.select(F.lit(0).alias("b"), *[
+        (F.col(f"a{k}") + float(np.log((size[k] + 1.0) / (total + len(domains))))).alias(f"w{k}") for k in ks])
+    return constants.union(chosen.select("b", *[f"w{k}" for k in ks]))
 
 
 def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], text_col: str = "text",
@@ -78,12 +96,14 @@ def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], text_col:
     weights = np.zeros((len(domains), BUCKETS + 1))
     for row in model.collect():  # at most BUCKETS + 1 rows
         weights[:, row.b] = row[1:]
-    rows = docs.select(*[F.col(c) for c in keep], token_count(F.col(text_col)).alias("__n"), word_buckets(F.col(text_col)).alias("__b"))
-    soft = F.sqrt(F.greatest(F.size("__b"), F.lit(1)).cast("double"))
+    used = np.flatnonzero(np.abs(weights[:, 1:]).max(axis=0)) + 1
+    rows = docs.select(*[F.col(c) for c in keep], words_of(F.col(text_col)).alias("__w"))
+    known = F.array_intersect(buckets_of(F.col("__w")), F.lit(used.astype(np.int32))) if len(used) else F.array().cast("array<int>")
+    rows = rows.select(*keep, F.size("__w").cast("bigint").alias("__n"), known.alias("__b"))
 
     def log_odds(k: int) -> Column:
         w = F.lit(weights[k, 1:])
-        return F.lit(float(weights[k, 0])) + F.aggregate("__b", F.lit(0.0), lambda a, b: a + F.element_at(w, b)) / soft
+        return F.lit(float(weights[k, 0])) + F.aggregate("__b", F.lit(0.0), lambda a, b: a + F.element_at(w, b))
 
     rows = rows.select(*keep, "__n", F.array(*[log_odds(k) for k in range(len(domains))]).alias("__l"))
     rows = rows.withColumn("__e", F.transform("__l", lambda x: F.exp(x - F.array_max("__l"))))
