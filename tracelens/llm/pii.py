@@ -337,7 +337,9 @@ def find_spans(text: str | None, weights: np.ndarray) -> tuple[list[tuple[str, i
             for c in chosen:
                 _, _, kind, s, e = cands[c]
                 s, e = s + a, e + a
-                if post[c] >= MIN_POSTERIOR and not any(x < e and s < y for x, y in taken):
+                # Segments of this kind that overlap exclude one another: together they say that the kind is here.
+                sure = sum(post[x] for x, other in enumerate(cands) if other[2] == kind and other[0] < cands[c][1] and cands[c][0] < other[1])
+                if sure >= MIN_POSTERIOR and not any(x < e and s < y for x, y in taken):
                     added.append((KINDS[kind], s, e))
                     taken.append((s, e))
     return base, added
