@@ -67,10 +67,10 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(single), id_col).select(
         "__domain", F.array_distinct(buckets_of(words_of(F.col("__text")))).alias("__buckets"))
     # Bucket 0 stands for the document itself, so one grouped count gives both document totals and bucket counts.
-    counts = (rows.select("__domain", F.explode(F.concat(F.array(F.lit(0)), "__buckets")).alias("b"))
-              .groupBy("__domain", "b").agg(F.count(F.lit(1)).alias("n")))
-    wide = counts.groupBy("b").pivot("__domain", domains).agg(F.first("n"))
-    wide = materialize(wide.select("b", *[F.coalesce(F.col(f"`{d}`"), F.lit(0)).alias(f"n{k}") for k, d in enumerate(domains)]), "mixing-counts")
+    counts = (rows.select("__domain", F.explode(F.concat(F.array(F.lit(0)), "__buckets")).alias("__b"))
+              .groupBy("__domain", "__b").agg(F.count(F.lit(1)).alias("__n")))
+    wide = counts.groupBy("__b").pivot("__domain", domains).agg(F.first("__n"))
+    wide = materialize(wide.select(F.col("__b").alias("b"), *[F.coalesce(F.col(f"`{d}`"), F.lit(0)).alias(f"n{k}") for k, d in enumerate(domains)]), "mixing-counts")
     ks = range(len(domains))
     n = [F.col(f"n{k}").cast("double") for k in ks]
     row = wide.where("b = 0").first()
@@ -111,24 +111,31 @@ def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], text_col:
     return rows.withColumn("__p", F.transform("__e", lambda x: x / total)).drop("__l", "__e")
 
 
-def rate_after(steps: list[list[float]], pull: float) -> Column:
-    """A document's rate after the given gradient steps (each a number per domain), starting at 1."""
-    one = F.lit(1.0)
+def _replayed(steps: list[list[float]], pull: float) -> Column:
+    """Struct of a document's rate after the given gradient steps and of the point where the next step is taken."""
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
     if not steps:
-        return one
-    history = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+        return start
+    history = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in s]).alias("e"), F.lit(k / (k + 3.0)).alias("momentum"))
+                        for k, s in enumerate(steps)])
     eta = 1.0 / (1.0 + pull)
 
-    def move(rate, step):
-        slope = F.aggregate(F.zip_with("__p", step, lambda p, e: p * e), F.lit(0.0), lambda a, x: a + x)
-        return F.greatest(F.lit(0.0), rate - eta * (slope + pull * (rate - 1.0)))
+    def move(at, step):
+        slope = F.aggregate(F.zip_with("__p", step["e"], lambda p, e: p * e), F.lit(0.0), lambda a, x: a + x)
+        rate = F.greatest(F.lit(0.0), at["ahead"] - eta * (slope + pull * (at["ahead"] - 1.0)))
+        return F.struct(rate.alias("rate"), (rate + step["momentum"] * (rate - at["rate"])).alias("ahead"))
+
+    return F.when(F.col("__n") > 0, F.aggregate(history, start, move)).otherwise(start)
 
-    return F.when(F.col("__n") > 0, F.aggregate(history, one, move)).otherwise(one)
+
+def rate_after(steps: list[list[float]], pull: float) -> Column:
+    """A document's rate after the given gradient steps (each a number per domain), starting at 1."""
+    return _replayed(steps, pull)["rate"]
 
 
 def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE,
               pull: float = PULL) -> tuple[list[list[float]], list[float], list[float]]:
-    """Gradient steps that bring the expected token shares to the targets.
+    """Gradient steps (with Nesterov's momentum) that bring the expected token shares to the targets.
 
     ``members`` has ``__n`` and ``__p`` and should be a written table.  Shares
     are of all tokens before mixing; a step is the residual of a domain over
@@ -139,20 +146,20 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tole
     wanted = [t / sum(targets) for t in targets] if sum(targets) > 0 else []
 
     def shares(history):
-        r = rate_after(history, pull)
-        row = members.agg(F.sum(F.col("__n").cast("double")), *[F.sum(r * F.col("__n") * F.col("__p")[d]) for d in range(k)]).first()
-        return [x / row[0] for x in row[1:]] if row[0] else None
+        at = members.select("__n", "__p", _replayed(history, pull).alias("at"))
+        mass = lambda rate, d: F.sum(F.col(f"at.{rate}") * F.col("__n") * F.col("__p")[d])
+        row = at.agg(F.sum(F.col("__n").cast("double")), *[mass("rate", d) for d in range(k)], *[mass("ahead", d) for d in range(k)]).first()
+        return ([x / row[0] for x in row[1:k + 1]], [x / row[0] for x in row[k + 1:]]) if row[0] else (None, None)
 
-    start = now = shares([])
+    start = now = ahead = shares([])[0]
     history: list[list[float]] = []
     if start is None or not wanted:
         return history, [0.0] * k, [0.0] * k
     for _ in range(steps):
-        gap = [a - t for a, t in zip(now, wanted, strict=True)]
-        if max(abs(g) for g in gap) <= tolerance * max(wanted):
+        if max(abs(a - t) for a, t in zip(now, wanted, strict=True)) <= tolerance * max(wanted):
             break
-        history.append([g / max(s, 1e-6) for g, s in zip(gap, start, strict=True)])
-        now = shares(history)
+        history.append([(a - t) / max(s, 1e-6) for a, t, s in zip(ahead, wanted, start, strict=True)])
+        now, ahead = shares(history)
     return history, start, now
 
 

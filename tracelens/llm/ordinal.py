@@ -24,7 +24,7 @@ from .common import map_batches
 
 BITS = 18
 TRAIN_ROWS = 12_000
-EPOCHS = 12
+BATCH, STEPS, MIN_DOCS = 128, 800, 10
 CACHE_WORDS = 1_000_000
 _SYMBOLS = b"#*$%&|<>"
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() and not chr(c).isupper() else (c | 32 if chr(c).isupper() else 32) for c in range(256))
@@ -80,43 +80,54 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts - z, -40, 40)))
 
 
-def fit_rows(rows: list[np.ndarray], ranks: np.ndarray, grades: list[int], epochs: int = EPOCHS, seed: int = 3,
-             l2: float = 1e-4) -> OrdinalModel:
-    """Maximum likelihood by AdaGrad on batches; thresholds stay ordered by positive gaps."""
-    k = len(grades)
+def fit_rows(rows: list[np.ndarray], ranks: np.ndarray, grades: list[int], steps: int = STEPS, seed: int = 3,
+             l2: float = 1e-3, rate: float = 0.2) -> OrdinalModel:
+    """Maximum likelihood by gradient steps on batches; thresholds stay ordered by positive gaps.
+
+    Buckets in fewer than MIN_DOCS rows get no weight.  A weight's step is divided by the root of its bucket's share
+    of rows, which lets telling words move further than common ones and rare words no further than they should.
+    """
+    k, n = len(grades), len(rows)
     w = np.zeros(1 << BITS)
-    if k < 2 or not rows:
+    if k < 2:
         return OrdinalModel(w, np.zeros(max(0, k - 1)), grades)
-    share = np.cumsum(np.bincount(ranks, minlength=k) + 1.0)[:-1] / (len(ranks) + k)
-    theta = np.concatenate(([np.log(share[0] / (1 - share[0]))],
-                            np.log(np.maximum(np.diff(np.log(share / (1 - share))), 0.05))))
-    w2, t2 = np.full_like(w, 1e-6), np.full_like(theta, 1e-6)
+    share = np.cumsum(np.bincount(ranks, minlength=k) + 1.0)[:-1] / (n + k)
+    first = np.log(share / (1 - share))
+    theta = np.concatenate((first[:1], np.log(np.maximum(np.diff(first), 0.05))))
+    seen = np.bincount(np.concatenate(rows), minlength=1 << BITS)
+    least = min(MIN_DOCS, max(2, n // 50))
+    rows = [r[seen[r] >= least] for r in rows]
     sizes = np.array([len(r) for r in rows])
+    scale = rate / np.sqrt((seen + least) / n)
+    squares = np.full_like(theta, 1e-6)
     rng = np.random.default_rng(seed)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-    for epoch in range(epochs):
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 128)):
-            idx = np.concatenate([rows[i] for i in part])
-            of = np.repeat(np.arange(len(part)), sizes[part])
-            z = np.bincount(of, weights=w[idx], minlength=len(part))
-            cuts = np.concatenate(([-np.inf], np.cumsum(np.concatenate((theta[:1], np.exp(theta[1:])))), [np.inf]))
-            y = ranks[part]
-            hi, lo = sig(cuts[y + 1] - z), sig(cuts[y] - z)
-            p = np.maximum(hi - lo, 1e-9)
-            d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-            g = np.bincount(idx, weights=(d_hi - d_lo)[of], minlength=1 << BITS) / len(part)
-            touched = np.unique(idx)
-            g = g[touched] + l2 * w[touched]
-            w2[touched] += g * g
-            w[touched] -= 0.05 * g / np.sqrt(w2[touched])
-            by_cut = np.zeros(k + 1)
-            np.add.at(by_cut, y + 1, -d_hi)
-            np.add.at(by_cut, y, d_lo)
-            slope = np.cumsum(by_cut[1:k][::-1])[::-1] / len(part)
-            gt = slope * np.concatenate(([1.0], np.exp(theta[1:])))
-            t2 += gt * gt
-            theta -= 0.1 * gt / np.sqrt(t2)
-    return OrdinalModel(w, np.cumsum(np.concatenate((theta[:1], np.exp(theta[1:])))), grades)
+    cuts_of = lambda t: np.cumsum(np.concatenate((t[:1], np.exp(t[1:]))))
+    for part in _batches(n, steps, rng):
+        idx = np.concatenate([rows[i] for i in part])
+        of = np.repeat(np.arange(len(part)), sizes[part])
+        z = np.bincount(of, weights=w[idx], minlength=len(part))
+        cuts = np.concatenate(([-np.inf], cuts_of(theta), [np.inf]))
+        y = ranks[part]
+        hi, lo = sig(cuts[y + 1] - z), sig(cuts[y] - z)
+        p = np.maximum(hi - lo, 1e-9)
+        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
+        w -= scale * np.bincount(idx, weights=(d_hi - d_lo)[of], minlength=1 << BITS) / len(part) + rate * l2 * w
+        by_cut = np.zeros(k + 1)
+        np.add.at(by_cut, y + 1, -d_hi)
+        np.add.at(by_cut, y, d_lo)
+        slope = np.cumsum(by_cut[1:k][::-1])[::-1] / len(part) * np.concatenate(([1.0], np.exp(theta[1:])))
+        squares += slope * slope
+        theta -= 0.1 * slope / np.sqrt(squares)
+    return OrdinalModel(w, cuts_of(theta), grades)
+
+
+def _batches(n: int, steps: int, rng: np.random.Generator):
+    done = 0
+    while done < steps:
+        for part in np.array_split(rng.permutation(n), max(1, n // BATCH)):
+            yield part
+            done += 1
 
 
 def _sample_tokens(batch) -> dict:
