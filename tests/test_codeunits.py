@@ -54,7 +54,8 @@ class LoginView(Base):
     assert ("string", "bad input") in kinds
     assert ("name", "handleRequest") in kinds and ("name", "requestData") in kinds
     names = [t for k, t in kinds if k == "name"]
-    for dropped in ("pkg", "thing", "LoginView", "decorator", "self", "len", "double quoted"):
+    assert "thing" in names  # what an import from a module brings in is a name
+    for dropped in ("pkg", "LoginView", "decorator", "self", "len", "double quoted"):
         assert dropped not in names
     assert names.count("os") == 1  # the use in the body; the import is dropped
     assert ("string", ":") not in kinds
@@ -66,24 +67,27 @@ def test_code_text(spark):
     assert cu.code_text(df).first().text == 'get User Name """Return the name."""'
 
 
-def test_code_pieces_close_to_pygments():
-    pygments = pytest.importorskip("pygments")
-    from pygments.lexers import PythonLexer
-    from pygments.token import Token
-
-    src = '''def parseValue(rawText, count):
+def test_code_pieces_of_strings_and_imports():
+    src = '''import os.path as osp
+from pkg.mod import first, second as other
+def parseValue(rawText, count):
     """Parse it."""
     # keep this comment
-    result = rawText.strip()
-    return result * count
+    label = f'total {count} of' + f"dropped {rawText}"
+    note = \'\'\'three quotes\'\'\'
+    return 'done'
 '''
-    keep = []
-    for ttype, value in PythonLexer().get_tokens(src):
-        if ttype in (Token.Literal.String.Doc, Token.Comment.Single, Token.Comment.Multiline):
-            keep.append(value)
-        elif ttype == Token.Literal.String.Single and value not in ("'", ":", ";"):
-            keep.append(value)
-        elif ttype in (Token.Name.Function, Token.Name):
-            keep.append(value)
-    mine = [t for _, t in cu.code_pieces(src)]
-    assert mine == keep
+    kinds = cu.code_pieces(src)
+    strings = [t.strip() for k, t in kinds if k == "string"]
+    assert strings == ["total", "of", "three quotes", "done"]
+    names = [t for k, t in kinds if k == "name"]
+    assert names == ["first", "second", "other", "parseValue", "rawText", "count", "label", "count", "rawText", "note"]
+    assert ("doc", '"""Parse it."""') in kinds and ("comment", "# keep this comment") in kinds
+
+
+def test_rejects_of_deep_nesting_and_other_encodings(spark):
+    deep = "x = " + "(" * 5000 + ")" * 5000
+    df = _src(spark, [("deep", deep), ("null", None), ("good", "def f():\n    pass\n")])
+    assert {r.blob_sha for r in cu.parse_errors(df).collect()} == {"deep", "null"}
+    assert [r.name for r in cu.extract_functions(df).collect()] == ["f"]
+    assert {r.blob_sha for r in cu.code_text(df).where("text is not null").collect()} >= {"good"}

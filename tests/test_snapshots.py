@@ -55,7 +55,7 @@ def test_feature_store_cycle(spark, tmp_dir):
     assert sorted((r.blob_sha, r.n) for r in upd.collect()) == [("a", 1), ("b", 5)]
     looked = {r.blob_sha: r.n for r in fs.lookup(units.distinct(), store2, "blob_sha").collect()}
     assert looked == {"a": 1, "b": 2}
-    fs.drop_store(path)
+    fs.drop_store(spark, path)
 
 
 def test_hashing_encoder(spark):

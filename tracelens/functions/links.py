@@ -18,10 +18,14 @@ CLOSING_KEYWORDS = (
     "fix", "fixes", "fixed",
     "resolve", "resolves", "resolved",
 )
-_KEYWORDS = "|".join(sorted(CLOSING_KEYWORDS, key=len, reverse=True))
+# After "#" any decimal digits count, in an address ASCII digits only.
 CLOSING_REF_PATTERN = (
-    r"(?U)(?:" + _KEYWORDS + r")\s+(?:#|https?://[^/]+/[^/]+/[^/]+/[^/]+/)(\d+)"
+    r"(?U)(?:" + "|".join(CLOSING_KEYWORDS) + r")\s+(?:#|https?://[^/]+/[^/]+/[^/]+/[^/]+/)((?<=#)\d+|[0-9]+)"
 )
+# First code points of the decimal digit rows that are read as numbers besides ASCII:
+# Arabic-Indic, extended Arabic-Indic, Devanagari, Bengali, Thai, full width.
+_DIGIT_ROWS = (0x0660, 0x06F0, 0x0966, 0x09E6, 0x0E50, 0xFF10)
+_DIGITS = "".join(chr(row + d) for row in _DIGIT_ROWS for d in range(10))
 
 
 def _c(col: Column | str) -> Column:
@@ -35,7 +39,8 @@ def closing_refs(text: Column | str) -> Column:
     """
     found = F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))),
                                  F.lit(CLOSING_REF_PATTERN), 1)
-    return F.transform(found, lambda s: s.try_cast("bigint"))
+    numbers = F.transform(found, lambda s: F.translate(s, _DIGITS, "0123456789" * len(_DIGIT_ROWS)).try_cast("bigint"))
+    return F.filter(numbers, lambda n: n.isNotNull())
 
 
 def first_ref(text: Column | str) -> Column:
@@ -43,11 +48,6 @@ def first_ref(text: Column | str) -> Column:
     return F.get(closing_refs(text), 0)
 
 
-def choose_link(*candidates: Column) -> Column:
-    """H2: first non-NULL of the candidate links, in priority order."""
-    return F.coalesce(*candidates)
-
-
 def number_from_url(url: Column | str) -> Column:
     """H3: trailing number of a URL (``.../pull/17`` -> 17); NULL when not a number."""
     return F.substring_index(_c(url), "/", -1).try_cast("bigint")

@@ -60,9 +60,11 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for blob, src in zip(pdf["blob_sha"], pdf["source"]):
             try:
-                for q, name, line, end, text in _functions_of(src or ""):
+                if src is None:
+                    raise ValueError("not UTF-8 text")
+                for q, name, line, end, text in _functions_of(src):
                     rows.append((blob, q, name, line, end, text, None))
-            except (SyntaxError, ValueError, RecursionError) as e:
+            except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
                 rows.append((blob, None, None, None, None, None, f"{type(e).__name__}: {e}"))
         yield pd.DataFrame(rows, columns=["blob_sha", "qualname", "name", "lineno",
                                           "end_lineno", "source", "error"])
@@ -95,7 +97,11 @@ def parse_errors(sources: DataFrame, blob: str = "blob_sha", source: str = "sour
 # ---------------------------------------------------------------------------
 
 _BUILTINS = frozenset(dir(builtins)) | {"self", "cls"}
-_SKIP_AFTER = {"class", "import", "from", "@"}
+_SKIP_AFTER = {"class", "from", "@"}
+# Tokens of formatted strings (absent before Python 3.12, where they are whole STRING tokens).
+_F_START = getattr(tokenize, "FSTRING_START", None)
+_F_MIDDLE = getattr(tokenize, "FSTRING_MIDDLE", None)
+_F_END = getattr(tokenize, "FSTRING_END", None)
 
 
 def _is_docstring_start(prev_type: int) -> bool:
@@ -107,38 +113,55 @@ def code_pieces(src: str) -> list[tuple[str, str]]:
     """B13 selection over the standard tokenizer, as ``(kind, text)`` pairs.
 
     Kept: comments; triple-quoted strings that start a logical line
-    (docstrings), whole token; the contents of single-quoted strings unless
-    they are ``:`` or ``;``; function names after ``def`` unless dunder; plain
-    names (``kind = "name"``, to be split into words).  Dropped: keywords,
-    builtins and ``self``/``cls``, class names, decorator names, imported
-    module names, double-quoted one-line strings, numbers, operators.
+    (docstrings), whole token; the contents of other strings in single quotes,
+    one or three, formatted ones piece by piece, unless they are ``:`` or
+    ``;``; function names after ``def`` unless dunder; plain names
+    (``kind = "name"``, to be split into words), also those that ``from x
+    import`` brings in.  Dropped: keywords, builtins and ``self``/``cls``,
+    class names, decorator names, module names, strings in double quotes,
+    numbers, operators.
     """
     out: list[tuple[str, str]] = []
     prev_type, prev_str = None, None
-    in_import = False
+    module = None  # "import" or "from" while module names are read
+    quotes: list[bool] = []  # open formatted strings: in single quotes?
+
+    def add_string(text: str) -> None:
+        if text not in ("", ":", ";"):
+            out.append(("string", text))
+
     for tok in tokenize.generate_tokens(io.StringIO(src).readline):
         t, s = tok.type, tok.string
         if t == tokenize.NEWLINE:
-            in_import = False
-        if t == tokenize.COMMENT:
+            module = None
+        if t == _F_START and t is not None:
+            quotes.append(s.lstrip("rRbBuUfF")[:1] == "'")
+        elif t == _F_END and t is not None:
+            quotes.pop()
+        elif t == _F_MIDDLE and t is not None:
+            if quotes and quotes[-1]:
+                add_string(s)
+        elif t == tokenize.COMMENT:
             out.append(("comment", s))
         elif t == tokenize.STRING:
             body = s.lstrip("rRbBuUfF")
             if body[:3] in ('"""', "'''") and _is_docstring_start(prev_type):
                 out.append(("doc", s))
-            elif body[:1] == "'" and body[:3] != "'''":
-                inner = body[1:-1]
-                if inner not in ("", ":", ";"):
-                    out.append(("string", inner))
+            elif body[:3] == "'''":
+                add_string(body[3:-3])
+            elif body[:1] == "'":
+                add_string(body[1:-1])
         elif t == tokenize.NAME:
-            if prev_str == "import" or (prev_str == "from" and prev_type == tokenize.NAME):
-                in_import = True
+            if s == "import":
+                module = None if module == "from" else "import"
+            elif s == "from" and _is_docstring_start(prev_type):
+                module = "from"
             if keyword.iskeyword(s):
                 pass
             elif prev_str == "def":
                 if not (s.startswith("__") and s.endswith("__")):
                     out.append(("name", s))
-            elif prev_str in _SKIP_AFTER or in_import:
+            elif prev_str in _SKIP_AFTER or module:
                 pass
             elif prev_str == "." or s not in _BUILTINS:
                 if not (s.startswith("__") and s.endswith("__")):
@@ -153,9 +176,11 @@ def _pieces_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blobs, pieces, errors = [], [], []
         for blob, src in zip(pdf["blob_sha"], pdf["source"]):
             try:
-                p = [{"kind": k, "text": x} for k, x in code_pieces(src or "")]
+                if src is None:
+                    raise ValueError("not UTF-8 text")
+                p = [{"kind": k, "text": x} for k, x in code_pieces(src)]
                 err = None
-            except (tokenize.TokenError, SyntaxError, IndentationError) as e:
+            except (tokenize.TokenError, SyntaxError, ValueError, RecursionError, MemoryError) as e:
                 p, err = None, f"{type(e).__name__}: {e}"
             blobs.append(blob)
             pieces.append(p)

@@ -18,7 +18,6 @@ deterministic stand-in for tests.
 
 from __future__ import annotations
 
-import shutil
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -27,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import delete_path, path_exists
+
 Encoder = Callable[[pd.Series], pd.Series]
 # Source text -> description text, one pandas batch at a time.
 Describer = Callable[[pd.Series], pd.Series]
@@ -63,15 +64,14 @@ def write_store(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
 
 def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The store, or an empty frame of ``schema`` when none was written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - missing path: start empty
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
-def drop_store(path: str) -> None:
-    """Remove a local store; on a cluster drop the table through the catalog."""
-    shutil.rmtree(path, ignore_errors=True)
+def drop_store(spark: SparkSession, path: str) -> None:
+    """Remove a store, wherever its storage is."""
+    delete_path(spark, path)
 
 
 def encode(texts: Column | str, encoder: Encoder) -> Column:

@@ -43,11 +43,12 @@ def find_repositories(repos: DataFrame, linked_pulls: DataFrame, min_stars: floa
 
 
 def ingest(spark: SparkSession, exports: dict[str, str], root: str) -> dict[str, DataFrame]:
-    """get-data-repo for every repository in the exports; appends to the store at ``root``.
+    """get-data-repo for every repository in the exports, merged into the store at ``root`` by natural key.
 
     ``exports`` maps ``repositories, issues, pulls, review_comments,
-    issue_comments, pull_files, tree`` to JSON-lines paths.  Returns the
-    DataFrames written, keyed by table name.
+    issue_comments, pull_files, tree`` to JSON-lines paths.  A row of the
+    exports replaces the stored row of its key, so a repeated ingest changes
+    nothing.  Returns the stored tables, keyed by name.
     """
     store.create_if_missing(spark, root)
     repos = ex.read_repositories(spark, exports["repositories"])
@@ -65,26 +66,28 @@ def ingest(spark: SparkSession, exports: dict[str, str], root: str) -> dict[str,
                                 ["repo_id", "number"], "left_semi")
     comments = ex.read_issue_comments(spark, exports["issue_comments"], linked_issues)
     tree = ex.read_tree(spark, exports["tree"])
-    files = tree.select("repo_id", "path", F.xxhash64("repo_id", "path").alias("file_id"),
-                        F.col("blob_sha").alias("sha")).dropDuplicates(["repo_id", "path"])
+    file_id = F.xxhash64("repo_id", "path").alias("file_id")
+    # A path may be in several snapshots of the tree: the smallest content id stands for it.
+    files = tree.groupBy("repo_id", "path").agg(F.min("blob_sha").alias("sha")).select("repo_id", "path", file_id, "sha")
     changed = ex.read_pull_files(spark, exports["pull_files"]).join(
         resolved.select("repo_id", F.col("number").alias("pull_number")),
         ["repo_id", "pull_number"], "left_semi")
-    new_files = (changed.select("repo_id", "path", "sha").dropDuplicates(["repo_id", "path"])
-                        .join(files.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
-                        .withColumn("file_id", F.xxhash64("repo_id", "path")))
+    # C4: a changed path that neither the tree nor the store has becomes a file of its own.
+    known = files.select("repo_id", "path").unionByName(store.read(spark, root, "git_file").select("repo_id", "path"))
+    new_files = (changed.groupBy("repo_id", "path").agg(F.min("sha").alias("sha"))
+                        .join(known, ["repo_id", "path"], "left_anti").select("repo_id", "path", file_id, "sha"))
     out = {
         "repository": ex.repository_record(repos),
-        "git_file": files.unionByName(new_files),
+        "git_file": materialize(files.unionByName(new_files), "git-files"),
         "issue": linked_issues,
         "pull_request": pull_rows,
         "comment": comments,
-        "modified_file": changed,
+        "modified_file": changed.withColumn("file_id", file_id),
         "manifest": tree,
     }
     for name, df in out.items():
-        store.append(df, root, name)
-    return out
+        store.merge(spark, df, root, name)
+    return {name: store.read(spark, root, name) for name in out}
 
 
 def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10,
@@ -127,19 +130,23 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
         raise ValueError("the embedding scorer needs an encoder")
     issues = store.read(spark, root, "issue")
     pulls = store.read(spark, root, "pull_request").where(F.col("issue_number").isNotNull())
-    done = store.read(spark, root, "result").select("repo_id", "issue_number").distinct()
-    pending = (issues.withColumnRenamed("number", "issue_number")
-                     .join(done, ["repo_id", "issue_number"], "left_anti"))
+    done = store.read(spark, root, "scored")
+    pending = cat.pending(issues.withColumnRenamed("number", "issue_number"), done, ["repo_id", "issue_number"])
     # The first pull request (by creation) names the snapshot of an issue.
     first = lk.first_pull_per_issue(pulls, ["repo_id", "issue_number"], ["created_at", "number"],
                                     "number")
     base = (pulls.join(first.withColumnRenamed("first_number", "number"),
                        ["repo_id", "issue_number", "number"], "left_semi")
                  .select("repo_id", "issue_number", F.col("sha_base").alias("snapshot_sha")))
-    queries = (pending.join(base, ["repo_id", "issue_number"])
-                      .select("repo_id", "snapshot_sha", "issue_number",
-                              issue_text("title", "body").alias("text")))
-    manifest = sources.select("repo_id", "snapshot_sha", "path", "blob_sha")
+    # Written: the issues of this run stay the same while results are added.
+    queries = materialize(pending.join(base, ["repo_id", "issue_number"])
+                          .select("repo_id", "snapshot_sha", "issue_number",
+                                  issue_text("title", "body").alias("text")), "queries")
+    scope = ["repo_id", "snapshot_sha"]
+    # Only the snapshots that pending issues point at are scored.  The sources are listed (and hashed) once;
+    # contents are read again only for blobs without a feature.
+    sources = sources.join(queries.select(*scope).distinct(), scope, "left_semi")
+    manifest = materialize(sources.select(*scope, "path", "blob_sha"), "manifest")
 
     # K1: features only for content not seen before.
     if grain == "function":
@@ -147,7 +154,9 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
     else:
         kind = scorer if scorer == "embedding" else "tfidf"  # custom scorers use the text features
     feats = store.read(spark, root, "feature").where(F.col("kind") == F.lit(kind))
-    todo = sources.join(fs.misses(sources, feats, "blob_sha"), "blob_sha", "left_semi")
+    missing = materialize(fs.misses(manifest, feats, "blob_sha"), "missing-blobs")
+    todo = sources.join(missing, "blob_sha", "left_semi")
+    todo = materialize(todo.groupBy("blob_sha").agg(F.max("source").alias("source")), "sources")
     no_vector = F.lit(None).cast("array<float>")
     if grain == "function":
         funcs = cu.extract_functions(todo)
@@ -171,11 +180,9 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
                            F.lit("1").alias("version"), vector.alias("vector"), "text")
     new = materialize(new, "features")
     store.append(new, root, "feature")
-    feats = feats.unionByName(new)
+    store.append(cu.parse_errors(todo), root, "reject")
+    feats = store.read(spark, root, "feature").where(F.col("kind") == F.lit(kind))
 
-    scope = ["repo_id", "snapshot_sha"]
-    # Only the snapshots that pending issues point at are scored.
-    manifest = manifest.join(queries.select(*scope).distinct(), scope, "left_semi")
     if scorer == "tfidf":
         # Postings per distinct content id, shared by every snapshot holding it.
         texts = feats.select("blob_sha", "text").join(
@@ -209,5 +216,10 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
     files = store.read(spark, root, "git_file")
     result = cat.attach_file_ids(ranked, files).select("repo_id", "issue_number", "rank", "path",
                                                        "file_id", "score", "unit")
+    result = materialize(result, "result")
     store.append(result, root, "result")
+    # Every scored issue is marked, also one that got no file, or it would be scored again for ever.
+    counts = result.groupBy("repo_id", "issue_number").agg(F.count(F.lit(1)).alias("n_results"))
+    marks = queries.select("repo_id", "issue_number").distinct().join(counts, ["repo_id", "issue_number"], "left").fillna(0, ["n_results"])
+    store.append(marks, root, "scored")
     return result

@@ -168,16 +168,18 @@ def ingest_issues(spark, sf_dir):
 
 @register("ingest_pulls", sql=f"""
 WITH {LINKED_CTE},
-res AS (SELECT lp.number, o.o_orderkey AS issue_number
+res AS (SELECT lp.repo_id, lp.number, o.o_orderkey AS issue_number
         FROM lp JOIN orders o ON o.o_custkey = lp.repo_id AND o.o_orderkey = lp.link)
 SELECT lp.repo_id, lp.number, lp.title, lp.body, lp.state, lp.sha_base, res.issue_number,
        lp.created_at, lp.merged_at
-FROM lp LEFT JOIN res ON lp.number = res.number
+FROM lp LEFT JOIN res ON lp.repo_id = res.repo_id AND lp.number = res.number
 """)
 def ingest_pulls(spark, sf_dir):
     """A3 + K5: the pull-request table with its resolved issue (NULL when none)."""
-    res = resolved_pulls(spark, sf_dir).select("number", "issue_number")
-    return (linked_pulls(spark, sf_dir).join(res, "number", "left")
+    # One left join of the linked pulls to the issues: links are extracted once.
+    issues = roles.issues(spark, sf_dir).select("repo_id", F.col("number").alias("issue_number"))
+    linked = linked_pulls(spark, sf_dir)
+    return (linked.join(issues, (linked.repo_id == issues.repo_id) & (linked.link == issues.issue_number), "left").drop(issues.repo_id)
             .select("repo_id", "number", "title", "body", "state", "sha_base", "issue_number",
                     "created_at", "merged_at"))
 

@@ -154,14 +154,14 @@ def first_pr_per_issue(spark, sf_dir):
 @register("link_update", sql=f"""
 WITH {LINKED_CTE},
 old AS (SELECT repo_id, number, {refs_sql('title')}[1] AS issue_number FROM pulls),
-new AS (SELECT lp.number, o.o_orderkey AS issue_number
+new AS (SELECT lp.repo_id, lp.number, o.o_orderkey AS issue_number
         FROM lp JOIN orders o ON o.o_custkey = lp.repo_id AND o.o_orderkey = lp.link)
 SELECT old.repo_id, old.number, coalesce(new.issue_number, old.issue_number) AS issue_number
-FROM old LEFT JOIN new ON old.number = new.number
+FROM old LEFT JOIN new ON old.repo_id = new.repo_id AND old.number = new.number
 """)
 def link_update(spark, sf_dir):
     """K5: stored link (first title reference) replaced by the resolved link where one exists."""
     old = roles.pulls(spark, sf_dir).select(
         "repo_id", "number", F.get(closing_refs("title"), 0).alias("issue_number"))
-    new = resolved_pulls(spark, sf_dir).select("number", "issue_number")
-    return lk.update_links(old, new, "number").select("repo_id", "number", "issue_number")
+    new = resolved_pulls(spark, sf_dir).select("repo_id", "number", "issue_number")
+    return lk.update_links(old, new, ["repo_id", "number"]).select("repo_id", "number", "issue_number")

@@ -28,11 +28,15 @@ PULL_REQUEST = _s(("repo_id", L), ("number", L), ("pull_id", L), ("title", S), (
                   ("merged_at", TS))
 COMMENT = _s(("comment_id", L), ("repo_id", L), ("number", L), ("seq", I), ("body", S))
 MODIFIED_FILE = _s(("repo_id", L), ("pull_number", L), ("path", S), ("status", S), ("patch", S),
-                   ("additions", I), ("deletions", I), ("changes", I))
+                   ("additions", I), ("deletions", I), ("changes", I), ("file_id", L))
 RESULT = _s(("repo_id", L), ("issue_number", L), ("rank", I), ("path", S), ("file_id", L),
             ("score", D), ("unit", S))
 FEATURE = _s(("blob_sha", S), ("unit", S), ("kind", S), ("version", S),
              ("vector", T.ArrayType(T.FloatType())), ("text", S))
+# Issues that were scored, with the number of files they got (0 when none shares a term).
+SCORED = _s(("repo_id", L), ("issue_number", L), ("n_results", L))
+# Contents that could not be read or parsed.
+REJECT = _s(("blob_sha", S), ("error", S))
 MANIFEST = _s(("repo_id", L), ("snapshot_sha", S), ("path", S), ("blob_sha", S))
 
 # --- exports of the code host (JSON lines, one object per row) ---------------

@@ -83,8 +83,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the folder is configured by the operator and only read here.
     Otherwise a folder already given to ``SparkContext.setCheckpointDir`` is
-    used; when there is none (tests, local runs) a fresh local folder is
-    created.  ``spark.checkpoint.dir`` cannot be changed at run time, so the
+    used; when there is none, a local master (tests, local runs) gets a fresh
+    local folder and any other master an error.  ``spark.checkpoint.dir`` cannot be changed at run time, so the
     created folder is recorded under ``LOCAL_CHECKPOINT_KEY``.
     """
     sc = spark.sparkContext
@@ -92,6 +92,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                or spark.conf.get(LOCAL_CHECKPOINT_KEY, None)
                or sc.getCheckpointDir())
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="tracelens-ckpt-")
         spark.conf.set(LOCAL_CHECKPOINT_KEY, current)
     if not sc.getCheckpointDir():
@@ -99,6 +101,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """The path as Spark's readers spell it (scheme and authority resolved)."""
+    fs, p = _hadoop(spark, path)
+    return fs.makeQualified(p).toString()
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on whatever storage holds it; nothing happens if it is not there."""
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def rename_path(spark: SparkSession, old: str, new: str) -> None:
+    fs, p = _hadoop(spark, old)
+    if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"cannot rename {old} to {new}")
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     value = spark.conf.get(BROADCAST_LIMIT_KEY, None)
     return int(value) if value else DEFAULT_BROADCAST_LIMIT

@@ -10,13 +10,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.links import number_from_url
 
 
-def _json(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+_CORRUPT = "__corrupt"
+
+
+def _parsed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``value`` (the line) and ``row`` (the parsed struct) of every line that is not blank."""
+    fields = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    return (spark.read.text(path).where(F.trim("value") != "")
+            .select("value", F.from_json("value", fields, options).alias("row")))
+
+
+def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The well-formed lines of an export; the others are in ``read_rejects``."""
+    good = _parsed(spark, path, schema).where(F.col(f"row.{_CORRUPT}").isNull())
+    return good.select(*[F.col(f"row.{f.name}").alias(f.name) for f in schema.fields])
+
+
+def read_rejects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``line``: the lines of an export that are not an object of its schema."""
+    return _parsed(spark, path, schema).where(F.col(f"row.{_CORRUPT}").isNotNull()).select(F.col("value").alias("line"))
 
 
 def read_repositories(spark: SparkSession, path: str) -> DataFrame:

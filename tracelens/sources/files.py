@@ -7,11 +7,28 @@ built here join with exported tree listings and with the feature store.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import relative_path
 from ..operators.snapshots import git_blob_sha
+from ..session import qualified_path
+
+
+def _files(spark: SparkSession, root: str, glob: str) -> tuple[DataFrame, Column]:
+    """The files below ``root`` and their path relative to it; a file elsewhere is an error, never a lost row."""
+    files = (spark.read.format("binaryFile")
+                  .option("recursiveFileLookup", "true")
+                  .option("pathGlobFilter", glob)
+                  .load(root))
+    prefix = qualified_path(spark, root).rstrip("/") + "/"
+    relative = F.when(F.startswith(F.col("path"), F.lit(prefix)), F.substr(F.col("path"), F.lit(len(prefix) + 1))).otherwise(
+        F.raise_error(F.concat(F.lit(f"not below {prefix}: "), F.col("path"))))
+    return files, relative
+
+
+def _text() -> Column:
+    """The content as text; NULL when it is not UTF-8 (``invalid_sources`` lists these files)."""
+    return F.try_validate_utf8(F.col("content").cast("string"))
 
 
 def read_source_tree(spark: SparkSession, root: str, repo_id: int, snapshot_sha: str,
@@ -19,19 +36,15 @@ def read_source_tree(spark: SparkSession, root: str, repo_id: int, snapshot_sha:
     """``(repo_id, snapshot_sha, path, blob_sha, source)`` of every matching file.
 
     ``path`` is relative to ``root`` with ``/`` separators (H7); ``source`` is
-    the whole file decoded as UTF-8.
+    the whole file decoded as UTF-8, NULL if it is not.
     """
-    files = (spark.read.format("binaryFile")
-                  .option("recursiveFileLookup", "true")
-                  .option("pathGlobFilter", glob)
-                  .load(root))
-    root_uri = root.rstrip("/")
+    files, relative = _files(spark, root, glob)
     return files.select(
         F.lit(repo_id).cast("bigint").alias("repo_id"),
         F.lit(snapshot_sha).alias("snapshot_sha"),
-        relative_path(F.regexp_replace("path", "^file:", ""), root_uri.replace("file:", "")).alias("path"),
+        relative.alias("path"),
         git_blob_sha("content").alias("blob_sha"),
-        F.decode("content", "UTF-8").alias("source"),
+        _text().alias("source"),
     )
 
 
@@ -40,20 +53,23 @@ def read_source_trees(spark: SparkSession, root: str, glob: str = "*.py") -> Dat
 
     Same columns as ``read_source_tree``; the repository id and the snapshot
     come from the first two folder levels, so thousands of snapshots are one
-    ``binaryFile`` scan instead of a union of scans.
+    ``binaryFile`` scan instead of a union of scans.  A file that is not below
+    two such folders is an error.
     """
-    files = (spark.read.format("binaryFile")
-                  .option("recursiveFileLookup", "true")
-                  .option("pathGlobFilter", glob)
-                  .load(root))
-    rel = relative_path(F.regexp_replace("path", "^file:", ""),
-                        root.rstrip("/").replace("file:", ""))
-    parts = files.select(F.split(rel, "/", 3).alias("__p"), "content").where(F.size("__p") == 3)
-    return parts.select(F.element_at("__p", 1).cast("bigint").alias("repo_id"),
-                        F.element_at("__p", 2).alias("snapshot_sha"),
-                        F.element_at("__p", 3).alias("path"),
-                        git_blob_sha("content").alias("blob_sha"),
-                        F.decode("content", "UTF-8").alias("source"))
+    files, relative = _files(spark, root, glob)
+    rows = files.select(F.split(relative, "/", 3).alias("__p"), "content")
+    part = lambda k: F.when(F.size("__p") == 3, F.get("__p", k)).otherwise(
+        F.raise_error(F.concat(F.lit("not in a snapshot folder: "), F.array_join("__p", "/"))))
+    return rows.select(part(0).cast("bigint").alias("repo_id"),
+                       part(1).alias("snapshot_sha"),
+                       part(2).alias("path"),
+                       git_blob_sha("content").alias("blob_sha"),
+                       _text().alias("source"))
+
+
+def invalid_sources(tree: DataFrame) -> DataFrame:
+    """Files whose content is not UTF-8."""
+    return tree.where(F.col("source").isNull()).select("repo_id", "snapshot_sha", "path", "blob_sha")
 
 
 def manifest_of(tree: DataFrame) -> DataFrame:

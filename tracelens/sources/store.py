@@ -9,14 +9,14 @@ Writes append whole DataFrames; on a cluster the root is a shared folder.
 
 from __future__ import annotations
 
-import os
-import shutil
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..session import delete_path, path_exists, rename_path
 
 TABLES: dict[str, T.StructType] = {
     "repository": S.REPOSITORY,
@@ -28,6 +28,19 @@ TABLES: dict[str, T.StructType] = {
     "result": S.RESULT,
     "feature": S.FEATURE,
     "manifest": S.MANIFEST,
+    "scored": S.SCORED,
+    "reject": S.REJECT,
+}
+
+# Natural keys of the tables that an ingest writes.
+KEYS: dict[str, list[str]] = {
+    "repository": ["repo_id"],
+    "git_file": ["repo_id", "path"],
+    "issue": ["repo_id", "number"],
+    "pull_request": ["repo_id", "number"],
+    "comment": ["comment_id"],
+    "modified_file": ["repo_id", "pull_number", "path"],
+    "manifest": ["repo_id", "snapshot_sha", "path"],
 }
 
 
@@ -43,19 +56,11 @@ def create_if_missing(spark: SparkSession, root: str) -> None:
     """A10: every table exists afterwards (empty, with its schema)."""
     for name, schema in TABLES.items():
         path = table_path(root, name)
-        if not _exists(spark, path):
-            (spark.createDataFrame([], schema).write.mode("overwrite")
+        if not path_exists(spark, path):
+            (spark.createDataFrame([], schema).write.mode("errorifexists")
                   .partitionBy(*_partitioning(name)).parquet(path))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 - resolves the path only
-        return True
-    except AnalysisException:
-        return False
-
-
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A stored table read with its declared schema."""
     return spark.read.schema(TABLES[name]).parquet(table_path(root, name))
@@ -68,16 +73,45 @@ def append(df: DataFrame, root: str, name: str) -> None:
     first: AQE groups each repository's rows into few tasks (few files per
     partition) and splits a repository that holds a large share of the rows.
     """
-    schema = TABLES[name]
-    aligned = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+    _write(df, table_path(root, name), name)
+
+
+def _write(df: DataFrame, path: str, name: str) -> None:
+    aligned = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields])
     parts = _partitioning(name)
     if parts:
         aligned = aligned.hint("rebalance", *parts)
-    aligned.write.mode("append").partitionBy(*parts).parquet(table_path(root, name))
+    aligned.write.mode("append").partitionBy(*parts).parquet(path)
+
+
+def latest(rows: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row per key: the greatest by ``order``, then by all columns (so retries agree)."""
+    first = [F.col(c) for c in (order or [])]
+    top = rows.groupBy(*key).agg(F.max(F.struct(*first, F.struct(*rows.columns).alias("__row"))).alias("__top"))
+    return top.select(*[F.col(f"__top.__row.{c}").alias(c) for c in rows.columns])
+
+
+def merged(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Old rows whose key the new ones lack, and the new ones."""
+    return old.join(new.select(*key), key, "left_anti").select(*new.columns).unionByName(new)
+
+
+def merge(spark: SparkSession, df: DataFrame, root: str, name: str) -> None:
+    """A12 by natural key: rows of ``df`` replace stored rows of the same key, so a repeated ingest changes nothing.
+
+    The new version is written beside the table and takes its place when it
+    is complete; ``df`` must not read the table itself.
+    """
+    key, path = KEYS[name], table_path(root, name)
+    rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields])
+    beside = f"{path}.next-{uuid.uuid4().hex}"
+    _write(merged(read(spark, root, name), latest(rows, key), key), beside, name)
+    delete_path(spark, path)
+    if path_exists(spark, beside):
+        rename_path(spark, beside, path)
+    spark.catalog.refreshByPath(path)
 
 
 def drop(spark: SparkSession, root: str, name: str) -> None:
-    """Delete a table (local folders only; cluster storage via its catalog)."""
-    path = table_path(root, name)
-    if os.path.isdir(path):
-        shutil.rmtree(path)
+    """Delete a table, wherever its storage is."""
+    delete_path(spark, table_path(root, name))

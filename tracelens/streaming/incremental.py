@@ -11,19 +11,22 @@ anti-join makes a replayed batch add nothing twice.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import similarity as sim
-from ..session import broadcast_limit, ensure_checkpoint_dir
+from ..session import broadcast_limit, ensure_checkpoint_dir, materialize, path_exists
 
 ISSUE_TEXT_SCHEMA = T.StructType([
     T.StructField("scope", T.StringType()),
     T.StructField("issue_id", T.LongType()),
     T.StructField("text", T.StringType()),
 ])
+DONE_SCHEMA = "scope string, issue_id bigint"
 RESULT_SCHEMA = "scope string, issue_id bigint, unit_id string, score double, rank int"
 
 
@@ -48,11 +51,10 @@ def start_scoring(spark: SparkSession, issues_dir: str, unit_tf: DataFrame, resu
         n_keys = batch_keys.count()
         if n_keys == 0:
             return
-        try:
-            done = spark.read.schema(RESULT_SCHEMA).parquet(results_dir).select(*keys)
-        except Exception:  # noqa: BLE001 - no results yet
-            done = None
-        if done is not None:
+        done_dir = f"{results_dir.rstrip('/')}-scored"
+        stored = [spark.read.schema(DONE_SCHEMA).parquet(d).select(*keys) for d in (done_dir, results_dir) if path_exists(spark, d)]
+        if stored:
+            done = reduce(DataFrame.union, stored)
             # Only stored results of this batch's issues matter: the batch's
             # keys (counted above) are broadcast when they fit, so the growing
             # result table is scanned but never shuffled.
@@ -62,12 +64,16 @@ def start_scoring(spark: SparkSession, issues_dir: str, unit_tf: DataFrame, resu
             todo = batch.join(seen, keys, "left_anti")
         else:
             todo = batch
-        todo = todo.dropDuplicates(keys)
+        # Of several texts of one issue the smallest is scored, so that a replayed batch does the same;
+        # written, because the mark below must not change what this batch still reads.
+        todo = materialize(todo.groupBy(*keys).agg(F.min("text").alias("text")), "stream-batch")
         q_tf = sim.term_counts(todo, "issue_id", scope=["scope"])
         scores = sim.tfidf_pair_scores(q_tf, unit_tf, "issue_id", "unit_id", ["scope"])
         ranked = sim.rank_within(scores.withColumn("score", F.round("score", 6)),
                                  ["scope", "issue_id"], "unit_id", k)
         ranked.select("scope", "issue_id", "unit_id", "score", "rank").write.mode("append").parquet(results_dir)
+        # Every scored issue is marked, also one that shares no term with any unit.
+        todo.select(*keys).write.mode("append").parquet(done_dir)
 
     writer = stream.writeStream.foreachBatch(score_batch).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
