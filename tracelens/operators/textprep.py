@@ -161,22 +161,31 @@ def edit_distance(a: Column, b: Column, max_distance: int | None = None,
 
 
 def spelling_candidates(words: DataFrame, dictionary: DataFrame, max_distance: int = 2,
-                        transpositions: str = "single") -> DataFrame:
+                        transpositions: str = "single", within: int | None = None) -> DataFrame:
     """All dictionary terms within ``max_distance`` of each word: ``(word, term, freq, dist)``.
 
     ``words(word)``; ``dictionary(term, freq)``.  Exact: symmetric deletion
     keys guarantee every pair within the distance shares a key (a swap costs
     one deletion on each side, so ``transpositions="any"`` pairs are found too).
+    ``within=1`` finds only the pairs at distance 1, from keys of one deletion.
     """
-    w = words.select("word").distinct().select("word", F.explode(deletion_keys(F.col("word"), max_distance)).alias("k"))
+    deletes = max_distance if within is None else within
+    w = words.select("word").distinct().select("word", F.explode(deletion_keys(F.col("word"), deletes)).alias("k"))
     d = dictionary.select("term", "freq",
-                          F.explode(deletion_keys(F.col("term"), max_distance)).alias("k"))
+                          F.explode(deletion_keys(F.col("term"), deletes)).alias("k"))
     # Both sides grow with the vocabulary: a sort-merge join (spills, AQE
     # splits hot keys) rather than a broadcast chosen from an estimate.
     pairs = w.join(d.hint("merge"), "k").select("word", "term", "freq").distinct()
     return (pairs.withColumn("dist", edit_distance(F.col("word"), F.col("term"), max_distance,
                                                    transpositions))
-                 .where((F.col("dist") >= 0) & (F.col("dist") <= max_distance)))
+                 .where((F.col("dist") >= 0) & (F.col("dist") <= deletes)))
+
+
+def _best_candidate(cands: DataFrame) -> DataFrame:
+    return (cands.groupBy("word")
+                 .agg(F.min_by(F.struct("term", "dist"),
+                               F.struct("dist", (-F.col("freq")).alias("nf"), "term")).alias("b"))
+                 .select("word", F.col("b.term").alias("correction"), F.col("b.dist").alias("dist")))
 
 
 def correct_words(words: DataFrame, dictionary: DataFrame, max_distance: int = 2,
@@ -184,15 +193,16 @@ def correct_words(words: DataFrame, dictionary: DataFrame, max_distance: int = 2
     """``(word, correction, dist)``; known words and words with no candidate stay.
 
     Choice: smallest distance, then highest frequency, then the smaller term.
+    As the smallest distance wins, words with a term at distance 1 are settled
+    from keys of one deletion; only the rest looks further.
     """
-    w = words.select("word").distinct()
-    known = w.join(dictionary.select(F.col("term").alias("word")), "word", "left_semi")
-    unknown = w.join(known, "word", "left_anti")
-    cands = spelling_candidates(unknown, dictionary, max_distance, transpositions)
-    best = (cands.groupBy("word")
-                 .agg(F.min_by(F.struct("term", "dist"),
-                               F.struct("dist", (-F.col("freq")).alias("nf"), "term")).alias("b"))
-                 .select("word", F.col("b.term").alias("correction"), F.col("b.dist").alias("dist")))
+    w = materialize(words.select("word").distinct(), "words")
+    dictionary = materialize(dictionary.select("term", "freq"), "dictionary")
+    unknown = w.join(dictionary.select(F.col("term").alias("word")), "word", "left_anti")
+    best = materialize(_best_candidate(spelling_candidates(unknown, dictionary, 2, "single", within=1)), "corrections-1")
+    if max_distance > 1:
+        rest = unknown.join(best.select("word"), "word", "left_anti")
+        best = best.unionByName(_best_candidate(spelling_candidates(rest, dictionary, max_distance, transpositions)))
     return (w.join(best, "word", "left")
              .withColumn("correction", F.coalesce("correction", "word"))
              .withColumn("dist", F.coalesce("dist", F.lit(0))))
@@ -200,11 +210,12 @@ def correct_words(words: DataFrame, dictionary: DataFrame, max_distance: int = 2
 
 def correct_texts(texts: DataFrame, key: Sequence[str] | str, dictionary: DataFrame,
                   text: str = "text", out: str = "text", max_distance: int = 2,
-                  transpositions: str = "single") -> DataFrame:
+                  transpositions: str = "single", alphabet: str = "a-zA-Z") -> DataFrame:
     """I5 on whole texts: every word of every text through the corrector.
 
     Texts are cut into word and non-word pieces (in order, nothing dropped).
-    Words made of ASCII letters (the dictionary's alphabet) are corrected on their lower case by
+    Words made of the dictionary's ``alphabet`` (a character class; ASCII letters
+    by default, ``\\\\p{L}`` for every script) are corrected on their lower case by
     ``correct_words`` (run once over the distinct words of all texts, so the
     candidate search is bounded by the vocabulary, not by the text volume);
     an all-capital word comes back in capitals and a capitalised word
@@ -213,7 +224,7 @@ def correct_texts(texts: DataFrame, key: Sequence[str] | str, dictionary: DataFr
     k = _cols(key)
     src = texts.select(*k, text).repartition(*k)
     parts = pieces(src, k, text).withColumn("__w", F.lower("piece"))
-    is_word = F.col("piece").rlike(r"^[A-Za-z]+$")
+    is_word = F.col("piece").rlike(f"^[{alphabet}]+$")
     words = parts.where(is_word).select(F.col("__w").alias("word")).distinct()
     fixes = (correct_words(words, dictionary, max_distance, transpositions)
              .where(F.col("correction") != F.col("word"))

@@ -159,12 +159,8 @@ def acronyms(spark, sf_dir):
 
 
 # Spelling: an English corrector edits with the letters a-z, so the dictionary
-# is the corpus terms made of a-z seen at least DICT_MIN_FREQ times;
-# misspellings = frequent dictionary terms with the second letter dropped or
-# the second and third letters swapped.
-DICT_MIN_FREQ = 5
-TYPO_MIN_FREQ = 50
-TYPO_MIN_LEN = 5
+# is every corpus term made of a-z; misspellings = every dictionary term with
+# the second letter dropped or the second and third letters swapped.
 
 
 def _corpus_terms(spark, sf_dir):
@@ -172,39 +168,41 @@ def _corpus_terms(spark, sf_dir):
     return tf.groupBy("term").agg(F.sum("tf").alias("freq"))
 
 
+# Words one edit away from a term share a key of at most one deletion with it,
+# and every misspelling here is at most one edit from the term it comes from.
+def _keys_sql(x):
+    return f"list_append(list_transform(range(1, length({x}) + 1), lambda i: substr({x}, 1, i - 1) || substr({x}, i + 1)), {x})"
+
+
 @register("spell_fix", sql=f"""
 WITH tf AS (SELECT term, CAST(count(*) AS BIGINT) AS freq FROM
               (SELECT unnest({TOKEN_SQL}) AS term FROM documents) GROUP BY term),
-dict AS (SELECT term, freq FROM tf WHERE freq >= {DICT_MIN_FREQ} AND regexp_full_match(term, '[a-z]+')),
-src AS (SELECT term FROM dict WHERE freq >= {TYPO_MIN_FREQ} AND length(term) >= {TYPO_MIN_LEN}),
+dict AS (SELECT term, freq FROM tf WHERE regexp_full_match(term, '[a-z]+')),
 words AS (SELECT DISTINCT word FROM (
-            SELECT substr(term, 1, 1) || substr(term, 3) AS word FROM src
+            SELECT substr(term, 1, 1) || substr(term, 3) AS word FROM dict
             UNION ALL
-            SELECT substr(term, 1, 1) || substr(term, 3, 1) || substr(term, 2, 1) || substr(term, 4) FROM src)),
-known AS (SELECT word FROM words WHERE word IN (SELECT term FROM dict)),
-cand AS (SELECT w.word, d.term, d.freq,
-                CASE WHEN length(w.word) = length(d.term) AND length(w.word) >= 2 AND list_bool_or(
-                       list_transform(range(1, length(w.word)), lambda i:
-                         substr(w.word, 1, i - 1) || substr(w.word, i + 1, 1) || substr(w.word, i, 1)
-                         || substr(w.word, i + 2) = d.term))
-                     THEN 1 ELSE levenshtein(w.word, d.term) END AS dist
-         FROM words w JOIN dict d ON abs(length(w.word) - length(d.term)) <= 2
-         WHERE w.word NOT IN (SELECT word FROM known)),
-best AS (SELECT word, arg_min(term, (dist, -freq, term)) AS correction, CAST(min(dist) AS INTEGER) AS dist
-         FROM cand WHERE dist <= 2 GROUP BY word)
-SELECT w.word, coalesce(b.correction, w.word) AS correction, coalesce(b.dist, 0) AS dist
+            SELECT substr(term, 1, 1) || substr(term, 3, 1) || substr(term, 2, 1) || substr(term, 4) FROM dict)),
+unknown AS (SELECT word FROM words WHERE word NOT IN (SELECT term FROM dict)),
+wk AS (SELECT DISTINCT word, unnest({_keys_sql('word')}) AS k FROM unknown),
+dk AS (SELECT DISTINCT term, freq, unnest({_keys_sql('term')}) AS k FROM dict),
+pairs AS (SELECT DISTINCT word, term, freq FROM wk JOIN dk ON wk.k = dk.k),
+near AS (SELECT word, term, freq FROM pairs
+         WHERE levenshtein(word, term) <= 1 OR length(word) = length(term) AND list_bool_or(
+               list_transform(range(1, length(word)), lambda i:
+                 substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) = term))),
+best AS (SELECT word, arg_min(term, (-freq, term)) AS correction FROM near GROUP BY word)
+SELECT w.word, coalesce(b.correction, w.word) AS correction,
+       CAST(CASE WHEN b.word IS NULL THEN 0 ELSE 1 END AS INTEGER) AS dist
 FROM words w LEFT JOIN best b ON w.word = b.word
 """)
 def spell_fix(spark, sf_dir):
-    """Misspellings corrected against a corpus dictionary (exact, symmetric deletes)."""
-    tf = _corpus_terms(spark, sf_dir)
-    dictionary = tf.where((F.col("freq") >= DICT_MIN_FREQ) & F.col("term").rlike("^[a-z]+$"))
-    src = dictionary.where((F.col("freq") >= TYPO_MIN_FREQ) & (F.length("term") >= TYPO_MIN_LEN))
+    """Misspellings corrected against the corpus dictionary (exact, symmetric deletes)."""
+    dictionary = _corpus_terms(spark, sf_dir).where(F.col("term").rlike("^[a-z]+$"))
     t = F.col("term")
     drop2 = F.concat(F.substr(t, F.lit(1), F.lit(1)), F.substr(t, F.lit(3)))
     swap23 = F.concat(F.substr(t, F.lit(1), F.lit(1)), F.substr(t, F.lit(3), F.lit(1)),
                       F.substr(t, F.lit(2), F.lit(1)), F.substr(t, F.lit(4)))
-    words = src.select(F.explode(F.array(drop2, swap23)).alias("word")).distinct()
+    words = dictionary.select(F.explode(F.array(drop2, swap23)).alias("word")).distinct()
     return tp.correct_words(words, dictionary).select("word", "correction", "dist")
 
 
@@ -213,7 +211,6 @@ def spell_fix(spark, sf_dir):
 @register("comment_spell_fix")
 def comment_spell_fix(spark, sf_dir):
     """I5 on whole texts: every comment's words corrected against the corpus dictionary."""
-    tf = _corpus_terms(spark, sf_dir)
-    dictionary = tf.where((F.col("freq") >= DICT_MIN_FREQ) & F.col("term").rlike("^[a-z]+$"))
+    dictionary = _corpus_terms(spark, sf_dir).where(F.col("term").rlike("^[a-z]+$"))
     comments = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return tp.correct_texts(comments, ["conv_id", "turn"], dictionary).select("conv_id", "turn", "text")
