@@ -151,8 +151,8 @@ def test_score_with_custom_scorer(spark, tmp_dir, exports):
         jobs.ingest(spark, {k: v for k, v in exports.items() if k != "snapshot_dir"}, root)
         res = jobs.score_issues(spark, root, tree, k=2, scorer=scorer)
         ranks.append(sorted((r.issue_number, r.rank, r.path, round(r.score, 9)) for r in res.collect()))
-    # issue 11 shares no term with login.py: zero scores are not emitted
-    assert ranks[0] == ranks[1] and len(ranks[0]) == 3
+    # issue 11 shares no term with login.py: a scorer of scored pairs emits no row, the built-in fills its list
+    assert [r for r in ranks[0] if r[3] > 0] == ranks[1] and len(ranks[1]) == 3 and len(ranks[0]) == 4
 
 
 def test_stream_backlog_in_small_batches(spark, tmp_dir):
@@ -226,3 +226,82 @@ def test_score_with_text_dictionaries(spark, tmp_dir, exports):
     # names split (H9), then I5: 'a' is unknown and 'of' the closest frequent term
     assert "login Handler" in login and "valid User" in login
     assert "login of of user" in login
+
+
+def test_second_ingest_and_score_change_nothing(spark, tmp_dir, exports):
+    root = f"{tmp_dir}/store"
+    sources = {k: v for k, v in exports.items() if k != "snapshot_dir"}
+    jobs.ingest(spark, sources, root)
+    names = ("repository", "git_file", "issue", "pull_request", "comment", "modified_file", "manifest")
+    first = {n: sorted(map(str, store.read(spark, root, n).collect())) for n in names}
+    jobs.ingest(spark, sources, root)
+    assert {n: sorted(map(str, store.read(spark, root, n).collect())) for n in names} == first
+    files = {r.path: r.file_id for r in store.read(spark, root, "git_file").collect()}
+    assert all(r.file_id == files[r.path] for r in store.read(spark, root, "modified_file").collect())
+    # A newer export wins.
+    with open(exports["issues"], "a") as f:
+        f.write(json.dumps({"id": 502, "repo_id": 1, "number": 11, "title": "zzzz qqqq", "body": None, "state": "open"}) + "\n")
+    jobs.ingest(spark, sources, root)
+    assert {r.number: r.title for r in store.read(spark, root, "issue").collect()}[11] == "zzzz qqqq"
+    tree = sf.read_source_tree(spark, exports["snapshot_dir"], 1, "s1")
+    got = jobs.score_issues(spark, root, tree, k=3).collect()
+    # Lists are filled with files of score 0, also for an issue that shares no term with any file.
+    assert sorted((r.issue_number, r.rank) for r in got) == [(10, 1), (10, 2), (11, 1), (11, 2)]
+    assert [r.score for r in got if r.issue_number == 11] == [0.0, 0.0]
+    assert sorted(r.issue_number for r in store.read(spark, root, "scored").collect()) == [10, 11]
+    assert jobs.score_issues(spark, root, tree, k=3).count() == 0
+
+
+def test_source_folder_spellings_and_encodings(spark, tmp_dir):
+    for snapshot in ("7/abc", "8/def"):
+        os.makedirs(f"{tmp_dir}/trees/{snapshot}/pkg")
+        with open(f"{tmp_dir}/trees/{snapshot}/pkg/a.py", "w") as f:
+            f.write("x = 1\n")
+    with open(f"{tmp_dir}/trees/7/abc/latin.py", "wb") as f:
+        f.write(b"# caf\xe9\n")
+    for root in (f"{tmp_dir}/trees", f"file:{tmp_dir}/trees", f"file://{tmp_dir}/trees/"):
+        rows = sf.read_source_trees(spark, root).collect()
+        assert sorted((r.repo_id, r.snapshot_sha, r.path) for r in rows) == [
+            (7, "abc", "latin.py"), (7, "abc", "pkg/a.py"), (8, "def", "pkg/a.py")]
+        one = sf.read_source_tree(spark, f"{root.rstrip('/')}/7/abc", 7, "abc")
+        assert sorted(r.path for r in one.collect()) == ["latin.py", "pkg/a.py"]
+        assert [r.path for r in sf.invalid_sources(one).collect()] == ["latin.py"]
+    with open(f"{tmp_dir}/trees/stray.py", "w") as f:
+        f.write("y = 2\n")
+    with pytest.raises(Exception, match="not in a snapshot folder"):
+        sf.read_source_trees(spark, f"{tmp_dir}/trees").collect()
+
+
+def test_broken_export_lines_are_rejects(spark, tmp_dir):
+    from tracelens import schemas
+    from tracelens.sources import exports as ex
+
+    path = f"{tmp_dir}/issues.json"
+    with open(path, "w") as f:
+        f.write('{"id": 1, "repo_id": 2, "number": 3, "title": "t"}\n\n{"id": 2, "repo_id"\nnot json\n')
+    assert [(r.issue_id, r.number, r.title) for r in ex.read_issues(spark, path).collect()] == [(1, 3, "t")]
+    assert [r.line for r in ex.read_rejects(spark, path, schemas.ISSUE_EXPORT).collect()] == ['{"id": 2, "repo_id"', "not json"]
+
+
+def test_existing_table_is_never_overwritten(spark, tmp_dir):
+    root = f"{tmp_dir}/store"
+    store.create_if_missing(spark, root)
+    spark.createDataFrame([(1, "a", None, None, 3)], store.TABLES["repository"]).write.mode("append").parquet(f"{root}/extra")
+    store.append(spark.createDataFrame([(1, "a", None, None, 3)], store.TABLES["repository"]), root, "repository")
+    store.create_if_missing(spark, root)
+    assert store.read(spark, root, "repository").count() == 1
+    store.drop(spark, root, "repository")
+    assert not os.path.exists(f"{root}/repository")
+
+
+def test_python_work_runs_from_another_folder(tmp_dir):
+    """The package is sent to the workers: they need not find it on their own path."""
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {repo!r}); import __spark_entry__ as e; from tracelens.session import build_session;"
+            "s = build_session('local[2]', 2); print('ROWS', e.queries()['func_names'](s, '/root/testdata/sf0.001').count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"TRACELENS_DRIVER_MEMORY": "2g"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_dir, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in out.stdout, out.stderr[-800:]

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..functions.vectors import dot, norm
-from ..session import broadcast_limit, materialize
+from ..session import broadcast_limit, fits_broadcast, materialize
 from .joins import salted_join
 
 # Fixed value: squared idf of a term found in only one of the two texts.
@@ -64,7 +64,8 @@ def term_counts(texts: DataFrame, key: Sequence[str] | str, text_col: str = "tex
     ids = scope + [k for k in key if k not in scope]
     src = texts.select(*ids, F.col(text_col).alias("__text"))
     if partition:
-        src = src.repartition(*key)
+        # Scope and key: a number that occurs in every scope is not one hot key.
+        src = src.repartition(*ids)
     return (src.select(*ids, F.explode(tokenize("__text")).alias("term"))
                .groupBy(*ids, "term")
                .agg(F.count(F.lit(1)).alias("tf")))
@@ -75,19 +76,6 @@ def sum_of_squares(tf: DataFrame, ids: Sequence[str], name: str) -> DataFrame:
     return tf.groupBy(*ids).agg(F.sum(F.col("tf") * F.col("tf")).alias(name))
 
 
-def postings_fit_broadcast(postings: DataFrame, limit: int | None = None) -> bool:
-    """Measure a postings table and say whether it may be broadcast.
-
-    The estimate is exact in rows and term bytes plus a fixed per-row overhead;
-    it runs one aggregation job over the (small) side being considered.
-    """
-    limit = broadcast_limit(postings.sparkSession) if limit is None else limit
-    row = postings.agg(F.count(F.lit(1)).alias("n"),
-                       F.sum(F.length("term")).alias("chars")).first()
-    n, chars = int(row["n"] or 0), int(row["chars"] or 0)
-    return n * 48 + chars <= limit
-
-
 def tfidf_pair_scores(query_tf: DataFrame, unit_tf: DataFrame,
                       query_key: Sequence[str] | str, unit_key: Sequence[str] | str,
                       scope: Sequence[str] | str | None = None,
@@ -108,7 +96,7 @@ def tfidf_pair_scores(query_tf: DataFrame, unit_tf: DataFrame,
     qk, uk, sc = _cols(query_key), _cols(unit_key), _cols(scope)
     q_ids, u_ids = sc + [c for c in qk if c not in sc], sc + [c for c in uk if c not in sc]
     if broadcast_queries is None:
-        broadcast_queries = postings_fit_broadcast(query_tf)
+        broadcast_queries = fits_broadcast(query_tf)
 
     sq = F.col("tf") * F.col("tf")
     q = query_tf.select(*q_ids, "term", F.col("tf").alias("q_tf"),
@@ -234,6 +222,9 @@ def snapshot_top_k(query_tf: DataFrame, blob_tf: DataFrame, manifest: DataFrame,
     # blob; the (scope, blob) copies then join the postings with hot blobs
     # spread over several tasks (a file kept in most snapshots).
     blob_ss = blob_tf.withColumn("__ss", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(blob)))
+    # Only terms of some query can add to a score: the others go before the postings are copied into snapshots.
+    terms = materialize(query_tf.select("term").distinct(), "query-terms")
+    blob_ss = blob_ss.join(F.broadcast(terms) if fits_broadcast(terms) else terms, "term", "left_semi")
     units = salted_join(manifest.select(*sc, blob).distinct(), blob_ss, blob)
     scores = tfidf_pair_scores(query_tf, units, query_key, blob, sc, unit_ss="__ss")
     if digits is not None:
@@ -241,6 +232,30 @@ def snapshot_top_k(query_tf: DataFrame, blob_tf: DataFrame, manifest: DataFrame,
     return paths_top_k(scores, manifest, sc, query_key, k, path, blob)
 
 
+def fill_top_k(ranked: DataFrame, queries: DataFrame, manifest: DataFrame, scope: Sequence[str] | str,
+               query_key: Sequence[str] | str, k: int, path: str = "path") -> DataFrame:
+    """Lists shorter than ``k`` filled with files of score 0, in path order.
+
+    ``ranked`` is a top-k result.  A short list holds all scored files of its
+    query, fewer than ``k``, so of the first ``2 k`` paths of the scope at
+    least ``k`` (or all that there are) have score 0: only these are paired
+    with the short queries.  A query without any scored file gets ``k`` rows.
+    """
+    sc, qk = _cols(scope), _cols(query_key)
+    group = sc + [c for c in qk if c not in sc]
+    ranked = ranked.select(*group, path, "score", "rank")
+    have = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("__have"))
+    short = (queries.select(*group).distinct().join(have, group, "left")
+             .withColumn("__have", F.coalesce("__have", F.lit(0))).where(F.col("__have") < k))
+    first = (manifest.select(*sc, path).distinct()
+             .withColumn("__n", F.row_number().over(Window.partitionBy(*sc).orderBy(path))).where(F.col("__n") <= 2 * k))
+    free = short.join(first.drop("__n"), sc).join(ranked.select(*group, path), group + [path], "left_anti")
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(path))
+    zero = (free.withColumn("__p", place).where(F.col("__have") + F.col("__p") <= k)
+            .select(*group, path, F.lit(0.0).alias("score"), (F.col("__have") + F.col("__p")).cast("int").alias("rank")))
+    return ranked.unionByName(zero)
+
+
 def unscored_counts(scores: DataFrame, queries: DataFrame, units: DataFrame,
                     scope: Sequence[str] | str, query_key: Sequence[str] | str,
                     unit_key: Sequence[str] | str) -> DataFrame:
@@ -289,8 +304,7 @@ def paths_top_k(blob_scores: DataFrame, manifest: DataFrame, scope: Sequence[str
                                      .where(F.col("__r") <= k).drop("__r"), "top-blobs")
         # Written and counted: broadcast when it fits, so the manifest is
         # streamed, not shuffled.
-        width = 24 * (len(group) + 2)
-        if top.count() * width <= broadcast_limit(top.sparkSession):
+        if fits_broadcast(top):
             top = F.broadcast(top)
         paths = files.join(top, sc + [blob])
     else:
@@ -302,12 +316,6 @@ def paths_top_k(blob_scores: DataFrame, manifest: DataFrame, scope: Sequence[str
 # Dense vectors
 # ---------------------------------------------------------------------------
 
-def vectors_fit_broadcast(df: DataFrame, vec_col: str, limit: int | None = None) -> bool:
-    limit = broadcast_limit(df.sparkSession) if limit is None else limit
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(vec_col)).alias("dims")).first()
-    return int(row["n"] or 0) * 64 + int(row["dims"] or 0) * 8 <= limit
-
-
 def cosine_scores(queries: DataFrame, units: DataFrame, scope: Sequence[str] | str,
                   query_key: Sequence[str] | str, unit_key: Sequence[str] | str,
                   query_vec: str = "vector", unit_vec: str = "vector",
@@ -322,7 +330,7 @@ def cosine_scores(queries: DataFrame, units: DataFrame, scope: Sequence[str] | s
     if not sc:
         raise ValueError("cosine_scores needs a non-empty scope (no cross joins)")
     if broadcast_queries is None:
-        broadcast_queries = vectors_fit_broadcast(queries, query_vec)
+        broadcast_queries = fits_broadcast(queries.select(*sc, *[c for c in qk if c not in sc], query_vec))
     q = (queries.where(F.col(query_vec).isNotNull())
                 .select(*sc, *[c for c in qk if c not in sc], F.col(query_vec).alias("__qv"))
                 .withColumn("__qn", norm("__qv")))

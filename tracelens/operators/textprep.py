@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_all_caps
-from ..session import broadcast_limit, materialize
+from ..session import fits_broadcast, materialize
 
 # Fixed value: a text is cut into maximal runs of word characters and of
 # other characters, so re-joining the pieces restores it exactly.
@@ -37,10 +37,9 @@ def _cols(cols: Sequence[str] | str) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def _maybe_broadcast(df: DataFrame, width_bytes: int = 64) -> DataFrame:
+def _maybe_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast a dictionary only after measuring it."""
-    n = df.count()
-    return F.broadcast(df) if n * width_bytes <= broadcast_limit(df.sparkSession) else df
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def pieces(texts: DataFrame, key: Sequence[str] | str, text: str = "text") -> DataFrame:

@@ -190,6 +190,8 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
         blob_tf = sim.term_counts(texts.dropDuplicates(["blob_sha"]), "blob_sha")
         q_tf = sim.term_counts(queries, "issue_number", scope=scope)
         ranked = sim.snapshot_top_k(q_tf, blob_tf, manifest, scope, "issue_number", k, digits=None)
+        if k is not None:
+            ranked = sim.fill_top_k(materialize(ranked, "ranked"), queries, manifest, scope, "issue_number", k)
     elif callable(scorer):
         units = salted_join(manifest.select(*scope, "blob_sha").distinct(),
                             feats.select("blob_sha", "text").dropDuplicates(["blob_sha"]), "blob_sha")

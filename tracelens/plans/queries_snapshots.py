@@ -15,6 +15,7 @@ from ..operators import features as fs
 from ..operators import similarity as sim
 from ..operators import snapshots as sn
 from ..plans.queries_links import LINKED_CTE, linked_pulls
+from ..session import materialize
 from .registry import register
 from .tables import table
 
@@ -139,8 +140,7 @@ def _snapshot_manifest(spark, sf_dir):
         F.md5("text").alias("blob_sha"), "text")
 
 
-@register("snapshot_scores", sql=f"""
-WITH q AS (SELECT snapshot, item_id, term, CAST(count(*) AS BIGINT) AS tf FROM
+SCORES_CTE = f"""WITH q AS (SELECT snapshot, item_id, term, CAST(count(*) AS BIGINT) AS tf FROM
              (SELECT {ISSUE_SNAPSHOT_SQL} AS snapshot, item_id,
                      unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term
               FROM benchmark) GROUP BY ALL),
@@ -161,7 +161,11 @@ s AS (SELECT p.snapshot, p.item_id, p.blob_sha,
                  * (CAST('1.9753321701094941' AS DOUBLE) * u_ss
                    - (CAST('1.9753321701094941' AS DOUBLE) - 1.0) * u_shared)), 6) AS score
       FROM p JOIN qs ON p.snapshot = qs.snapshot AND p.item_id = qs.item_id
-             JOIN us ON p.snapshot = us.snapshot AND p.blob_sha = us.blob_sha),
+             JOIN us ON p.snapshot = us.snapshot AND p.blob_sha = us.blob_sha)"""
+
+
+@register("snapshot_scores", sql=f"""
+{SCORES_CTE},
 r AS (SELECT s.snapshot, s.item_id, m.path, s.score,
              CAST(row_number() OVER (PARTITION BY s.item_id ORDER BY s.score DESC, m.path) AS INTEGER) AS rank
       FROM s JOIN m ON s.snapshot = m.snapshot AND s.blob_sha = m.blob_sha)
@@ -181,6 +185,30 @@ def snapshot_scores(spark, sf_dir):
         "snapshot", "item_id", "path", "score", "rank")
 
 
+# Long enough that some issues share a term with fewer files of their snapshot.
+FILLED_K = 40
+
+
+@register("snapshot_topk_filled", sql=f"""
+{SCORES_CTE},
+r AS (SELECT i.snapshot, i.item_id, m.path, coalesce(s.score, 0.0) AS score,
+             CAST(row_number() OVER (PARTITION BY i.item_id ORDER BY coalesce(s.score, 0.0) DESC, m.path) AS INTEGER) AS rank
+      FROM (SELECT {ISSUE_SNAPSHOT_SQL} AS snapshot, item_id FROM benchmark) i
+      JOIN m ON i.snapshot = m.snapshot
+      LEFT JOIN s ON s.snapshot = i.snapshot AND s.item_id = i.item_id AND s.blob_sha = m.blob_sha)
+SELECT snapshot, item_id, path, score, rank FROM r WHERE rank <= {FILLED_K}
+""")
+def snapshot_topk_filled(spark, sf_dir):
+    """The list of each issue up to k files of its snapshot, those without a shared term at score 0."""
+    manifest = _snapshot_manifest(spark, sf_dir)
+    blobs = manifest.select("blob_sha", "text").dropDuplicates(["blob_sha"])
+    issues = _issues(spark, sf_dir)
+    q_tf = sim.term_counts(issues, "item_id", scope=["snapshot"])
+    ranked = sim.snapshot_top_k(q_tf, sim.term_counts(blobs, "blob_sha"), manifest, ["snapshot"], "item_id", k=FILLED_K)
+    return sim.fill_top_k(materialize(ranked, "ranked"), issues, manifest, ["snapshot"], "item_id", FILLED_K).select(
+        "snapshot", "item_id", "path", "score", "rank")
+
+
 @register("base_sha_chain", sql=f"""
 WITH {LINKED_CTE}
 SELECT repo_id, number, sha_base,

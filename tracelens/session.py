@@ -13,6 +13,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Upper bound for anything the library broadcasts on its own decision.
 # Callers may lower it through the session conf key below.
@@ -134,6 +135,19 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(value) if value else DEFAULT_BROADCAST_LIMIT
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a table if it were broadcast: rows, fixed widths and the bytes of its strings, binaries and arrays (one job)."""
+    wide = [F.octet_length(F.col(c)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    wide += [8 * F.size(F.col(c)) for c, kind in df.dtypes if kind.startswith("array")]
+    per_row = sum((F.coalesce(F.greatest(w, F.lit(0)), F.lit(0)) for w in wide), F.lit(0)) + F.lit(16 * len(df.columns) + 16)
+    return int(df.agg(F.sum(per_row.cast("bigint"))).first()[0] or 0)
+
+
+def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether the measured table is within the broadcast limit."""
+    return measured_bytes(df) <= (broadcast_limit(df.sparkSession) if limit is None else limit)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
