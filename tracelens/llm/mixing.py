@@ -10,8 +10,8 @@
    document's rate is a function of the sums so far, so it is recomputed from
    them and no state is written between steps.
 
-The written table is a row of numbers per document; the model has BUCKETS
-weights per domain whatever the corpus and is passed as array literals.  Defined results: null
+The written table is a row of numbers per document; the model has at most
+FEATURES weights per domain whatever the corpus and is passed as literals.  Defined results: null
 and empty texts have no tokens, the prior as posterior, and rate 1; null or
 unlisted labels are ignored; a document with several labels counts for each; a
 domain without labelled documents has prior weight only; targets need not sum
@@ -20,13 +20,15 @@ to 1; without any token, or with targets that sum to 0, every rate is 1.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, materialize
 
-BUCKETS = 16_384
+BUCKETS = 1 << 20
 # Bound of the training sample: labelled rows, chosen by a hash of the id.
 TRAIN_ROWS = 40_000
 STRENGTH = 20.0
@@ -89,21 +91,25 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
     return constants.union(chosen.select("b", *[f"w{k}" for k in ks]))
 
 
+def _constant(values: list, kind: str) -> Column:
+    """An array literal, sent as one string (a literal of many elements takes a call to the JVM for each)."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], text_col: str = "text",
                keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns with ``__n`` (tokens) and ``__p`` (posterior over the domains, in their order)."""
     keep = docs.columns if keep is None else keep
-    weights = np.zeros((len(domains), BUCKETS + 1))
-    for row in model.collect():  # at most BUCKETS + 1 rows
-        weights[:, row.b] = row[1:]
-    used = np.flatnonzero(np.abs(weights[:, 1:]).max(axis=0)) + 1
+    fitted = sorted(model.collect(), key=lambda r: r.b)  # the constants (bucket 0) and at most FEATURES buckets
+    used = _constant([r.b for r in fitted[1:]], "int")
     rows = docs.select(*[F.col(c) for c in keep], words_of(F.col(text_col)).alias("__w"))
-    known = F.array_intersect(buckets_of(F.col("__w")), F.lit(used.astype(np.int32))) if len(used) else F.array().cast("array<int>")
+    # Places (in the list of used buckets) of those that the text holds.
+    known = F.transform(F.array_intersect(buckets_of(F.col("__w")), used), lambda b: F.array_position(used, b).cast("int"))
     rows = rows.select(*keep, F.size("__w").cast("bigint").alias("__n"), known.alias("__b"))
 
     def log_odds(k: int) -> Column:
-        w = F.lit(weights[k, 1:])
-        return F.lit(float(weights[k, 0])) + F.aggregate("__b", F.lit(0.0), lambda a, b: a + F.element_at(w, b))
+        w = _constant([r[k + 1] for r in fitted[1:]], "double")
+        return F.lit(float(fitted[0][k + 1])) + F.aggregate("__b", F.lit(0.0), lambda a, b: a + F.element_at(w, b))
 
     rows = rows.select(*keep, "__n", F.array(*[log_odds(k) for k in range(len(domains))]).alias("__l"))
     rows = rows.withColumn("__e", F.transform("__l", lambda x: F.exp(x - F.array_max("__l"))))
