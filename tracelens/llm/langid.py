@@ -27,8 +27,9 @@ from .common import bound_batches, map_batches
 UNDETERMINED = "und"
 BUCKET_BITS = 16
 CHUNK = 1 << 20
-# Bound of the training sample: rows per language, and languages.
+# Bounds of the training sample: rows per language, rows in all, and languages.
 ROWS_PER_LANG = 2000
+TRAIN_ROWS = 12_000
 MAX_LANGS = 200
 # Predictions below this score are rejected by ``keep_identified``.
 MIN_SCORE = 0.25
@@ -150,6 +151,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
              .orderBy(F.desc("n"), F.col(lang_col)).limit(MAX_LANGS).collect()}
     if not sizes:
         return LangModel()
+    rows_per_lang = min(rows_per_lang, TRAIN_ROWS // len(sizes))
     rate = F.lit(0)
     for lang, n in sizes.items():
         share = min(1_000_000, int(1_000_000 * rows_per_lang / n))
