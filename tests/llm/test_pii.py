@@ -83,3 +83,36 @@ def test_report_and_mask_on_odd_rows(spark):
 def test_empty_table(spark):
     table = helpers.docs(spark, [])
     assert pii.report(table).count() == 0 and pii.mask(table).count() == 0
+
+
+def test_long_island_equals_its_lines_at_every_offset():
+    w = pii.train([f"phone +1 (20{a % 9}) 555-01{a:02d} ok" for a in range(60)])
+    phones = [f"1 (2{k % 90:02d}) 555-{k % 9000:04d}" for k in range(160, 400)]
+    assert all(pii.find_spans(p, w)[1] == [("phone", 0, len(p))] for p in phones)
+    for sep in ("\n", ", "):
+        block = sep.join(phones)
+        assert len(block) > 2500
+        for shift in range(0, 20):
+            text = "9" * shift + sep + block
+            _, added = pii.find_spans(text, w)
+            at = [text.index(block) + k * (len(phones[0]) + len(sep)) for k in range(len(phones))]
+            assert added == [("phone", a, a + len(phones[0])) for a in at], (sep, shift)
+
+
+def test_parts_equal_one_programme_over_the_island():
+    w = pii.train([f"phone +1 (20{a % 9}) 555-01{a:02d} ok" for a in range(60)])
+    rng = np.random.default_rng(4)
+    pieces = ["1 (204) 555-0177", "x", " ", "\n", ", ", "12", "4539 5787 6362 1486", "10.0.0.1", "a@b", "555-0100", "\t", "é", "(", "+"]
+    for _ in range(60):
+        text = "".join(pieces[k] for k in rng.integers(0, len(pieces), 120))
+        for lo, hi in pii.islands(text):
+            n, cands, _ = pii._lattice(text[lo:hi])
+            scores = pii._scores(text, [(i, j, k, a + lo, b + lo) for i, j, k, a, b in cands], w)
+            best = sum(scores[c] for c in pii.best_segments(n, cands, scores))
+            total = parts = 0.0
+            for some in pii._parts(text, lo, hi):
+                moved = [(i - some[0][0], j - some[0][0], *rest) for i, j, *rest in some]
+                m, scores_here = max(c[1] for c in moved), pii._scores(text, moved, w)
+                parts += sum(scores_here[c] for c in pii.best_segments(m, moved, scores_here))
+                total += pii._sums(m, moved, scores_here)[0]
+            assert abs(parts - best) < 1e-6 and abs(total - pii._sums(n, cands, scores)[0]) < 1e-6

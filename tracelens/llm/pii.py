@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SOME = re.compile("[0-9@]")
 _RUN = re.compile(r"[0-9@][0-9@\x20().+-]*")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.S)
+# No segment holds a line break or a tab.
+_LINE = re.compile(r"[^\n\r\t]+")
 
 
 def luhn(digits: str) -> bool:
@@ -102,26 +106,18 @@ def islands(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _pieces(a: int, b: int) -> list[tuple[int, int]]:
-    """A long island in overlapping windows, so that every segment lies whole in one of them."""
-    if b - a <= 4 * ISLAND_CHARS:
-        return [(a, b)]
-    step = 3 * ISLAND_CHARS
-    return [(i, min(b, i + 4 * ISLAND_CHARS)) for i in range(a, max(a + 1, b - ISLAND_CHARS), step)]
-
-
 _EMAIL_LIKE = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 _NUMBER_LIKE = re.compile(r"[+(]?[0-9][0-9 ().+-]*")
 
 
-def candidates(text: str) -> list[tuple[int, int, int, int, int]]:
-    """(first token, end token, kind, start, end) of the segments worth scoring in an island.
+def candidates(text: str, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+    """(first token, end token, kind, start, end) of the segments worth scoring in a stretch of text, by first token.
 
     Every candidate begins and ends at token borders, has at most MAX_TOKENS
-    tokens and holds what its kind can't do without.
+    tokens and holds what its kind can't do without.  Tokens are numbered in
+    the stretch, offsets are those of the text.
     """
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    out = []
+    tokens = [m.span() for m in _TOKEN.finditer(text, lo, len(text) if hi is None else hi)]
     for i, (a, _) in enumerate(tokens):
         first = text[a]
         if not (first.isalnum() or first in "+("):
@@ -147,17 +143,34 @@ def candidates(text: str) -> list[tuple[int, int, int, int, int]]:
                 continue
             span = (i, j + 1)
             if ats == 1 and dots and first.isalnum() and (e - a) <= 120 and " " not in text[a:e]:
-                out.append((*span, 0, a, e))
+                yield (*span, 0, a, e)
             if numeric and not ats:
                 if dots == 3 and 4 <= digits <= 12 and first.isdigit():
-                    out.append((*span, 1, a, e))
+                    yield (*span, 1, a, e)
                 if 13 <= digits <= 19 and first.isdigit():
-                    out.append((*span, 2, a, e))
+                    yield (*span, 2, a, e)
                 if 7 <= digits <= 15 and (j > i or digits >= 10):
-                    out.append((*span, 3, a, e))
+                    yield (*span, 3, a, e)
             if not numeric and not ats and j - i > 16:
                 break
-    return out
+
+
+def _parts(text: str, lo: int, hi: int) -> Iterator[list[tuple[int, int, int, int, int]]]:
+    """Candidates of an island in parts, at borders that none of them crosses.
+
+    A token outside segments scores 0, so the field over the island is the
+    product of the fields over its parts, whatever its length.
+    """
+    for line in _LINE.finditer(text, lo, hi):
+        part, reach = [], 0
+        for cand in candidates(text, *line.span()):
+            if part and cand[0] >= reach:
+                yield part
+                part = []
+            part.append(cand)
+            reach = max(reach, cand[1])
+        if part:
+            yield part
 
 
 FEATURES = ("bias", "glued_before", "glued_after", "blank_before", "blank_after", "pattern", "plus", "parens", "groups_even",
@@ -173,7 +186,7 @@ _STRICT = (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.
 def segment_features(text: str, kind: int, a: int, b: int) -> np.ndarray:
     """Features of a whole segment, in the block of its kind."""
     s = text[a:b]
-    before, after = text[a - 1:a], text[b:b + 1]
+    before, after = text[max(0, a - 1):a], text[b:b + 1]
     digits = re.sub("[^0-9]", "", s)
     seps = set(re.sub("[0-9A-Za-z@+()]", "", s))
     groups = [len(g) for g in re.findall("[0-9]+", s)]
@@ -205,12 +218,21 @@ def prior_weights() -> np.ndarray:
 # ---- the field -----------------------------------------------------------------------------------
 
 def _lattice(text: str):
-    cands = candidates(text)
+    cands = list(candidates(text))
     n = sum(1 for _ in _TOKEN.finditer(text))
     feats = np.stack([segment_features(text, k, a, b) for _, _, k, a, b in cands]) if cands else np.zeros((0, len(KINDS) * _F))
     return n, cands, feats
 
 
+def _scores(text: str, cands: list, weights: np.ndarray) -> np.ndarray:
+    """Scores of the candidates; few of them hold their features at a time."""
+    out = np.zeros(len(cands))
+    for at in range(0, len(cands), 1024):
+        some = cands[at:at + 1024]
+        out[at:at + 1024] = np.stack([segment_features(text, k, a, b) for _, _, k, a, b in some]) @ weights
+    return out
+
+
 def _sums(n: int, cands: list, scores: np.ndarray) -> tuple[float, np.ndarray]:
     """Log partition and posterior of every candidate; a token outside segments scores 0."""
     ends: dict[int, list[int]] = {}
@@ -322,26 +344,32 @@ def find_spans(text: str | None, weights: np.ndarray) -> tuple[list[tuple[str, i
     added: list[tuple[str, int, int]] = []
     if not text or not _SOME.search(text):
         return base, added
-    taken = sorted((a, b) for _, a, b in base)
+    # Base spans as disjoint stretches; segments never overlap one another.
+    taken: list[tuple[int, int]] = []
+    for _, a, b in sorted(base, key=lambda x: x[1:]):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     for lo, hi in islands(text):
-        for a, b in _pieces(lo, hi):
-            part = text[a:b]
-            n, cands, feats = _lattice(part)
-            if not cands:
-                continue
-            scores = feats @ weights
+        for part in _parts(text, lo, hi):
+            first = part[0][0]
+            cands = [(i - first, j - first, *rest) for i, j, *rest in part]
+            n = max(c[1] for c in cands)
+            scores = _scores(text, cands, weights)
             chosen = best_segments(n, cands, scores)
             if not chosen:
                 continue
             _, post = _sums(n, cands, scores)
+            firsts = [c[0] for c in cands]
             for c in chosen:
-                _, _, kind, s, e = cands[c]
-                s, e = s + a, e + a
+                i, j, kind, s, e = cands[c]
                 # Segments of this kind that overlap exclude one another: together they say that the kind is here.
-                sure = sum(post[x] for x, other in enumerate(cands) if other[2] == kind and other[0] < cands[c][1] and cands[c][0] < other[1])
-                if sure >= MIN_POSTERIOR and not any(x < e and s < y for x, y in taken):
+                near = range(bisect_left(firsts, i - MAX_TOKENS), bisect_left(firsts, j))
+                sure = sum(post[x] for x in near if cands[x][2] == kind and i < cands[x][1])
+                k = bisect_left(taken, (e, 0))  # stretches from k on begin at the segment's end or later
+                if sure >= MIN_POSTERIOR and not (k and taken[k - 1][1] > s):
                     added.append((KINDS[kind], s, e))
-                    taken.append((s, e))
     return base, added
 
 
