@@ -76,3 +76,24 @@ def test_empty_tables(spark):
     assert [r.n_hit for r in d.report(table, bench).collect()] == [0]
     assert d.decontaminate(table, bench).count() == 1
     assert d.report(helpers.docs(spark, []), bench).count() == 0
+
+
+def test_blocks_of_items_cut_as_one_automaton(spark):
+    w = [f"q{k}" for k in range(200)]
+    say = lambda *parts: " ".join(" ".join(p) for p in parts)
+    items = [(1, say(w[0:18])), (2, say(w[100:116])), (3, say(w[8:24])), (4, say(w[30:36], w[60:66])), (5, "short one"), (6, "--- !")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(1, say(w[0:18], ["x", "y"], w[100:116], ["z"] * 5)),  # 34 of 41 words in two items
+            (2, say(["a"] * 40, w[0:24], ["b"] * 20)),  # windows of items 1 and 3 overlap
+            (3, say(["c"] * 50, w[30:36], w[100:116], w[60:66], ["d"] * 30)),  # cutting item 2 brings item 4 together
+            (4, "nothing here"), (5, None), (6, ""), (7, say(["e"] * 30, ["SHORT"], ["one"], ["f"] * 3)), (8, say(w[0:18])), (8, "again")]
+    rows += helpers.odd_rows()
+    table = helpers.docs(spark, rows)
+    key = lambda r: tuple(str(x) for x in r)
+    one = d.decontaminate(table, bench, chars_col="n_chars")
+    assert 1 not in {r.doc_id for r in one.where("text like 'q%'").collect()}
+    for size in (20, 40):
+        many = d.decontaminate(table, bench, chars_col="n_chars", words_per_automaton=size)
+        assert many.schema.simpleString() == one.schema.simpleString()
+        assert sorted(map(key, many.collect())) == sorted(map(key, one.collect()))
+    assert d.decontaminate(table.limit(0), bench, words_per_automaton=20).count() == 0

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -150,9 +151,8 @@ class SuffixAutomaton:
         return spans, found
 
 
-def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW,
-             words_per_automaton: int = WORDS_PER_AUTOMATON):
-    """Automata over the items in blocks of bounded size, one at a time on the driver."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, words_per_automaton: int):
+    """Items (id and words) in blocks of bounded size, one at a time on the driver."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     block, size = [], 0
     for r in rows.toLocalIterator():
@@ -160,11 +160,18 @@ def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
         if not words:
             continue
         if block and size + len(words) > words_per_automaton:
-            yield SuffixAutomaton(block, window)
+            yield block
             block, size = [], 0
         block.append((r.item, words))
         size += len(words)
     if block:
+        yield block
+
+
+def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW,
+             words_per_automaton: int = WORDS_PER_AUTOMATON):
+    """Automata over the items in blocks of bounded size, one at a time on the driver."""
+    for block in _blocks(benchmark, id_col, text_col, words_per_automaton):
         yield SuffixAutomaton(block, window)
 
 
@@ -252,20 +259,57 @@ def clean_text(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW,
-                  max_coverage: float = MAX_COVERAGE, chars_col: str | None = None, **options) -> DataFrame:
+                  max_coverage: float = MAX_COVERAGE, chars_col: str | None = None, item_id: str = "item_id",
+                  item_text: str = "text", words_per_automaton: int = WORDS_PER_AUTOMATON) -> DataFrame:
     """Documents with matching spans cut out, same columns.
 
     A document of which more than ``max_coverage`` of the words are hit, or of
     which nothing is left, goes; documents without a match are unchanged.
     ``chars_col`` names a column of code-point counts to bring up to date.
+    The result does not depend on the number of blocks the items are dealt into.
     """
-    blocks = list(automata(benchmark, window=window, **options))
-    found = docs
-    for automaton in blocks:
-        if automaton is not blocks[0]:
-            found = materialize(found, "decontaminate")
-        found = _cut(found, automaton, text_col, max_coverage, chars_col)
-    return found
+    blocks = _blocks(benchmark, item_id, item_text, words_per_automaton)
+    block = next(blocks, None)
+    if block is None:
+        return docs
+    if next(blocks, None) is None:
+        return _cut(docs, SuffixAutomaton(block, window), text_col, max_coverage, chars_col)
+    # Several automata: the spans of all of them are cut at once.  Cutting can bring words together, so what was
+    # cut is looked at again until nothing matches; coverage is of the words at the start.
+    others = [c for c in docs.columns if c != text_col]
+    state = docs.withColumns({"__total": F.lit(None).cast("bigint"), "__hit": F.lit(0).cast("bigint")})
+    done = []
+    while True:
+        found = materialize(matches(state, benchmark, text_col, window, words_per_automaton, [*others, "__total", "__hit"],
+                                    item_id, item_text), "decontaminate")
+        found = found.withColumn("__total", F.coalesce("__total", "__n_words"))
+        done.append(found.where((F.size("__spans") == 0) & (
+            (F.col("__hit") == 0) | (F.col("__n_words") > 0) & (F.col("__hit") <= max_coverage * F.col("__total")))))
+        state = materialize(_trim(found.where(F.size("__spans") > 0), text_col, others), "decontaminate-rest")
+        if state.isEmpty():
+            break
+    rows = reduce(DataFrame.union, done)
+    columns = {text_col: F.col("__text").cast(docs.schema[text_col].dataType)}
+    if chars_col:
+        columns[chars_col] = F.when(F.col("__hit") > 0, F.length("__text")).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)
+    return rows.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def _trim(found: DataFrame, text_col: str, others: list[str]) -> DataFrame:
+    """Rows of ``matches`` with their spans cut out of the text and counted as hit."""
+    rows = found.select(*others, "__total", "__hit", F.col("__text").alias(text_col), "__spans")
+
+    def run(batches):
+        for batch in batches:
+            spans = [list(zip(x[::2], x[1::2], strict=True)) for x in batch.column("__spans").to_pylist()]
+            cols = list(batch.columns)[:-3]
+            hits = zip(batch.column("__hit").to_pylist(), spans, strict=True)
+            cols.append(pa.array([h + sum(b - a for a, b in x) for h, x in hits], pa.int64()))
+            texts = zip(batch.column(text_col).to_pylist(), spans, strict=True)
+            cols.append(pa.array([clean_text(t, x) for t, x in texts], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=list(batch.schema.names)[:-1])
+
+    return rows.mapInArrow(run, rows.drop("__spans").schema)
 
 
 def _cut(docs: DataFrame, automaton: SuffixAutomaton, text_col: str, max_coverage: float,
