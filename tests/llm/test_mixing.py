@@ -75,3 +75,29 @@ def test_odd_rows_and_empty_tables(spark):
     zero = m.mix(table, table.select("doc_id", F.lit("a").alias("domain")), {"a": 0.0, "b": 0.0}).collect()
     assert all(r.rate == 1 for r in zero)
     assert m.attach_rates(table, none, {"a": 1.0, "b": 1.0}).count() == len(rows)
+
+
+def test_every_significant_bucket_counts(spark):
+    # 900 words of a domain each in 100 of its documents: all of them pass the test.
+    rng = np.random.default_rng(5)
+    rows = []
+    for k, kind in enumerate(["red", "green"]):
+        held = [[] for _ in range(300)]
+        for w in range(900):
+            for i in rng.choice(300, 100, replace=False):
+                held[i].append(f"{kind}{w}")
+        rows += [(1000 * k + i, " ".join(x)) for i, x in enumerate(held)]
+    table = helpers.docs(spark, rows)
+    said = spark.createDataFrame([(i, "red" if i < 1000 else "green") for i, _ in rows], "doc_id bigint, domain string")
+    domains = ["green", "red"]
+    model = m.train(table, said, domains)
+    fitted = {r.b: (r.w0, r.w1) for r in model.collect()}
+    assert len(fitted) - 1 > 1700
+    probe = [(k, f"{kind}{w}") for k, (kind, w) in enumerate((kind, w) for kind in ("red", "green") for w in range(0, 900, 7))]
+    probe += [(5000, " ".join(t for _, t in probe)), (5001, "none of these"), (5002, "")]
+    texts = helpers.docs(spark, probe)
+    bags = {r.doc_id: set(r.b) for r in texts.select("doc_id", m.buckets_of(m.words_of(F.col("text"))).alias("b")).collect()}
+    for r in m.posteriors(texts, model, domains, keep=["doc_id"]).collect():
+        odds = np.array(fitted[0]) + sum((np.array(fitted[b]) for b in bags[r.doc_id] if b in fitted), np.zeros(2))
+        e = np.exp(odds - odds.max())
+        assert np.allclose(r["__p"], e / e.sum(), atol=1e-9)

@@ -10,8 +10,9 @@
    document's rate is a function of the sums so far, so it is recomputed from
    them and no state is written between steps.
 
-The written table is a row of numbers per document; the model has at most
-FEATURES weights per domain whatever the corpus and is passed as literals.  Defined results: null
+The written table is a row of numbers per document; the model has a weight per
+domain for every bucket that passes the test (at most BUCKETS) and is passed as
+literals, looked up by hash.  Defined results: null
 and empty texts have no tokens, the prior as posterior, and rate 1; null or
 unlisted labels are ignored; a document with several labels counts for each; a
 domain without labelled documents has prior weight only; targets need not sum
@@ -33,7 +34,6 @@ BUCKETS = 1 << 20
 TRAIN_ROWS = 40_000
 STRENGTH = 20.0
 SIGNIFICANT = 6.0
-FEATURES = 512
 STEPS = 40
 TOLERANCE = 1e-3
 PULL = 1e-3
@@ -56,7 +56,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
 
     Copies of a text count once in a domain.  STRENGTH documents of the common frequencies are added to each
     domain.  A bucket is kept if in some domain its count is SIGNIFICANT standard deviations from what the
-    common frequency gives; of these, the FEATURES most significant.
+    common frequency gives.
     """
     named = (labelled.select(F.col(id_col), F.col(domain_col).alias("__domain"))
              .where(F.col(id_col).isNotNull() & F.col("__domain").isin(domains)).distinct())
@@ -81,11 +81,11 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
     common = F.least((sum(n[1:], n[0]) + 1.0) / (total + 2.0), F.lit(0.999))
     share = [F.least((n[k] + STRENGTH * common) / (size[k] + STRENGTH), F.lit(0.999)) for k in ks]
     odd = F.greatest(*[F.abs(n[k] - size[k] * common) / F.sqrt(size[k] * common + 1.0) for k in ks], F.lit(0.0))
-    chosen = materialize(wide.where("b > 0").withColumn("odd", odd).where(F.col("odd") >= SIGNIFICANT)
-                         .orderBy(F.desc("odd"), "b").limit(FEATURES).select(
+    chosen = materialize(wide.where("b > 0").withColumn("odd", odd).where(F.col("odd") >= SIGNIFICANT).select(
         "b", *[(F.log(share[k] / (1 - share[k])) - F.log(common / (1 - common))).alias(f"w{k}") for k in ks],
         *[F.log((1 - share[k]) / (1 - common)).alias(f"a{k}") for k in ks]), "mixing-weights")
-    absent = chosen.agg(*[F.coalesce(F.sum(f"a{k}"), F.lit(0.0)).alias(f"a{k}") for k in ks])
+    # Added up in sorted order, so that the sums don't depend on the partitioning.
+    absent = chosen.agg(*[F.aggregate(F.array_sort(F.collect_list(f"a{k}")), F.lit(0.0), lambda x, y: x + y).alias(f"a{k}") for k in ks])
     constants = absent.select(F.lit(0).alias("b"), *[
         (F.col(f"a{k}") + float(np.log((size[k] + 1.0) / (total + len(domains))))).alias(f"w{k}") for k in ks])
     return constants.union(chosen.select("b", *[f"w{k}" for k in ks]))
@@ -100,16 +100,28 @@ def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], text_col:
                keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns with ``__n`` (tokens) and ``__p`` (posterior over the domains, in their order)."""
     keep = docs.columns if keep is None else keep
-    fitted = sorted(model.collect(), key=lambda r: r.b)  # the constants (bucket 0) and at most FEATURES buckets
-    used = _constant([r.b for r in fitted[1:]], "int")
+    fitted = model.collect()  # the constants (bucket 0) and the significant buckets
+    start = next(r for r in fitted if r.b == 0)
+    # Used buckets are numbered by slot: a bucket is looked up in its slot, which holds one or none as a rule.
+    slots = 1 << (4 * len(fitted)).bit_length()
+    chosen = sorted((r for r in fitted if r.b), key=lambda r: (r.b % slots, r.b))
+    held: list[list[int]] = [[] for _ in range(slots)]
+    before = [0] * slots
+    for place, r in enumerate(chosen):
+        if not held[r.b % slots]:
+            before[r.b % slots] = place
+        held[r.b % slots].append(r.b)
+    held_in, placed_from = _constant(held, "array<int>"), _constant(before, "int")
+    slot = lambda b: F.pmod(b, F.lit(slots)) + 1
     rows = docs.select(*[F.col(c) for c in keep], words_of(F.col(text_col)).alias("__w"))
     # Places (in the list of used buckets) of those that the text holds.
-    known = F.transform(F.array_intersect(buckets_of(F.col("__w")), used), lambda b: F.array_position(used, b).cast("int"))
-    rows = rows.select(*keep, F.size("__w").cast("bigint").alias("__n"), known.alias("__b"))
+    known = F.filter(F.array_distinct(buckets_of(F.col("__w"))), lambda b: F.array_contains(F.element_at(held_in, slot(b)), b))
+    places = F.transform(known, lambda b: F.element_at(placed_from, slot(b)) + F.array_position(F.element_at(held_in, slot(b)), b).cast("int"))
+    rows = rows.select(*keep, F.size("__w").cast("bigint").alias("__n"), places.alias("__b"))
 
     def log_odds(k: int) -> Column:
-        w = _constant([r[k + 1] for r in fitted[1:]], "double")
-        return F.lit(float(fitted[0][k + 1])) + F.aggregate("__b", F.lit(0.0), lambda a, b: a + F.element_at(w, b))
+        w = _constant([r[k + 1] for r in chosen], "double")
+        return F.lit(float(start[k + 1])) + F.aggregate("__b", F.lit(0.0), lambda a, b: a + F.element_at(w, b))
 
     rows = rows.select(*keep, "__n", F.array(*[log_odds(k) for k in range(len(domains))]).alias("__l"))
     rows = rows.withColumn("__e", F.transform("__l", lambda x: F.exp(x - F.array_max("__l"))))
