@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontaminate, html_extract, langid, mixing, neardup, ordinal, pii, quality_rules, token_counts
+from . import chat_tree, collocations, decontaminate, hash_forest, html_extract, langid, mixing, neardup, ordinal, pii, quality_rules, spelling_variants, token_counts
 from .common import bound_batches, ensure_checkpoint_dir, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,90 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(read_table(spark, sf_dir, "documents"))
+
+
+# The sixteen numbers are the table of CRC-32 for four bits at a time (fixed values).
+OP11_SQL = r"""
+WITH runs AS (
+  SELECT doc_id, run, count(*) AS c FROM
+    (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+codes AS (
+  SELECT run, c, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CAST(unicode(x) AS BIGINT)) AS points FROM runs),
+octets AS (
+  SELECT run, c, flatten(list_transform(points, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 + (p >> 6), 128 + (p & 63)] END)) AS bytes FROM codes),
+sums AS (
+  SELECT run, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(bytes, lambda b: [b & 15, b >> 4]))),
+    lambda s, h: xor(s >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+                              3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][xor(s & 15, h) + 1])), 4294967295) AS h
+  FROM octets),
+forms AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c FROM sums),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM forms WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM w)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT a.word, a.n, b.word, b.n FROM w a JOIN cut b ON b.rest = a.word
+  UNION
+  SELECT b.word, b.n, a.word, a.n FROM w a JOIN cut b ON b.rest = a.word),
+best AS (
+  SELECT word, n, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word, n),
+f AS (
+  SELECT w.word, w.n, CAST(coalesce(b.n_near, 0) AS BIGINT) AS n_near,
+         CASE WHEN b.other_n >= 5 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 5 * w.n THEN b.other_n END AS form_n
+  FROM w LEFT JOIN best b ON w.word = b.word),
+chain AS (
+  WITH RECURSIVE c(word, last, form) AS (
+    SELECT word, word, form FROM f
+    UNION ALL
+    SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.form)
+  SELECT word, last AS root FROM c WHERE form IS NULL)
+SELECT f.word, f.form, chain.root, f.n, f.n_near, f.form_n FROM f JOIN chain ON f.word = chain.word
+"""
+
+
+@register("op11_spelling_variants", sql=OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM
+    (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+place AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM p WHERE len(ws) > 0),
+sizes AS (SELECT lang, count(*) AS n FROM place GROUP BY lang),
+f AS (
+  SELECT lang, g, count(*) AS c FROM (
+    SELECT lang, [ws[i]] AS g FROM place UNION ALL
+    SELECT lang, ws[i:i + 1] FROM place WHERE i + 1 <= len(ws) UNION ALL
+    SELECT lang, ws[i:i + 2] FROM place WHERE i + 2 <= len(ws)) GROUP BY lang, g),
+cand AS (SELECT lang, g, c AS a FROM f WHERE len(g) > 1 AND c >= 10),
+cuts AS (
+  SELECT d.lang, d.g, d.a, d.k, l.c AS l, r.c AS r,
+         (CAST(1000000 AS HUGEINT) * d.a * d.a) // (CAST(l.c AS HUGEINT) * r.c) AS score
+  FROM (SELECT lang, g, a, unnest(generate_series(1, len(g) - 1)) AS k FROM cand) d
+  JOIN f l ON l.lang = d.lang AND l.g = d.g[1:d.k]
+  JOIN f r ON r.lang = d.lang AND r.g = d.g[d.k + 1:len(d.g)]),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+long AS (SELECT lang, g[1:2] AS g, a FROM cand WHERE len(g) = 3 UNION ALL SELECT lang, g[2:3], a FROM cand WHERE len(g) = 3),
+kept AS (
+  SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM long WHERE long.lang = low.lang AND long.g = low.g AND 100 * long.a >= 50 * low.a)),
+ranked AS (
+  SELECT k.lang, array_to_string(k.g, ' ') AS phrase, k.a, k.l, k.r, s.n, k.score FROM kept k JOIN sizes s ON s.lang = k.lang),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM placed WHERE rank <= 2000
+"""
+
+
+@register("op12_collocations", sql=OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(read_table(spark, sf_dir, "documents"))
+
+
+@register("op13_hash_prefix_forest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return hash_forest.nearest(rows, F.col("vec_id") % 20 == 0)
