@@ -173,23 +173,28 @@ WITH p AS (
 place AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM p WHERE len(ws) > 0),
 sizes AS (SELECT lang, count(*) AS n FROM place GROUP BY lang),
 f AS (
-  SELECT lang, g, count(*) AS c FROM (
-    SELECT lang, [ws[i]] AS g FROM place UNION ALL
-    SELECT lang, ws[i:i + 1] FROM place WHERE i + 1 <= len(ws) UNION ALL
-    SELECT lang, ws[i:i + 2] FROM place WHERE i + 2 <= len(ws)) GROUP BY lang, g),
-cand AS (SELECT lang, g, c AS a FROM f WHERE len(g) > 1 AND c >= 10),
+  SELECT lang, m, g, count(*) AS c FROM (
+    SELECT lang, 1 AS m, ws[i] AS g FROM place UNION ALL
+    SELECT lang, 2, ws[i] || ' ' || ws[i + 1] FROM place WHERE i + 1 <= len(ws) UNION ALL
+    SELECT lang, 3, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FROM place WHERE i + 2 <= len(ws)) GROUP BY lang, m, g),
+cand AS (SELECT lang, m, g, c AS a, string_split(g, ' ') AS ws FROM f WHERE m > 1 AND c >= 10),
+parts AS (
+  SELECT lang, g, a, 1 AS k, ws[1] AS head, array_to_string(ws[2:], ' ') AS tail FROM cand UNION ALL
+  SELECT lang, g, a, 2, ws[1] || ' ' || ws[2], ws[3] FROM cand WHERE m = 3),
 cuts AS (
   SELECT d.lang, d.g, d.a, d.k, l.c AS l, r.c AS r,
          (CAST(1000000 AS HUGEINT) * d.a * d.a) // (CAST(l.c AS HUGEINT) * r.c) AS score
-  FROM (SELECT lang, g, a, unnest(generate_series(1, len(g) - 1)) AS k FROM cand) d
-  JOIN f l ON l.lang = d.lang AND l.g = d.g[1:d.k]
-  JOIN f r ON r.lang = d.lang AND r.g = d.g[d.k + 1:len(d.g)]),
+  FROM parts d JOIN f l ON l.lang = d.lang AND l.g = d.head JOIN f r ON r.lang = d.lang AND r.g = d.tail),
 low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
-long AS (SELECT lang, g[1:2] AS g, a FROM cand WHERE len(g) = 3 UNION ALL SELECT lang, g[2:3], a FROM cand WHERE len(g) = 3),
+covers AS (
+  SELECT lang, g, max(a) AS a FROM (
+    SELECT lang, ws[1] || ' ' || ws[2] AS g, a FROM cand WHERE m = 3 UNION ALL
+    SELECT lang, ws[2] || ' ' || ws[3], a FROM cand WHERE m = 3) GROUP BY lang, g),
 kept AS (
-  SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM long WHERE long.lang = low.lang AND long.g = low.g AND 100 * long.a >= 50 * low.a)),
+  SELECT low.* FROM low LEFT JOIN covers ON covers.lang = low.lang AND covers.g = low.g
+  WHERE covers.a IS NULL OR 100 * covers.a < 50 * low.a),
 ranked AS (
-  SELECT k.lang, array_to_string(k.g, ' ') AS phrase, k.a, k.l, k.r, s.n, k.score FROM kept k JOIN sizes s ON s.lang = k.lang),
+  SELECT k.lang, k.g AS phrase, k.a, k.l, k.r, s.n, k.score FROM kept k JOIN sizes s ON s.lang = k.lang),
 placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked)
 SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM placed WHERE rank <= 2000
