@@ -6,7 +6,7 @@ copy of every set of outgoing arcs that several states share.  It is built from
 sorted n-grams, so each state is complete once the prefix has moved on.
 
 1. Shards: every task cuts its texts into words and builds a transducer per language
-   and about ``SHARD_WORDS`` words.  They are written, with regular samples of
+   and about ``SHARD_BYTES`` of text.  They are written, with regular samples of
    their phrases.
 2. Union by prefix range: the samples cut the sorted phrases of a language into
    ranges of about equal numbers of arcs (a range may begin inside the phrases
@@ -26,7 +26,6 @@ rows; ties as the contract orders them; columns other than those named are ignor
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,29 +37,25 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, bound_batches, materialize, to_batch
 
-BREAK = r"[.,;:!?\n\x0B\x0C\r]"  # ends a piece
-GAP = r"[ \t]+"                   # between words
 NO_LANGUAGE = "und"
 
 MIN_COUNT = 10
-MAX_WORDS = 3
 TOP = 2000
 
-SHARD_WORDS = 1_000_000
+SHARD_BYTES = 6 << 20
 SAMPLE_EVERY = 16_384
-RANGE_ARCS = 2_000_000
-SLICE_BYTES = 16 << 20
+RANGE_ARCS = 3_000_000
 
 
 # ---------------------------------------------------------------------------
 # The transducer
 # ---------------------------------------------------------------------------
 
-def _shared(offsets: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _shared(offsets: np.ndarray, columns: list[np.ndarray], share: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """States with equal arcs once: the state of each arc list, and the offsets and columns of the states kept."""
     sizes = np.diff(offsets)
-    if not len(sizes):
-        return np.zeros(0, np.int64), np.zeros(1, np.int64), columns
+    if not share or not len(sizes):
+        return np.arange(len(sizes)), offsets, columns
     place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes)
     code = np.full(len(place), 7, np.uint64)
     for c in [place, *columns]:
@@ -97,22 +92,23 @@ class Counts:
         self.words, self.one, self.n1, self.two, self.n2, self.three, self.n3 = words, one, n1, two, n2, three, n3
 
     @classmethod
-    def of(cls, words: pa.Array, grams: list[tuple[np.ndarray, ...]], weights: list[np.ndarray]) -> Counts:
-        """From unsorted phrases of each length (word numbers by position; numbers in sorted order of ``words``).
+    def of(cls, words: pa.Array, one: tuple, two: tuple, three: tuple) -> Counts:
+        """From unsorted arcs per level that may repeat; equal ones add up.
 
-        Equal phrases add up; missing prefixes get weight 0.
+        ``one`` is (word, weight); ``two`` and ``three`` are (place in the level
+        above as given, word, weight).  Word numbers are places in the sorted ``words``.
         """
         v = max(1, len(words))
-        a3, b3, c3 = grams[2]
-        a2, b2 = np.r_[grams[1][0], a3], np.r_[grams[1][1], b3]
-        a1 = np.r_[grams[0][0], a2]
-        one, at1 = np.unique(a1, return_inverse=True)
-        n1 = np.zeros(len(one), np.int64)
-        np.add.at(n1, at1[:len(weights[0])], weights[0])
-        code2 = at1[len(weights[0]):].astype(np.int64) * v + b2
-        two, n2, at2 = _summed(code2, weights[1])
-        three, n3, _ = _summed(at2[len(weights[1]):].astype(np.int64) * v + c3, weights[2])
-        return cls(words, one, n1, (two // v, two % v), n2, (three // v, three % v), n3)
+        n1 = np.bincount(one[0], minlength=v)
+        held = n1 > 0
+        sums = np.zeros(v, np.int64)
+        labels, sums_of, _ = _summed(one[0], one[1])
+        sums[labels] = sums_of
+        place = np.cumsum(held) - 1
+        codes = place[one[0][two[0]]] * v + two[1]
+        two_codes, n2, at2 = _summed(codes, two[2], inverse=True)
+        three_codes, n3, _ = _summed(at2[three[0]] * v + three[1], three[2])
+        return cls(words, np.flatnonzero(held), sums[held], (two_codes // v, two_codes % v), n2, (three_codes // v, three_codes % v), n3)
 
     def grams(self) -> list[tuple[np.ndarray, ...]]:
         """Word numbers by position of the phrases of each length."""
@@ -123,17 +119,41 @@ class Counts:
         return [self.n1, self.n2, self.n3]
 
     def part(self, keep: list[np.ndarray]) -> Counts:
-        """The phrases marked, with only the words they use."""
-        grams = [tuple(g[k] for g in by_place) for by_place, k in zip(self.grams(), keep)]
-        used = np.unique(np.concatenate([g for by_place in grams for g in by_place] or [np.zeros(0, np.int64)])).astype(np.int64)
-        grams = [tuple(np.searchsorted(used, g) for g in by_place) for by_place in grams]
-        return Counts.of(self.words.take(pa.array(used)), grams, [n[k] for n, k in zip(self.weights(), keep)])
-
-    def to_bytes(self) -> bytes:
+        """The phrases marked, with their prefixes and only the words they use."""
+        three = np.flatnonzero(keep[2])
+        with2 = keep[1].copy()
+        with2[self.three[0][three]] = True
+        two = np.flatnonzero(with2)
+        with1 = keep[0].copy()
+        with1[self.two[0][two]] = True
+        one = np.flatnonzero(with1)
+        return self._taken(one, self.n1[one] * keep[0][one], two, self.n2[two] * keep[1][two], three, self.n3[three])
+
+    def cut(self, at: list[tuple[int, int]]) -> Counts:
+        """The phrases in a run of each level, with their prefixes (which may begin before the run)."""
+        (s1, e1), (s2, e2), (s3, e3) = at
+        lo2, hi2 = (min(s2, self.three[0][s3]), max(e2, self.three[0][e3 - 1] + 1)) if e3 > s3 else (s2, e2)
+        lo1, hi1 = (min(s1, self.two[0][lo2]), max(e1, self.two[0][hi2 - 1] + 1)) if hi2 > lo2 else (s1, e1)
+        one, two, three = np.arange(lo1, hi1), np.arange(lo2, hi2), np.arange(s3, e3)
+        return self._taken(one, self.n1[one] * ((one >= s1) & (one < e1)), two, self.n2[two] * ((two >= s2) & (two < e2)), three, self.n3[three])
+
+    def _taken(self, one, n1, two, n2, three, n3) -> Counts:
+        """Sorted arcs of each level that include their prefixes."""
+        used = np.zeros(len(self.words), bool)
+        for level in (self.one[one], self.two[1][two], self.three[1][three]):
+            used[level] = True
+        number = np.cumsum(used) - 1
+        place1, place2 = np.zeros(len(self.one), np.int64), np.zeros(len(self.n2), np.int64)
+        place1[one], place2[two] = np.arange(len(one)), np.arange(len(two))
+        return Counts(self.words.filter(pa.array(used)), number[self.one[one]], n1, (place1[self.two[0][two]], number[self.two[1][two]]), n2,
+                      (place2[self.three[0][three]], number[self.three[1][three]]), n3)
+
+    def to_bytes(self, share: bool = True) -> bytes:
+        """Arrays of the states' arcs; with ``share`` equal states are held once."""
         off3 = np.searchsorted(self.three[0], np.arange(len(self.n2) + 1))
-        state3, off3, (lab3, n3) = _shared(off3, [self.three[1], self.n3])
+        state3, off3, (lab3, n3) = _shared(off3, [self.three[1], self.n3], share)
         off2 = np.searchsorted(self.two[0], np.arange(len(self.n1) + 1))
-        state2, off2, (lab2, n2, to3) = _shared(off2, [self.two[1], self.n2, state3])
+        state2, off2, (lab2, n2, to3) = _shared(off2, [self.two[1], self.n2, state3], share)
         arrays = [self.one, self.n1, state2, off2, lab2, n2, to3, off3, lab3, n3]
         arrays = [x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)) for x in arrays]
         sink = pa.BufferOutputStream()
@@ -175,12 +195,18 @@ def _spread(states: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return lead, np.repeat(offsets[states] - before, sizes) + np.arange(sizes.sum())
 
 
-def _summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct codes, the sum of the weights of each (codes beyond the weights add 0) and where each code went."""
-    found, at = np.unique(codes, return_inverse=True)
-    n = np.zeros(len(found), np.int64)
-    np.add.at(n, at[:len(weights)], weights)
-    return found, n, at
+def _summed(codes: np.ndarray, weights: np.ndarray, inverse: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct codes in order, the sum of the weights of each and, if asked, where each code went."""
+    if not len(codes):
+        return codes, weights, codes
+    order = np.argsort(codes)
+    ordered = codes[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    at = None
+    if inverse:
+        at = np.empty(len(codes), np.int64)
+        at[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(codes)]))
+    return ordered[starts], np.add.reduceat(weights[order], starts), at
 
 
 def _search(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -201,119 +227,99 @@ def union(parts: list[Counts]) -> Counts:
         return parts[0]
     words = pc.unique(pa.concat_arrays([p.words for p in parts]))
     words = words.take(pc.sort_indices(words))
-    grams, weights = [[], [], []], [[], [], []]
+    levels: list[list] = [[], [], []]
+    before1 = before2 = 0
     for p in parts:
         number = _numbers(words, p.words)
-        for length, (by_place, n) in enumerate(zip(p.grams(), p.weights())):
-            grams[length].append([number[g] for g in by_place])
-            weights[length].append(n)
-    joined = [tuple(np.concatenate(x) for x in zip(*g)) for g in grams]
-    return Counts.of(words, joined, [np.concatenate(w) for w in weights])
+        levels[0].append((number[p.one], p.n1))
+        levels[1].append((p.two[0] + before1, number[p.two[1]], p.n2))
+        levels[2].append((p.three[0] + before2, number[p.three[1]], p.n3))
+        before1, before2 = before1 + len(p.one), before2 + len(p.n2)
+    return Counts.of(words, *[tuple(np.concatenate(x) for x in zip(*level)) for level in levels])
 
 
 # ---------------------------------------------------------------------------
 # Shards
 # ---------------------------------------------------------------------------
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts come to about ``SLICE_BYTES``; a longer text is alone."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
-    start, total = 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and total + n > SLICE_BYTES:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    yield batch.slice(start)
-
+# Blanks become spaces, what ends a piece becomes a line break between spaces, A-Z become a-z.
+_PLAIN = bytes(ord("\n") if chr(c) in ".,;:!?\n\x0b\x0c\r" else ord(" ") if chr(c) == "\t" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-def piece_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All tokens of the texts and the text of each; tokens ``.`` and empty ones end a piece."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.split_pattern_regex(pc.replace_substring_regex(texts, BREAK, " . "), GAP)
-    sizes = pc.list_value_length(lists).to_numpy()
-    return lists.flatten(), np.repeat(np.arange(len(texts)), sizes)
 
+def tokens_of(raw: bytes) -> pa.Array:
+    """The words of texts, in order; a line break ends a piece."""
+    plain = raw.translate(_PLAIN).replace(b"\n", b" \n ")
+    tokens = pc.split_pattern(pa.array([plain], pa.large_string()), " ").flatten()
+    return tokens.filter(pc.not_equal(tokens, ""))
 
-def transducer(tokens: pa.Array, breaks: np.ndarray, max_words: int = MAX_WORDS) -> tuple[Counts, int]:
-    """Counts of all phrases of up to three tokens without a break inside, and the number of words.
 
-    ``breaks`` marks, per token, that it ends a piece (it is no word).
-    """
-    encoded = tokens.dictionary_encode()
+def transducer(raw: bytes) -> tuple[Counts, int]:
+    """Counts of all phrases of up to three words within the pieces of texts (joined by line breaks), and the number of words."""
+    encoded = tokens_of(raw).dictionary_encode()
     words = encoded.dictionary
     order = pc.sort_indices(words)
-    rank = np.empty(len(words), np.int64)
-    rank[order.to_numpy()] = np.arange(len(words))
-    t = np.where(breaks, -1, rank[encoded.indices.to_numpy()] if len(words) else -1)
-    ok = t >= 0
-    grams = [(t[ok],)]
-    for size in (2, 3):
-        n = max(0, len(t) - size + 1) if size <= max_words else 0
-        whole = np.ones(n, bool)
-        for i in range(size):
-            whole &= ok[i:i + n]
-        grams.append(tuple(t[i:i + n][whole] for i in range(size)))
-    counts = Counts.of(words.take(order).cast(pa.string()), grams, [np.ones(len(g[0]), np.int64) for g in grams])
-    return counts.part([n > 0 for n in counts.weights()]), int(ok.sum())
+    order = order.filter(pc.not_equal(words.take(order), "\n"))
+    rank = np.full(len(words), -1, np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    t = rank[encoded.indices.to_numpy()]
+    v, ok = max(1, len(order)), t >= 0
+    n1 = np.bincount(t[ok], minlength=len(order))
+    at2 = np.flatnonzero(ok[:-1] & ok[1:])
+    two, n2, to = _summed(t[at2] * v + t[at2 + 1], np.ones(len(at2), np.int64), inverse=True)
+    more = np.flatnonzero(ok[at2[:-1] + 2] & (np.diff(at2) == 1)) if len(at2) else at2
+    three = np.sort(to[more] * v + t[at2[more] + 2])
+    starts = np.flatnonzero(np.r_[True, three[1:] != three[:-1]]) if len(three) else np.zeros(0, np.int64)
+    n3 = np.diff(np.r_[starts, len(three)])
+    three = three[starts]
+    counts = Counts(words.take(order).cast(pa.string()), np.arange(len(order)), n1, (two // v, two % v), n2, (three // v, three % v), n3)
+    return counts, int(ok.sum())
 
 
 SHARDS = "lang string, words bigint, arcs bigint, samples array<string>, counts binary"
 
 
 class _Shards:
-    """A transducer per language for about every ``shard_words`` words of a task."""
+    """A transducer per language for about every ``shard_bytes`` of a task's texts."""
 
-    def __init__(self, shard_words: int, sample_every: int):
-        self.shard_words, self.sample_every = shard_words, sample_every
+    def __init__(self, shard_bytes: int, sample_every: int):
+        self.shard_bytes, self.sample_every = shard_bytes, sample_every
         self.schema = arrow_schema(SHARDS)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = defaultdict(list)
+        held: dict[str, list[bytes]] = defaultdict(list)
         size: dict[str, int] = defaultdict(int)
         total = 0
         for batch in batches:
-            for rows in _slices(batch):
-                tokens, text = piece_words(rows.column("text"))
-                langs = pc.fill_null(rows.column("lang"), NO_LANGUAGE).to_numpy(zero_copy_only=False)
-                breaks = pc.is_in(tokens, pa.array([".", ""], tokens.type)).to_numpy(zero_copy_only=False)
-                of = langs[text] if len(text) else text
-                for lang in np.unique(langs):
-                    own = np.flatnonzero(of == lang)
-                    if not len(own):
-                        continue
-                    # A break after every text.
-                    ends = np.flatnonzero(np.diff(text[own])) + 1
-                    mine = tokens.take(pa.array(np.insert(own, ends, 0)))
-                    held[lang].append((mine, np.insert(breaks[own], ends, True)))
-                    held[lang].append((pa.array([""], tokens.type), np.array([True])))
-                    size[lang] += len(own)
-                    total += len(own)
-                    if size[lang] >= self.shard_words:
-                        total -= size.pop(lang)
-                        yield self._row(lang, held.pop(lang))
-                while total >= 2 * self.shard_words:  # many languages with few words each
-                    lang = max(size, key=size.get)
-                    total -= size.pop(lang)
-                    yield self._row(lang, held.pop(lang))
+            texts = batch.column("text").cast(pa.binary())
+            for lang, text in zip(batch.column("lang").to_pylist(), texts):
+                raw, lang = text.as_py(), NO_LANGUAGE if lang is None else lang
+                if not raw:
+                    continue
+                held[lang].append(raw)
+                size[lang] += len(raw)
+                total += len(raw)
+                while size[lang] >= self.shard_bytes or total >= 4 * self.shard_bytes:
+                    full = max(size, key=size.get)
+                    total -= size.pop(full)
+                    yield self._row(full, held.pop(full))
         for lang, parts in held.items():
             yield self._row(lang, parts)
 
-    def _row(self, lang: str, parts: list) -> pa.RecordBatch:
-        counts, n_words = transducer(pa.concat_arrays([t for t, _ in parts]), np.concatenate([b for _, b in parts]))
+    def _row(self, lang: str, texts: list[bytes]) -> pa.RecordBatch:
+        counts, n_words = transducer(b"\n".join(texts))
         samples = []
         for by_place in counts.grams():
-            for i in range(self.sample_every // 2, len(by_place[0]), self.sample_every):
-                samples.append("\t".join(counts.words[int(g[i])].as_py() for g in by_place))
+            picked = [counts.words.take(pa.array(g[self.sample_every // 2::self.sample_every])).to_pylist() for g in by_place]
+            samples += ["\t".join(phrase) for phrase in zip(*picked)]
         arcs = sum(len(n) for n in counts.weights())
-        return to_batch({"lang": [lang], "words": [n_words], "arcs": [arcs], "samples": [samples], "counts": [counts.to_bytes()]}, self.schema)
+        return to_batch({"lang": [lang], "words": [n_words], "arcs": [arcs], "samples": [samples], "counts": [counts.to_bytes(share=False)]}, self.schema)
 
 
-def count_shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS,
+def count_shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES,
                  sample_every: int = SAMPLE_EVERY) -> DataFrame:
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(_Shards(shard_words, sample_every), SHARDS), "count-shards")
+    return materialize(rows.mapInArrow(_Shards(shard_bytes, sample_every), SHARDS), "count-shards")
 
 
 # ---------------------------------------------------------------------------
@@ -352,31 +358,33 @@ def split_at(counts: Counts, bounds: list[Bound]) -> Iterator[tuple[int, Counts]
     if not bounds:
         yield 0, counts
         return
-    words = counts.words.to_pylist()
-    v = len(words) + 1
-    # Bounds as numbers on the scale of this transducer's words: 2 i + 1 is word i, 2 i lies before it.
-    def place(w: str) -> int:
-        i = bisect_left(words, w)
-        return 2 * i + 1 if i < len(words) and words[i] == w else 2 * i
-    scale = [np.array([place(b[i]) if b[i] else -1 for b in bounds], np.int64) for i in range(3)]
-    ranges = []
-    for by_place in counts.grams():
-        keys = [2 * g + 1 for g in by_place] + [np.full(len(by_place[0]), -1)] * (3 - len(by_place))
-        ranges.append(_range_of(keys, scale, 2 * v + 2))
-    for number in np.unique(np.concatenate([r[n > 0] for r, n in zip(ranges, counts.weights())])):
-        yield int(number), counts.part([(r == number) & (n > 0) for r, n in zip(ranges, counts.weights())])
-
-
-def _range_of(keys: list[np.ndarray], bounds: list[np.ndarray], base: int) -> np.ndarray:
-    """How many bounds are at or before each key (both compared place by place)."""
-    both = [np.r_[b, k] + 1 for b, k in zip(bounds, keys)]
-    # Bounds and keys in one order; the first two places fit one number.
-    n = len(bounds[0])
-    order = np.lexsort((np.r_[np.zeros(n), np.ones(len(keys[0]))], both[2], both[0] * base + both[1]))
-    passed = np.cumsum(order < n)
-    out = np.empty(len(order), np.int64)
-    out[order] = passed
-    return out[n:]
+    # Bounds as numbers on the scale of this transducer's words: 2 i + 1 is word i, 2 i lies before it, -1 is no word.
+    words = counts.words
+    names = pa.array(sorted({w for b in bounds for w in b if w}), pa.string())
+    both = pa.concat_arrays([words, names])
+    sorted_rank = pc.rank(both, "ascending", tiebreaker="min").to_numpy().astype(np.int64)
+    own, their = sorted_rank[:len(words)], sorted_rank[len(words):]
+    at = np.searchsorted(own, their)
+    known = np.r_[own, -1][at] == their
+    number = dict(zip(names.to_pylist(), (2 * at + known).tolist()))
+    number[""] = -1
+    x, y, z = (np.array([number[b[i]] for b in bounds], np.int64) for i in range(3))
+    # How many phrases of each level lie before each bound; levels are sorted, so ranges are runs.
+    e1 = np.searchsorted(2 * counts.one + 1, x, side="right")           # a prefix comes before its phrases
+    head = np.searchsorted(2 * counts.one + 1, x)
+    known1 = (e1 > head)
+    base = 2 * len(words) + 3
+    keys2 = counts.two[0] * base + 2 * counts.two[1] + 2
+    e2 = np.where(known1, np.searchsorted(keys2, head * base + y + 1, side="right"), np.searchsorted(keys2, head * base))
+    low2 = np.where(known1, np.searchsorted(keys2, head * base + y + 1), e2)
+    known2 = e2 > low2
+    keys3 = counts.three[0] * base + 2 * counts.three[1] + 2
+    e3 = np.where(known2, np.searchsorted(keys3, low2 * base + z + 1), np.searchsorted(keys3, e2 * base))
+    ends = [np.r_[0, np.maximum.accumulate(e), size] for e, size in zip((e1, e2, e3), (len(counts.n1), len(counts.n2), len(counts.n3)))]
+    for number_of in range(len(bounds) + 1):
+        runs = [(int(e[number_of]), int(e[number_of + 1])) for e in ends]
+        if any(b > a and n[a:b].any() for (a, b), n in zip(runs, counts.weights())):
+            yield number_of, counts.cut(runs)
 
 
 class _Split:
@@ -387,7 +395,7 @@ class _Split:
         for batch in batches:
             for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("counts")):
                 for number, part in split_at(Counts.from_bytes(raw.as_py()), self.bounds.get(lang, [])):
-                    yield to_batch({"lang": [lang], "range": [number], "counts": [part.to_bytes()]}, self.schema)
+                    yield to_batch({"lang": [lang], "range": [number], "counts": [part.to_bytes(share=False)]}, self.schema)
 
 
 RANGES = "lang string, range int, counts binary"
@@ -417,9 +425,13 @@ def parts_of(counts: Counts) -> Counts:
     _, (a2, b2), (a3, b3, c3) = counts.grams()
     two, three = counts.n2 > 0, counts.n3 > 0
     a2, b2, a3, b3, c3 = a2[two], b2[two], a3[three], b3[three], c3[three]
+    # Pairs hang below words, which are all parts themselves but for the last word of a pair.
+    first = np.r_[a2, a3, b3]
+    ones = np.r_[first, b2, c3]
+    asked = np.r_[np.ones(len(a2) + len(a3), np.int64), np.zeros(len(b3), np.int64), np.ones(len(b2) + len(c3), np.int64)]
+    pairs = (len(a2) + np.arange(2 * len(a3)), np.r_[b3, c3], np.ones(2 * len(a3), np.int64))
     none = np.zeros(0, np.int64)
-    ones, pairs = (np.r_[a2, b2, a3, c3],), (np.r_[a3, b3], np.r_[b3, c3])
-    found = Counts.of(counts.words, [ones, pairs, (none, none, none)], [np.ones(len(ones[0]), np.int64), np.ones(len(pairs[0]), np.int64), none])
+    found = Counts.of(counts.words, (ones, asked), pairs, (none, none, none))
     found.n1, found.n2 = np.minimum(found.n1, 1), np.minimum(found.n2, 1)
     return found
 
@@ -436,7 +448,7 @@ class _Ask:
             for lang, home, raw in zip(batch.column("lang").to_pylist(), batch.column("range").to_pylist(), batch.column("counts")):
                 parts = parts_of(Counts.from_bytes(raw.as_py()))
                 for number, part in split_at(parts, self.bounds.get(lang, [])) if len(parts.one) else ():
-                    yield to_batch({"lang": [lang], "range": [number], "home": [home], "asked": [part.to_bytes()]}, self.schema)
+                    yield to_batch({"lang": [lang], "range": [number], "home": [home], "asked": [part.to_bytes(share=False)]}, self.schema)
 
 
 def _compose(_key: tuple[pa.Scalar, ...], counts: pa.Table, asked: pa.Table) -> pa.Table:
@@ -449,7 +461,7 @@ def _compose(_key: tuple[pa.Scalar, ...], counts: pa.Table, asked: pa.Table) ->
         n1, n2 = own.find(part) if own else (part.n1 * 0, part.n2 * 0)
         # A prefix that belongs to another range was not asked for.
         part.n1, part.n2 = n1 * (part.n1 > 0), n2 * (part.n2 > 0)
-        out.append(to_batch({"lang": [lang], "range": [home], "counts": [part.to_bytes()]}, schema))
+        out.append(to_batch({"lang": [lang], "range": [home], "counts": [part.to_bytes(share=False)]}, schema))
     return pa.Table.from_batches(out, schema)
 
 
@@ -511,9 +523,9 @@ def _rows(counts: pa.Table, phrase, a, l, r, score, dropped: bool) -> pa.RecordB
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT,
-                 shard_words: int = SHARD_WORDS, sample_every: int = SAMPLE_EVERY, range_arcs: int = RANGE_ARCS) -> DataFrame:
+                 shard_bytes: int = SHARD_BYTES, sample_every: int = SAMPLE_EVERY, range_arcs: int = RANGE_ARCS) -> DataFrame:
     """``(lang, phrase, a, l, r, n, score)``: all phrases of two or three words that occur ``min_count`` times and that no longer one covers."""
-    shards = count_shards(docs, text_col, lang_col, shard_words, sample_every)
+    shards = count_shards(docs, text_col, lang_col, shard_bytes, sample_every)
     bounds = range_bounds(shards, sample_every, range_arcs)
     ranges = unite_ranges(shards, bounds, min_count)
     asked = ranges.mapInArrow(_Ask(bounds), ASKED)
