@@ -168,10 +168,10 @@ def _corpus_terms(spark, sf_dir):
     return tf.groupBy("term").agg(F.sum("tf").alias("freq"))
 
 
-# Words one edit away from a term share a key of at most one deletion with it,
-# and every misspelling here is at most one edit from the term it comes from.
-def _keys_sql(x):
-    return f"list_append(list_transform(range(1, length({x}) + 1), lambda i: substr({x}, 1, i - 1) || substr({x}, i + 1)), {x})"
+# One edit by construction, so that each case is an equi-join: a letter dropped
+# on either side, one letter replaced (the rest equal), or two neighbours swapped.
+def _cut_sql(x):
+    return f"SELECT {x}, unnest(range(1, length({x}) + 1)) AS i"
 
 
 @register("spell_fix", sql=f"""
@@ -183,13 +183,14 @@ words AS (SELECT DISTINCT word FROM (
             UNION ALL
             SELECT substr(term, 1, 1) || substr(term, 3, 1) || substr(term, 2, 1) || substr(term, 4) FROM dict)),
 unknown AS (SELECT word FROM words WHERE word NOT IN (SELECT term FROM dict)),
-wk AS (SELECT DISTINCT word, unnest({_keys_sql('word')}) AS k FROM unknown),
-dk AS (SELECT DISTINCT term, freq, unnest({_keys_sql('term')}) AS k FROM dict),
-pairs AS (SELECT DISTINCT word, term, freq FROM wk JOIN dk ON wk.k = dk.k),
-near AS (SELECT word, term, freq FROM pairs
-         WHERE levenshtein(word, term) <= 1 OR length(word) = length(term) AND list_bool_or(
-               list_transform(range(1, length(word)), lambda i:
-                 substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) = term))),
+wk AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM ({_cut_sql('word')} FROM unknown)),
+dk AS (SELECT term, freq, i, substr(term, 1, i - 1) || substr(term, i + 1) AS k FROM ({_cut_sql('term')}, freq FROM dict)),
+ws AS (SELECT word, substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) AS k
+       FROM ({_cut_sql('word')} FROM unknown) WHERE i < length(word)),
+near AS (SELECT word, term, freq FROM wk JOIN dict ON k = term
+         UNION ALL SELECT word, term, freq FROM dk JOIN unknown ON k = word
+         UNION ALL SELECT word, term, freq FROM wk JOIN dk ON wk.i = dk.i AND wk.k = dk.k
+         UNION ALL SELECT word, term, freq FROM ws JOIN dict ON k = term),
 best AS (SELECT word, arg_min(term, (-freq, term)) AS correction FROM near GROUP BY word)
 SELECT w.word, coalesce(b.correction, w.word) AS correction,
        CAST(CASE WHEN b.word IS NULL THEN 0 ELSE 1 END AS INTEGER) AS dist
