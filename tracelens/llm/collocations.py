@@ -42,9 +42,9 @@ NO_LANGUAGE = "und"
 MIN_COUNT = 10
 TOP = 2000
 
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 SAMPLE_EVERY = 16_384
-RANGE_ARCS = 3_000_000
+RANGE_ARCS = 1_000_000
 
 
 # ---------------------------------------------------------------------------
@@ -312,6 +312,7 @@ class _Shards:
             picked = [counts.words.take(pa.array(g[self.sample_every // 2::self.sample_every])).to_pylist() for g in by_place]
             samples += ["\t".join(phrase) for phrase in zip(*picked)]
         arcs = sum(len(n) for n in counts.weights())
+        pa.default_memory_pool().release_unused()
         return to_batch({"lang": [lang], "words": [n_words], "arcs": [arcs], "samples": [samples], "counts": [counts.to_bytes(share=False)]}, self.schema)
 
 
@@ -405,6 +406,7 @@ def _unite(min_count: int):
     """One transducer for a range, without the phrases below ``min_count``."""
     def unite(table: pa.Table) -> pa.Table:
         whole = union([Counts.from_bytes(x.as_py()) for x in table.column("counts")])
+        pa.default_memory_pool().release_unused()
         kept = whole.part([n >= min_count for n in whole.weights()])
         row = {"lang": [table.column("lang")[0].as_py()], "range": [table.column("range")[0].as_py()], "counts": [kept.to_bytes()]}
         return pa.Table.from_batches([to_batch(row, arrow_schema(RANGES))])

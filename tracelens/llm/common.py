@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import broadcast_limit, ensure_checkpoint_dir, materialize, ship_package  # noqa: F401
 
@@ -17,6 +18,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def in_sample(name: str, key: str | Column, share: float | Column) -> Column:
+    """True for about this share of the keys, chosen by a 53-bit hash: the share may be as small as the table is large."""
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(name), key), 11).cast("double") / float(1 << 53)
+    return unit < share
+
+
 def bound_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Before Python work on texts: executors get the package, and Arrow batches fewer rows.
 

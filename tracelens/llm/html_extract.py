@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import in_sample, map_batches
 
 SAMPLE_PAGES = 1500
 SAMPLE_BLOCKS = 30_000
@@ -342,8 +342,7 @@ def _sample_blocks(batch) -> dict:
 def fit(pages: DataFrame, html_col: str = "html", key_col: str = "page_id") -> np.ndarray:
     """Weights from about SAMPLE_PAGES pages by a hash of their key, at most SAMPLE_BLOCKS blocks."""
     n = pages.count()
-    rate = min(1_000_000, 1_000_000 * SAMPLE_PAGES // max(1, n))
-    picked = pages.where(F.pmod(F.xxhash64(F.lit("pages"), F.col(key_col)), F.lit(1_000_000)) < rate).select(F.col(html_col).cast("string"))
+    picked = pages.where(in_sample("pages", F.col(key_col), SAMPLE_PAGES / max(1, n))).select(F.col(html_col).cast("string"))
     rows = map_batches(picked, _sample_blocks, "label int, row array<double>").limit(SAMPLE_BLOCKS).collect()
     rows = sorted(rows, key=lambda r: (r.label, r.row))
     return train(np.array([r.row for r in rows]), np.array([r.label for r in rows], dtype=float))

@@ -22,15 +22,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_batches
+from ..session import fits_broadcast, materialize
+from .common import bound_batches, in_sample, map_batches
 
 UNDETERMINED = "und"
 BUCKET_BITS = 16
 CHUNK = 1 << 20
-# Bounds of the training sample: rows per language, rows in all, and languages.
+# Bounds of the training sample: rows per language and rows in all, but for at least LEAST_ROWS of every language.
 ROWS_PER_LANG = 2000
 TRAIN_ROWS = 12_000
-MAX_LANGS = 200
+LEAST_ROWS = 20
 # Predictions below this score are rejected by ``keep_identified``.
 MIN_SCORE = 0.25
 
@@ -147,20 +148,18 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     partitioning; only its hashed features reach the driver.
     """
     usable = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col)).agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), F.col(lang_col)).limit(MAX_LANGS).collect()}
-    if not sizes:
+    sizes = materialize(usable.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__n")), "languages")
+    n_langs = sizes.count()
+    if not n_langs:
         return LangModel()
-    rows_per_lang = min(rows_per_lang, TRAIN_ROWS // len(sizes))
-    rate = F.lit(0)
-    for lang, n in sizes.items():
-        share = min(1_000_000, int(1_000_000 * rows_per_lang / n))
-        rate = F.when(F.col(lang_col) == lang, F.lit(share)).otherwise(rate)
-    bucket = F.pmod(F.xxhash64(F.lit("langid"), F.col(key_col)), F.lit(1_000_000))
-    sample = usable.where(bucket < rate).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows_per_lang = min(rows_per_lang, max(LEAST_ROWS, TRAIN_ROWS // n_langs))
+    rows = usable.select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"), F.col(key_col).alias("__key"))
+    rows = rows.join(F.broadcast(sizes) if fits_broadcast(sizes) else sizes, "__lang")
+    sample = rows.where(in_sample("langid", F.col("__key"), F.lit(float(rows_per_lang)) / F.col("__n"))).select(
+        F.col("__lang").alias("lang"), F.col("__text").alias("text"))
     # The limit only binds when one key is repeated without end.
     rows = map_batches(sample, _sample_features, "lang string, idx binary, val binary").limit(
-        2 * rows_per_lang * len(sizes)).collect()
+        2 * rows_per_lang * n_langs).collect()
     rows = sorted(rows, key=lambda r: (r.lang, r.idx, r.val))
     data = [(np.frombuffer(r.idx, np.int32), np.frombuffer(r.val, np.float32)) for r in rows]
     return fit_rows(data, [r.lang for r in rows])

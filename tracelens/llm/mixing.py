@@ -23,19 +23,23 @@ from __future__ import annotations
 
 import json
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, materialize
+from .common import ensure_checkpoint_dir, in_sample, materialize
 
 BUCKETS = 1 << 20
 # Bound of the training sample: labelled rows, chosen by a hash of the id.
 TRAIN_ROWS = 40_000
 STRENGTH = 20.0
 SIGNIFICANT = 6.0
-STEPS = 40
 TOLERANCE = 1e-3
+# The fit ends where this many steps moved no share by more than a tenth of the tolerance: the targets are out of reach.
+STILL = 10
+MAX_STEPS = 500
 PULL = 1e-3
 
 
@@ -60,9 +64,9 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
     """
     named = (labelled.select(F.col(id_col), F.col(domain_col).alias("__domain"))
              .where(F.col(id_col).isNotNull() & F.col("__domain").isin(domains)).distinct())
-    rate = min(1_000_000, 1_000_000 * TRAIN_ROWS // max(1, named.count()))
+    share = TRAIN_ROWS / max(1, named.count())
     # At most 2 * TRAIN_ROWS rows, so the broadcast is bounded and texts stay where they are.
-    sample = materialize(named.where(F.pmod(F.xxhash64(F.lit("mixing"), F.col(id_col)), F.lit(1_000_000)) < rate).limit(2 * TRAIN_ROWS), "mixing-sample")
+    sample = materialize(named.where(in_sample("mixing", F.col(id_col), share)).limit(2 * TRAIN_ROWS), "mixing-sample")
     texts = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(sample), id_col)
     single = texts.groupBy("__domain", F.xxhash64("__text").alias("__h")).agg(F.min(id_col).alias(id_col)).select(id_col, "__domain")
     single = materialize(single, "mixing-labelled")
@@ -79,11 +83,11 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
     size = [float(row[k + 1]) if row else 0.0 for k in ks]
     total = sum(size)
     common = F.least((sum(n[1:], n[0]) + 1.0) / (total + 2.0), F.lit(0.999))
-    share = [F.least((n[k] + STRENGTH * common) / (size[k] + STRENGTH), F.lit(0.999)) for k in ks]
+    frequency = [F.least((n[k] + STRENGTH * common) / (size[k] + STRENGTH), F.lit(0.999)) for k in ks]
     odd = F.greatest(*[F.abs(n[k] - size[k] * common) / F.sqrt(size[k] * common + 1.0) for k in ks], F.lit(0.0))
     chosen = materialize(wide.where("b > 0").withColumn("odd", odd).where(F.col("odd") >= SIGNIFICANT).select(
-        "b", *[(F.log(share[k] / (1 - share[k])) - F.log(common / (1 - common))).alias(f"w{k}") for k in ks],
-        *[F.log((1 - share[k]) / (1 - common)).alias(f"a{k}") for k in ks]), "mixing-weights")
+        "b", *[(F.log(frequency[k] / (1 - frequency[k])) - F.log(common / (1 - common))).alias(f"w{k}") for k in ks],
+        *[F.log((1 - frequency[k]) / (1 - common)).alias(f"a{k}") for k in ks]), "mixing-weights")
     # Added up in sorted order, so that the sums don't depend on the partitioning.
     absent = chosen.agg(*[F.aggregate(F.array_sort(F.collect_list(f"a{k}")), F.lit(0.0), lambda x, y: x + y).alias(f"a{k}") for k in ks])
     constants = absent.select(F.lit(0).alias("b"), *[
@@ -134,8 +138,8 @@ def _replayed(steps: list[list[float]], pull: float) -> Column:
     start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
     if not steps:
         return start
-    history = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in s]).alias("e"), F.lit(k / (k + 3.0)).alias("momentum"))
-                        for k, s in enumerate(steps)])
+    history = _constant([{"e": [float(x) for x in s], "momentum": k / (k + 3.0)} for k, s in enumerate(steps)],
+                        "struct<e: array<double>, momentum: double>")
     eta = 1.0 / (1.0 + pull)
 
     def move(at, step):
@@ -151,13 +155,16 @@ def rate_after(steps: list[list[float]], pull: float) -> Column:
     return _replayed(steps, pull)["rate"]
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE,
-              pull: float = PULL) -> tuple[list[list[float]], list[float], list[float]]:
+def fit_rates(members: DataFrame, targets: list[float], tolerance: float = TOLERANCE, pull: float = PULL,
+              max_steps: int = MAX_STEPS) -> tuple[list[list[float]], list[float], list[float]]:
     """Gradient steps (with Nesterov's momentum) that bring the expected token shares to the targets.
 
     ``members`` has ``__n`` and ``__p`` and should be a written table.  Shares
     are of all tokens before mixing; a step is the residual of a domain over
     its share, which makes the curvature nearly the same in every direction.
+    Steps go on until every share is within the tolerance of its target, or until
+    the shares stand still: then nonnegative rates (with the pull towards 1) can't meet the targets, and the shares after are
+    the best there are.  A fit that does neither in ``max_steps`` is an error.
     Returns the steps, and the shares before and after.
     """
     k = len(targets)
@@ -173,14 +180,30 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tole
     history: list[list[float]] = []
     if start is None or not wanted:
         return history, [0.0] * k, [0.0] * k
-    for _ in range(steps):
-        if max(abs(a - t) for a, t in zip(now, wanted, strict=True)) <= tolerance * max(wanted):
+    near, seen = tolerance * max(wanted), [start]
+    while max(abs(a - t) for a, t in zip(now, wanted, strict=True)) > near:
+        if len(seen) > STILL and all(abs(a - b) <= near / 10 for was in seen[-STILL - 1:-1] for a, b in zip(was, now, strict=True)):
             break
+        if len(history) >= max_steps:
+            raise RuntimeError(f"shares neither met their targets nor settled in {max_steps} steps: {now} for {wanted}")
         history.append([(a - t) / max(s, 1e-6) for a, t, s in zip(ahead, wanted, start, strict=True)])
         now, ahead = shares(history)
+        seen.append(now)
     return history, start, now
 
 
+def reached(domains: list[str], targets: dict[str, float], after: list[float]) -> list[dict]:
+    """Per domain its wanted and reached share of tokens and the residual."""
+    total = sum(targets.values())
+    return [{"domain": d, "wanted": targets[d] / total, "reached": a, "residual": a - targets[d] / total} for d, a in zip(domains, after, strict=True)]
+
+
+def _report(domains: list[str], targets: dict[str, float], after: list[float]) -> None:
+    missed = [r for r in reached(domains, targets, after) if abs(r["residual"]) > TOLERANCE * max(targets.values()) / sum(targets.values())]
+    if missed and any(after):
+        warnings.warn(f"target shares out of reach: {missed}", stacklevel=3)
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
         domain_col: str = "domain") -> DataFrame:
     """``id_col, n_tokens, domain posteriors p_<domain>, rate`` for every row of ``docs``."""
@@ -188,9 +211,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     domains = sorted(targets)
     model = train(docs, labelled, domains, id_col, text_col, domain_col)
     members = materialize(posteriors(docs, model, domains, text_col, [id_col]), "mixing-members")
-    steps, _, _ = fit_rates(members, [targets[d] for d in domains])
+    steps, _, after = fit_rates(members, [targets[d] for d in domains])
+    _report(domains, targets, after)
     return members.select(F.col(id_col), F.col("__n").alias("n_tokens"),
-                          *[F.col("__p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], rate_after(steps, PULL).alias("rate"))
+                         *[F.col("__p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], rate_after(steps, PULL).alias("rate"))
 
 
 def attach_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
@@ -205,7 +229,8 @@ def attach_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     model = train(docs, labelled, domains, id_col, text_col, domain_col)
     keep = [c for c in docs.columns if c not in ("rate", "copies")]
     member = materialize(posteriors(docs, model, domains, text_col, keep), "mixing-members")
-    steps, _, _ = fit_rates(member, [targets[d] for d in domains])
+    steps, _, after = fit_rates(member, [targets[d] for d in domains])
+    _report(domains, targets, after)
     unit = F.pmod(F.xxhash64(F.lit("copies"), F.col(id_col)), F.lit(1_000_000)) / 1_000_000
     return (member.withColumn("rate", rate_after(steps, PULL)).where("rate > 0")
             .withColumn("copies", F.floor(F.col("rate") + unit).cast("int")).select(*keep, "rate", "copies"))

@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fits_broadcast
 from .common import arrow_schema, bound_batches, broadcast_limit, map_batches, materialize, to_batch
 from .components import connected_components
 
@@ -289,13 +290,28 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that represent their group, same columns; one row of each repeated id stays."""
+    """The documents that represent their group, same columns.
+
+    A repeated id keeps one row of each of its texts that represents a group: its
+    texts are told apart by a number of their own (above 2^62, so other documents
+    represent a group first).
+    """
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    again = materialize(again, "repeated-ids")
+    if again.isEmpty():
+        return _drop_by_id(docs, id_col, text_col, **options)
+    mark, name = "_" * (1 + max(map(len, docs.columns))) + "again", "_" * (1 + max(map(len, docs.columns))) + "row"
+    again = again.withColumn(mark, F.lit(True))
+    text_number = F.lit(1 << 62) + F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 62))
+    told = docs.join(F.broadcast(again) if fits_broadcast(again) else again, id_col, "left").withColumn(
+        name, F.when(F.col(mark), text_number).otherwise(F.col(id_col).cast("bigint")))
+    kept = materialize(_drop_by_id(told, name, text_col, **options), "kept-rows")
+    single = kept.where(F.col(mark)).dropDuplicates([name])
+    return kept.where(F.col(mark).isNull()).unionByName(single).select(*docs.columns)
+
+
+def _drop_by_id(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     found = materialize(report(docs, id_col, text_col, **options).select("doc_id", "kept"), "kept-documents")
     dropped = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
     small = dropped.count() * 16 <= broadcast_limit(docs.sparkSession)
-    stay = docs.join(F.broadcast(dropped) if small else dropped, id_col, "left_anti")
-    again = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").select(id_col)
-    if again.isEmpty():
-        return stay
-    again = materialize(again, "repeated-ids")
-    return stay.join(again, id_col, "left_anti").unionByName(stay.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+    return docs.join(F.broadcast(dropped) if small else dropped, id_col, "left_anti")

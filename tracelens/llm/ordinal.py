@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import in_sample, map_batches
 
 BITS = 18
 TRAIN_ROWS = 12_000
@@ -141,9 +141,8 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     rated = ratings.select(F.col(id_col), F.col(grade_col).cast("int").alias("__grade")).where(
         F.col(id_col).isNotNull() & F.col("__grade").isNotNull())
     n = rated.count()
-    rate = min(1_000_000, 1_000_000 * rows // max(1, n))
     # The limit only binds when one id is rated without end.
-    picked = rated.where(F.pmod(F.xxhash64(F.lit("ordinal"), F.col(id_col)), F.lit(1_000_000)) < rate).limit(2 * rows)
+    picked = rated.where(in_sample("ordinal", F.col(id_col), rows / max(1, n))).limit(2 * rows)
     sample = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(picked), id_col)
     found = map_batches(sample.select("__grade", "__text"), _sample_tokens, "grade int, idx binary").limit(2 * rows).collect()
     found = sorted(found, key=lambda r: (r.grade, r.idx))

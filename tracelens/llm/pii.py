@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_batches
+from .common import bound_batches, in_sample, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 # Bounds of the training sample, of an island's length around its digits, and of a segment.
@@ -331,8 +331,7 @@ def _sample_islands(batch) -> dict:
 def fit(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> np.ndarray:
     """Weights from a bounded sample: about SAMPLE_DOCS documents by a hash of their key, at most SAMPLE_ISLANDS islands."""
     n = docs.count()
-    rate = min(1_000_000, 1_000_000 * SAMPLE_DOCS // max(1, n))
-    picked = docs.where(F.pmod(F.xxhash64(F.lit("pii"), F.col(key_col)), F.lit(1_000_000)) < rate).select(F.col(text_col).cast("string").alias("text"))
+    picked = docs.where(in_sample("pii", F.col(key_col), SAMPLE_DOCS / max(1, n))).select(F.col(text_col).cast("string").alias("text"))
     found = map_batches(picked.where(F.col("text").rlike("[0-9@]")), _sample_islands, "island string")
     rows = found.orderBy(F.xxhash64("island"), "island").limit(SAMPLE_ISLANDS).collect()
     return train([r.island for r in rows])
