@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +49,11 @@ def ingest(spark: SparkSession, exports: dict[str, str], root: str) -> dict[str,
     ``exports`` maps ``repositories, issues, pulls, review_comments,
     issue_comments, pull_files, tree`` to JSON-lines paths.  A row of the
     exports replaces the stored row of its key, so a repeated ingest changes
-    nothing.  Returns the stored tables, keyed by name.
+    nothing.  Lines that are no object of their schema go to ``reject``.  All tables change in
+    one commit.  Returns the stored tables, keyed by name.
     """
     store.create_if_missing(spark, root)
+    tx = store.begin(spark, root)
     repos = ex.read_repositories(spark, exports["repositories"])
     issues = ex.read_issues(spark, exports["issues"])
     pulls = ex.read_pulls(spark, exports["pulls"])
@@ -73,7 +76,7 @@ def ingest(spark: SparkSession, exports: dict[str, str], root: str) -> dict[str,
         resolved.select("repo_id", F.col("number").alias("pull_number")),
         ["repo_id", "pull_number"], "left_semi")
     # C4: a changed path that neither the tree nor the store has becomes a file of its own.
-    known = files.select("repo_id", "path").unionByName(store.read(spark, root, "git_file").select("repo_id", "path"))
+    known = files.select("repo_id", "path").unionByName(tx.read("git_file").select("repo_id", "path"))
     new_files = (changed.groupBy("repo_id", "path").agg(F.min("sha").alias("sha"))
                         .join(known, ["repo_id", "path"], "left_anti").select("repo_id", "path", file_id, "sha"))
     out = {
@@ -86,10 +89,19 @@ def ingest(spark: SparkSession, exports: dict[str, str], root: str) -> dict[str,
         "manifest": tree,
     }
     for name, df in out.items():
-        store.merge(spark, df, root, name)
+        tx.merge(df, name)
+    tx.merge(export_rejects(spark, exports), "reject")
+    tx.commit()
     return {name: store.read(spark, root, name) for name in out}
 
 
+def export_rejects(spark: SparkSession, exports: dict[str, str]) -> DataFrame:
+    """The lines of the exports that are no object of their schema, as rows of ``reject``."""
+    bad = [ex.read_rejects(spark, exports[name], schema).withColumn("error", F.concat(F.lit(f"export {name}: "), F.col("line")))
+           for name, schema in ex.SCHEMAS.items()]
+    return reduce(DataFrame.union, bad).select(F.sha1(F.encode("line", "utf-8")).alias("blob_sha"), "error")
+
+
 def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10,
                  scorer: str | Scorer = "tfidf", encoder: fs.Encoder | None = None,
                  grain: str = "file", describer: fs.Describer | None = None,
@@ -128,9 +140,10 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
         raise ValueError("the function grain needs the embedding scorer")
     if scorer == "embedding" and encoder is None:
         raise ValueError("the embedding scorer needs an encoder")
-    issues = store.read(spark, root, "issue")
-    pulls = store.read(spark, root, "pull_request").where(F.col("issue_number").isNotNull())
-    done = store.read(spark, root, "scored")
+    run = store.begin(spark, root)
+    issues = run.read("issue")
+    pulls = run.read("pull_request").where(F.col("issue_number").isNotNull())
+    done = run.read("scored")
     pending = cat.pending(issues.withColumnRenamed("number", "issue_number"), done, ["repo_id", "issue_number"])
     # The first pull request (by creation) names the snapshot of an issue.
     first = lk.first_pull_per_issue(pulls, ["repo_id", "issue_number"], ["created_at", "number"],
@@ -179,8 +192,11 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
         new = texts.select("blob_sha", F.lit("").alias("unit"), F.lit(kind).alias("kind"),
                            F.lit("1").alias("version"), vector.alias("vector"), "text")
     new = materialize(new, "features")
-    store.append(new, root, "feature")
-    store.append(cu.parse_errors(todo), root, "reject")
+    # Features are a cache by content: committed on their own, so that a run that fails later does not compute them again.
+    cache = store.begin(spark, root)
+    cache.append(new, "feature")
+    cache.merge(cu.parse_errors(todo), "reject")
+    cache.commit()
     feats = store.read(spark, root, "feature").where(F.col("kind") == F.lit(kind))
 
     if scorer == "tfidf":
@@ -219,9 +235,11 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
     result = cat.attach_file_ids(ranked, files).select("repo_id", "issue_number", "rank", "path",
                                                        "file_id", "score", "unit")
     result = materialize(result, "result")
-    store.append(result, root, "result")
     # Every scored issue is marked, also one that got no file, or it would be scored again for ever.
     counts = result.groupBy("repo_id", "issue_number").agg(F.count(F.lit(1)).alias("n_results"))
     marks = queries.select("repo_id", "issue_number").distinct().join(counts, ["repo_id", "issue_number"], "left").fillna(0, ["n_results"])
-    store.append(marks, root, "scored")
+    # Results and marks appear in one commit, so no issue has results without its mark.
+    run.append(result, "result")
+    run.append(marks, "scored")
+    run.commit()
     return result

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import issue_text as issue_text_expr
 from ..operators import catalog as cat
 from ..operators import similarity as sim
+from ..session import ensure_checkpoint_dir
+from ..sources import store
 from . import roles
 from .queries_links import LINKED_CTE, linked_pulls, resolved_pulls
 from .queries_similarity import pair_scores_sql
@@ -216,3 +220,28 @@ def issue_text(spark, sf_dir):
     """H6 + H17: issue query text; a missing body is skipped, not an error."""
     i = roles.issues(spark, sf_dir)
     return i.select("repo_id", "number", issue_text_expr("title", "body").alias("text"))
+
+
+@register("store_versions", sql="""
+WITH old AS (SELECT CAST(o_orderkey AS BIGINT) AS number, CAST(o_custkey % 16 AS BIGINT) AS repo_id, o_orderpriority AS title FROM orders WHERE o_orderstatus <> 'O'),
+new AS (SELECT CAST(o_orderkey AS BIGINT) AS number, CAST(o_custkey % 16 AS BIGINT) AS repo_id, CASE WHEN o_orderstatus = 'P' THEN 'edited' ELSE o_orderpriority END AS title
+        FROM orders WHERE o_orderstatus <> 'F'),
+after AS (SELECT * FROM new UNION ALL
+          SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.repo_id = old.repo_id AND new.number = old.number))
+SELECT coalesce(a.repo_id, o.repo_id) AS repo_id, coalesce(a.number, o.number) AS number, o.title AS title_before, a.title AS title_after
+FROM after a FULL JOIN old o ON a.repo_id = o.repo_id AND a.number = o.number
+""")
+def store_versions(spark, sf_dir):
+    """A12 + A15 + U2: issues merged into a store in two commits, both versions read and compared."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    o = table(spark, sf_dir, "orders")
+    no = F.lit(None).cast("string")
+    rows = o.select((F.col("o_custkey") % 16).cast("bigint").alias("repo_id"), F.col("o_orderkey").cast("bigint").alias("number"),
+                    F.col("o_orderkey").cast("bigint").alias("issue_id"), F.col("o_orderpriority").alias("title"), no.alias("body"),
+                    no.alias("state"), F.lit(None).cast("timestamp").alias("created_at"), "o_orderstatus")
+    edited = rows.withColumn("title", F.when(F.col("o_orderstatus") == "P", "edited").otherwise(F.col("title")))
+    store.merge(spark, rows.where("o_orderstatus <> 'O'"), root, "issue")
+    store.merge(spark, edited.where("o_orderstatus <> 'F'"), root, "issue")
+    before, after = (store.read(spark, root, "issue", n).select("repo_id", "number", F.col("title").alias(f"title_{when}"))
+                     for n, when in ((1, "before"), (2, "after")))
+    return after.join(before, ["repo_id", "number"], "full").select("repo_id", "number", "title_before", "title_after")

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,10 +125,31 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def rename_path(spark: SparkSession, old: str, new: str) -> None:
-    fs, p = _hadoop(spark, old)
-    if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(new)):
-        raise OSError(f"cannot rename {old} to {new}")
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder (none when it is not there)."""
+    fs, p = _hadoop(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a file in place whole, by one rename that never replaces; False when it is there already."""
+    fs, p = _hadoop(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(beside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    qualified = fs.makeQualified(p)
+    context = jvm.FileContext.getFileContext(qualified.toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)
+    try:
+        context.rename(fs.makeQualified(beside), qualified, none)
+        return True
+    except Py4JJavaError as e:
+        fs.delete(beside, False)
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            return False
+        raise
 
 
 def broadcast_limit(spark: SparkSession) -> int:

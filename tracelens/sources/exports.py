@@ -18,6 +18,10 @@ from ..functions.links import number_from_url
 
 _CORRUPT = "__corrupt"
 
+# The exports of an ingest and the objects in them.
+SCHEMAS = {"repositories": S.REPOSITORY_EXPORT, "issues": S.ISSUE_EXPORT, "pulls": S.PULL_EXPORT, "review_comments": S.REVIEW_COMMENT_EXPORT,
+           "issue_comments": S.ISSUE_COMMENT_EXPORT, "pull_files": S.PULL_FILE_EXPORT, "tree": S.TREE_EXPORT}
+
 
 def _parsed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """``value`` (the line) and ``row`` (the parsed struct) of every line that is not blank."""
