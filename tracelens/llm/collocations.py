@@ -225,12 +225,16 @@ def union(parts: list[Counts]) -> Counts:
     """All phrases of the parts, weights summed."""
     if len(parts) == 1:
         return parts[0]
-    words = pc.unique(pa.concat_arrays([p.words for p in parts]))
-    words = words.take(pc.sort_indices(words))
+    # All words are numbered in one pass over the parts.
+    encoded = pa.concat_arrays([p.words for p in parts]).dictionary_encode()
+    order = pc.sort_indices(encoded.dictionary)
+    words = encoded.dictionary.take(order)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    numbers = np.split(rank[encoded.indices.to_numpy()], np.cumsum([len(p.words) for p in parts])[:-1])
     levels: list[list] = [[], [], []]
     before1 = before2 = 0
-    for p in parts:
-        number = _numbers(words, p.words)
+    for p, number in zip(parts, numbers):
         levels[0].append((number[p.one], p.n1))
         levels[1].append((p.two[0] + before1, number[p.two[1]], p.n2))
         levels[2].append((p.three[0] + before2, number[p.three[1]], p.n3))
