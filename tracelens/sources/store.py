@@ -24,6 +24,7 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -223,7 +224,11 @@ class Transaction:
         return seen, rows.observe(seen, F.min(key).alias("low"), F.max(key).alias("high"))
 
     def _note(self, name: str, seen: Observation) -> None:
-        low, high = seen.get.get("low"), seen.get.get("high")
+        try:
+            found = seen.get
+        except Py4JJavaError:
+            found = {}  # Spark drops a plan without rows together with its metrics; an unknown range meets every other
+        low, high = found.get("low"), found.get("high")
         was = self.changed.get(name)
         if low is not None:
             self.changed[name] = [low, high] if was is None or None in was else [min(was[0], low), max(was[1], high)]
