@@ -42,9 +42,9 @@ NO_LANGUAGE = "und"
 MIN_COUNT = 10
 TOP = 2000
 
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 SAMPLE_EVERY = 16_384
-RANGE_ARCS = 1_000_000
+RANGE_ARCS = 500_000
 
 
 # ---------------------------------------------------------------------------
