@@ -102,3 +102,12 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     got = {r.id: r.root for r in components.connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(1, 201)} | {1000 + k: 1000 for k in range(1, 300)}
     assert components.connected_components(spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+def test_repeated_ids_lose_no_text(spark):
+    """One id on a near copy and on a text of its own: a row of every group of texts stays."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "wx")
+    rows = [(3, a, "m"), (7, a + " tail", "m"), (7, b, "m"), (7, b, "m"), (9, b, "m"), (None, "q", "m")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    from tracelens.llm import neardup
+    assert {(r.doc_id, r.text) for r in neardup.drop_near_duplicates(docs).collect()} == {(3, a), (9, b), (None, "q")}
