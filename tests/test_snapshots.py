@@ -168,3 +168,18 @@ def test_salted_join_key_only_side(spark):
     got = salted_join(many, few, "k", limit=50)
     want = many.join(few, "k")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_folder_reader_keeps_empty_and_hidden_files(spark, tmp_path):
+    from tracelens.sources import files
+    for name, text in [("1/s/pkg/__init__.py", ""), ("1/s/pkg/a b+c%20é.py", ""), ("1/s/x.py", "x = 1\n"), ("1/s/no.txt", ""),
+                       ("1/s/_vendor/y.py", "y = 1\n"), ("1/s/.hidden.py", "h\n"), ("1/s/_full.py", "f\n")]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {r.path: (r.blob_sha, r.source) for r in files.read_source_trees(spark, str(tmp_path)).collect()}
+    empty = ("e69de29bb2d1d6434b8b29ae775ad8c2e48c5391", "")
+    assert got.pop("x.py")[1] == "x = 1\n"
+    assert [got.pop(p)[1] for p in ("_vendor/y.py", ".hidden.py", "_full.py")] == ["y = 1\n", "h\n", "f\n"]
+    assert got == {"pkg/__init__.py": empty, "pkg/a b+c%20é.py": empty}
+    (tmp_path / "none").mkdir()
+    assert files.read_source_tree(spark, str(tmp_path / "none"), 1, "s").count() == 0
