@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as fs
+from ..operators import hashtree as ht
 from ..operators import similarity as sim
 from ..operators import snapshots as sn
 from ..plans.queries_links import LINKED_CTE, linked_pulls
@@ -54,6 +55,19 @@ def snapshot_diff(spark, sf_dir):
     return sn.snapshot_diff(old, new).select("path", "old_blob", "new_blob", "status")
 
 
+@register("tree_diff", sql=f"""
+WITH {MANIFESTS_SQL}
+SELECT path, old_blob, new_blob, status FROM diff
+""")
+def tree_diff(spark, sf_dir):
+    """G3 + K2 by hash trees: the same differences, reading only directories whose hashes differ."""
+    old = _manifest(spark, sf_dir, OLD_FILTER_SQL).withColumn("side", F.lit("old"))
+    new = _manifest(spark, sf_dir, NEW_FILTER_SQL, NEW_TEXT_SQL).withColumn("side", F.lit("new"))
+    entries, roots = ht.hash_tree(old.unionByName(new), "side")
+    pair = roots.agg(*[F.max(F.when(F.col("side") == s, F.col("tree"))).alias(f"{s}_tree") for s in ("old", "new")])
+    return ht.tree_diff(pair, entries)[0].select("path", "old_blob", "new_blob", "status")
+
+
 @register("recompute_units", sql=f"""
 WITH {MANIFESTS_SQL}
 SELECT doc_id, path, blob_sha FROM new WHERE path IN (SELECT path FROM diff)
