@@ -46,6 +46,10 @@ SHARD_BYTES = 2 << 20
 SAMPLE_EVERY = 16_384
 RANGE_ARCS = 500_000
 
+# Rows that hold transducers are sent to Python workers by size, a few at a time.
+BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 
 # ---------------------------------------------------------------------------
 # The transducer
@@ -323,6 +327,7 @@ class _Shards:
 def count_shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES,
                  sample_every: int = SAMPLE_EVERY) -> DataFrame:
     bound_batches(docs.sparkSession)
+    docs.sparkSession.conf.set(BATCH_BYTES_KEY, str(BATCH_BYTES))
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     return materialize(rows.mapInArrow(_Shards(shard_bytes, sample_every), SHARDS), "count-shards")
 
@@ -401,6 +406,7 @@ class _Split:
             for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("counts")):
                 for number, part in split_at(Counts.from_bytes(raw.as_py()), self.bounds.get(lang, [])):
                     yield to_batch({"lang": [lang], "range": [number], "counts": [part.to_bytes(share=False)]}, self.schema)
+                pa.default_memory_pool().release_unused()
 
 
 RANGES = "lang string, range int, counts binary"
