@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.patches import patch_lines
 from ..functions.text import issue_text as issue_text_expr
 from ..operators import catalog as cat
 from ..operators import similarity as sim
@@ -245,3 +246,38 @@ def store_versions(spark, sf_dir):
     before, after = (store.read(spark, root, "issue", n).select("repo_id", "number", F.col("title").alias(f"title_{when}"))
                      for n, when in ((1, "before"), (2, "after")))
     return after.join(before, ["repo_id", "number"], "full").select("repo_id", "number", "title_before", "title_after")
+
+
+# Patches of changed files: a hunk whose kept, removed and added lines depend on the row, on some rows a second one
+# that creates lines, a remark, file headers, lines that look like marks, and on some rows no patch.
+PATCH_SQL = """CASE WHEN l_linenumber = 7 THEN NULL ELSE
+  CASE WHEN l_partkey % 2 = 0 THEN '--- a/x.py' || chr(10) || '+++ b/x.py' || chr(10) ELSE '' END
+  || '@@ -' || CAST(l_partkey + 1 AS STRING) || ',3 +' || CAST(l_partkey + 2 AS STRING) || ',4 @@ def f' || chr(10)
+  || ' @@ kept ' || l_returnflag || chr(10) || '-old @@ -1 +1 @@' || chr(10) || '+- new' || chr(10) || '+' || chr(10) || ' end' || chr(10)
+  || CASE WHEN l_linenumber % 2 = 0 THEN '@@ -0,0 +' || CAST(l_suppkey + 50 AS STRING) || ' @@' || chr(10) || '+made ' || l_linestatus || chr(10)
+                                          || chr(92) || ' No newline at end of file' ELSE '' END END"""
+
+
+@register("patch_changes", sql=f"""
+WITH c AS (SELECT row_number() OVER () AS id, l_orderkey, l_partkey, {PATCH_SQL} AS patch FROM lineitem),
+l AS (SELECT id, l_orderkey, l_partkey, unnest(string_split(patch, chr(10))) AS t,
+             unnest(generate_series(1, len(string_split(patch, chr(10))))) AS i FROM c WHERE patch IS NOT NULL),
+h AS (SELECT *, regexp_matches(t, '^@@ -') AS head,
+             sum(CASE WHEN regexp_matches(t, '^@@ -') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS hunk FROM l),
+n AS (SELECT *, max(CASE WHEN head THEN t END) OVER (PARTITION BY id, hunk) AS header FROM h WHERE hunk > 0),
+m AS (SELECT *, substr(t, 1, 1) AS mark,
+             CAST(regexp_extract(header, '-([0-9]+)', 1) AS INTEGER) + CASE WHEN contains(header, '-0,0') THEN 1 ELSE 0 END AS old_start,
+             CAST(regexp_extract(header, '\+([0-9]+)', 1) AS INTEGER) AS new_start
+      FROM n WHERE NOT head AND t <> '' AND NOT starts_with(t, chr(92))),
+w AS (SELECT *, sum(CASE WHEN mark <> '+' THEN 1 ELSE 0 END) OVER (PARTITION BY id, hunk ORDER BY i) AS o,
+             sum(CASE WHEN mark <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY id, hunk ORDER BY i) AS e FROM m)
+SELECT l_orderkey, l_partkey, CAST(hunk AS INTEGER) AS hunk,
+       CASE mark WHEN '+' THEN 'added' WHEN '-' THEN 'removed' ELSE 'kept' END AS kind,
+       CAST(CASE WHEN mark <> '+' THEN old_start + o - 1 END AS INTEGER) AS old_line,
+       CAST(CASE WHEN mark <> '-' THEN new_start + e - 1 END AS INTEGER) AS new_line, substr(t, 2) AS line
+FROM w
+""")
+def patch_changes(spark, sf_dir):
+    """Every line of every patch with its numbers before and after."""
+    changes = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.expr(PATCH_SQL.replace("chr(92)", "char(92)")).alias("patch"))
+    return patch_lines(changes)

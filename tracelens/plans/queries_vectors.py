@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import blocks
 from ..operators import similarity as sim
 from .registry import register
 from .tables import table
@@ -57,3 +58,21 @@ FROM s GROUP BY label
 def cosine_max_per_file(spark, sf_dir):
     """D5 + B9: best function score per file and the function reaching it."""
     return sim.best_per_group(_scores(spark, sf_dir), "label", "vec_id")
+
+
+# Issue vectors: every function vector read backwards; so each file has as many issues as functions.
+@register("cosine_many_topk", sql="""
+WITH e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+           FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.label, q.vec_id AS issue_id, u.vec_id, round(list_dot_product(list_reverse(q.v), u.v) / (q.n * u.n), 6) AS score
+      FROM e q JOIN e u ON q.label = u.label)
+SELECT label, issue_id, vec_id, score, rank FROM
+  (SELECT *, CAST(row_number() OVER (PARTITION BY label, issue_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+WHERE rank <= 5
+""")
+def cosine_many_topk(spark, sf_dir):
+    """C8 + J3 + F2, many to many: the five closest functions of its file for every issue vector, by blocks."""
+    e = table(spark, sf_dir, "embeddings")
+    issues = e.select("label", F.col("vec_id").alias("issue_id"), F.reverse("embedding").alias("vector"))
+    return blocks.block_top_k(issues, e, "label", "issue_id", "vec_id", k=5, unit_vec="embedding").select(
+        "label", "issue_id", "vec_id", "score", "rank")
