@@ -148,3 +148,20 @@ def test_transpositions_any_against_brute_force(spark):
     wdf = spark.createDataFrame([(w,) for w in words], "word string")
     cands = {(r.word, r.term) for r in tp.spelling_candidates(wdf, dictionary, 2, "any").collect()}
     assert cands == {(w, t) for w in words for t in terms if osa(w, t) <= 2}
+
+
+def test_lexical_expansions(spark):
+    words = spark.createDataFrame([("CAT",), ("DOG",), ("LONE",), ("NONE",), ("CAT",), (None,)], "acronym string")
+    senses = spark.createDataFrame([("cat", 2, "feline2"), ("Cat", 1, "feline1"), ("cat", 1, "zz"), ("dog", 1, "top"), ("dog", 2, "canine"),
+                                    ("lone", 5, "single"), (None, 1, "x"), ("cow", 1, None)], "word string, rank int, sense string")
+    hypernyms = spark.createDataFrame([("feline1", 3, "pet"), ("feline1", 2, "animal"), ("canine", 1, "animal"), ("single", 1, "unnamed")],
+                                      "sense string, rank int, hypernym string")
+    lemmas = spark.createDataFrame([("animal", 2, "beast"), ("animal", 1, "living_thing"), ("animal", 1, "being_alive"), ("pet", 1, "pet")],
+                                   "sense string, rank int, lemma string")
+    got = tp.lexical_expansions(words, senses, hypernyms, lemmas).collect()
+    assert [tuple(r) for r in got] == [("CAT", "being_alive")]  # the first sense of dog has nothing above it
+    texts = spark.createDataFrame([(1, "A CAT, my DOG and CATS; CAT"), (2, None), (3, "")], "id int, text string")
+    out = {r.id: r.text for r in tp.expand_through_graph(texts, "id", senses, hypernyms, lemmas).collect()}
+    assert out == {1: "A being alive, my DOG and CATS; being alive", 2: "", 3: ""}
+    none = tp.lexical_expansions(words, senses.where("false"), hypernyms, lemmas)
+    assert none.count() == 0

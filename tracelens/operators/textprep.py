@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_all_caps
+from ..functions.text import find_acronyms, is_all_caps
 from ..session import fits_broadcast, materialize
 
 # Fixed value: a text is cut into maximal runs of word characters and of
@@ -95,6 +95,42 @@ def replace_words(texts: DataFrame, key: Sequence[str] | str, acronyms: DataFram
     return texts.drop(text).join(result, k, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
 
 
+def lexical_expansions(words: DataFrame, senses: DataFrame, hypernyms: DataFrame, lemmas: DataFrame,
+                       word: str = "acronym") -> DataFrame:
+    """I3 through a lexical graph: ``(acronym, expansion)`` for ``replace_words``.
+
+    A word is looked up in lower case; its expansion is the first lemma of the
+    first hypernym of its first sense.  ``senses(word, rank, sense)`` lists the
+    senses of a word, ``hypernyms(sense, rank, hypernym)`` what is above a sense,
+    ``lemmas(sense, rank, lemma)`` the names of a sense.  First is the smallest
+    rank, ties by the other value.  A word without a sense, or whose first sense
+    has no hypernym or its hypernym no lemma, has no row: later senses are not tried.
+
+    Each step keeps one row per key by a grouped minimum of the rows that are
+    reachable, so neither a word with many senses nor a sense with many names is gathered.
+    """
+    found = words.select(F.col(word).alias("__w"), F.lower(word).alias("__k")).where(F.col("__w").isNotNull()).distinct()
+
+    def first(edges: DataFrame, key: str, value: str, reached: DataFrame, at: str) -> DataFrame:
+        near = edges.select(F.col(key).alias(at), F.col("rank").alias("__r"), F.col(value).alias("__v")).where(
+            F.col("__v").isNotNull()).join(_maybe_broadcast(reached.select(at).distinct()), at, "left_semi")
+        best = near.groupBy(at).agg(F.min_by("__v", F.struct("__r", "__v")).alias("__next"))
+        return reached.join(best, at).drop(at)
+
+    senses = senses.withColumn("word", F.lower("word"))
+    at_sense = first(senses, "word", "sense", found, "__k").withColumnRenamed("__next", "__k")
+    above = first(hypernyms, "sense", "hypernym", at_sense, "__k").withColumnRenamed("__next", "__k")
+    return first(lemmas, "sense", "lemma", above, "__k").select(F.col("__w").alias("acronym"), F.col("__next").alias("expansion"))
+
+
+def expand_through_graph(texts: DataFrame, key: Sequence[str] | str, senses: DataFrame, hypernyms: DataFrame, lemmas: DataFrame,
+                         words: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """H11 + I3 (+ I4): every all-capital word of the texts expanded through the graph."""
+    used = texts.select(F.explode(find_acronyms(text)).alias("acronym")).distinct()
+    found = materialize(lexical_expansions(used, senses, hypernyms, lemmas), "expansions")
+    return replace_words(texts, key, acronyms=found, words=words, text=text)
+
+
 # ---------------------------------------------------------------------------
 # Spelling correction
 # ---------------------------------------------------------------------------

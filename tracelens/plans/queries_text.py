@@ -158,6 +158,42 @@ def acronyms(spark, sf_dir):
         "conv_id", "turn", "text")
 
 
+# A lexical graph: the words of part names have senses (the part's number gives the rank), nations put half of the senses
+# below five others, customers name these by their segment.
+GRAPH_SQL = {
+    "senses": "SELECT unnest(string_split(p_name, ' ')) AS word, p_partkey AS rank, 's' || CAST(p_partkey * 7 % 50 AS STRING) AS sense FROM part",
+    "hypernyms": "SELECT 's' || CAST(n_nationkey AS STRING) AS sense, n_regionkey AS rank, 'h' || CAST(n_regionkey AS STRING) AS hypernym FROM nation",
+    "lemmas": "SELECT 'h' || CAST(c_custkey % 5 AS STRING) AS sense, c_custkey AS rank, lower(c_mktsegment) || '_trade' AS lemma FROM customer",
+}
+
+
+@register("lexical_graph", sql=f"""
+WITH s AS ({GRAPH_SQL['senses']}), h AS ({GRAPH_SQL['hypernyms']}), l AS ({GRAPH_SQL['lemmas']}),
+s1 AS (SELECT word, arg_min(sense, (rank, sense)) AS sense FROM s GROUP BY word),
+h1 AS (SELECT sense, arg_min(hypernym, (rank, hypernym)) AS hypernym FROM h GROUP BY sense),
+l1 AS (SELECT sense, arg_min(lemma, (rank, lemma)) AS lemma FROM l GROUP BY sense),
+x AS (SELECT upper(word) AS acronym, replace(lemma, '_', ' ') AS expansion
+      FROM s1 JOIN h1 ON s1.sense = h1.sense JOIN l1 ON h1.hypernym = l1.sense),
+w AS (SELECT p_partkey, unnest(string_split(upper(p_name) || ' ' || p_type || ' ' || p_name, ' ')) AS word,
+             unnest(generate_series(1, len(string_split(upper(p_name) || ' ' || p_type || ' ' || p_name, ' ')))) AS i FROM part)
+SELECT p_partkey, string_agg(coalesce(expansion, word), ' ' ORDER BY i) AS text
+FROM w LEFT JOIN x ON w.word = x.acronym GROUP BY p_partkey
+""")
+def lexical_graph(spark, sf_dir):
+    """H11 + I3: all-capital words replaced by the first lemma above their first sense."""
+    part = table(spark, sf_dir, "part")
+    senses = part.select(F.explode(F.split("p_name", " ")).alias("word"), F.col("p_partkey").alias("rank"),
+                         F.concat(F.lit("s"), (F.col("p_partkey") * 7 % 50).cast("string")).alias("sense"))
+    hypernyms = table(spark, sf_dir, "nation").select(
+        F.expr("'s' || CAST(n_nationkey AS STRING)").alias("sense"), F.col("n_regionkey").alias("rank"),
+        F.expr("'h' || CAST(n_regionkey AS STRING)").alias("hypernym"))
+    lemmas = table(spark, sf_dir, "customer").select(
+        F.expr("'h' || CAST(c_custkey % 5 AS STRING)").alias("sense"), F.col("c_custkey").alias("rank"),
+        F.expr("lower(c_mktsegment) || '_trade'").alias("lemma"))
+    texts = part.select("p_partkey", F.expr("upper(p_name) || ' ' || p_type || ' ' || p_name").alias("text"))
+    return tp.expand_through_graph(texts, "p_partkey", senses, hypernyms, lemmas).select("p_partkey", "text")
+
+
 # Spelling: an English corrector edits with the letters a-z, so the dictionary
 # is every corpus term made of a-z; misspellings = every dictionary term with
 # the second letter dropped or the second and third letters swapped.
