@@ -40,7 +40,8 @@ TOLERANCE = 1e-3
 # The fit ends where this many steps moved no share by more than a tenth of the tolerance: the targets are out of reach.
 STILL = 10
 MAX_STEPS = 500
-PULL = 1e-3
+# The pull towards rate 1 only chooses among rates that meet the targets: it must move the shares by less than the tolerance.
+PULL = 1e-5
 
 
 def words_of(text: Column) -> Column:
