@@ -26,16 +26,18 @@ rows; ties as the contract orders them; columns other than those named are ignor
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bound_batches, materialize, to_batch
+from .common import arrow_schema, bound_batches, ensure_checkpoint_dir, materialize, to_batch
 
 NO_LANGUAGE = "und"
 
@@ -49,6 +51,11 @@ RANGE_ARCS = 500_000
 # Rows that hold transducers are sent to Python workers by size, a few at a time.
 BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
+# Their Parquet files are read a few rows at a time (the reader holds a whole batch of rows, each a transducer) and
+# written in small row groups (the writer holds a whole group).
+READ_ROWS_KEY = "spark.sql.parquet.columnarReaderBatchSize"
+READ_ROWS = 8
+ROW_GROUP_BYTES = 8 << 20
 
 
 # ---------------------------------------------------------------------------
@@ -246,6 +253,33 @@ def union(parts: list[Counts]) -> Counts:
     return Counts.of(words, *[tuple(np.concatenate(x) for x in zip(*level)) for level in levels])
 
 
+READ_SETTINGS = {READ_ROWS_KEY: str(READ_ROWS)}
+BATCH_SETTINGS = {BATCH_BYTES_KEY: str(BATCH_BYTES)}
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session with these settings; its own come back afterwards."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` for rows that hold transducers: in small row groups."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.enable.dictionary", "false").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 # ---------------------------------------------------------------------------
 # Shards
 # ---------------------------------------------------------------------------
@@ -327,9 +361,8 @@ class _Shards:
 def count_shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES,
                  sample_every: int = SAMPLE_EVERY) -> DataFrame:
     bound_batches(docs.sparkSession)
-    docs.sparkSession.conf.set(BATCH_BYTES_KEY, str(BATCH_BYTES))
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(_Shards(shard_bytes, sample_every), SHARDS), "count-shards")
+    return written(rows.mapInArrow(_Shards(shard_bytes, sample_every), SHARDS), "count-shards")
 
 
 # ---------------------------------------------------------------------------
@@ -425,7 +458,7 @@ def _unite(min_count: int):
 
 def unite_ranges(shards: DataFrame, bounds: dict[str, list[Bound]], min_count: int) -> DataFrame:
     parts = shards.select("lang", "counts").mapInArrow(_Split(bounds), RANGES)
-    return materialize(parts.groupBy("lang", "range").applyInArrow(_unite(min_count), RANGES), "count-ranges")
+    return written(parts.groupBy("lang", "range").applyInArrow(_unite(min_count), RANGES), "count-ranges")
 
 
 # ---------------------------------------------------------------------------
@@ -537,13 +570,16 @@ def _rows(counts: pa.Table, phrase, a, l, r, score, dropped: bool) -> pa.RecordB
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT,
                  shard_bytes: int = SHARD_BYTES, sample_every: int = SAMPLE_EVERY, range_arcs: int = RANGE_ARCS) -> DataFrame:
     """``(lang, phrase, a, l, r, n, score)``: all phrases of two or three words that occur ``min_count`` times and that no longer one covers."""
-    shards = count_shards(docs, text_col, lang_col, shard_bytes, sample_every)
-    bounds = range_bounds(shards, sample_every, range_arcs)
-    ranges = unite_ranges(shards, bounds, min_count)
-    asked = ranges.mapInArrow(_Ask(bounds), ASKED)
-    answers = ranges.groupBy("lang", "range").cogroup(asked.groupBy("lang", "range")).applyInArrow(_compose, RANGES)
-    phrases = ranges.groupBy("lang", "range").cogroup(answers.groupBy("lang", "range")).applyInArrow(_score, PHRASES)
-    phrases = materialize(phrases, "phrases")
+    spark = docs.sparkSession
+    with settings(spark, BATCH_SETTINGS):
+        shards = count_shards(docs, text_col, lang_col, shard_bytes, sample_every)
+    with settings(spark, READ_SETTINGS | BATCH_SETTINGS):
+        bounds = range_bounds(shards, sample_every, range_arcs)
+        ranges = unite_ranges(shards, bounds, min_count)
+        asked = ranges.mapInArrow(_Ask(bounds), ASKED)
+        answers = ranges.groupBy("lang", "range").cogroup(asked.groupBy("lang", "range")).applyInArrow(_compose, RANGES)
+        phrases = ranges.groupBy("lang", "range").cogroup(answers.groupBy("lang", "range")).applyInArrow(_score, PHRASES)
+        phrases = materialize(phrases, "phrases")
     sizes = shards.groupBy("lang").agg(F.sum("words").alias("n"))
     kept = phrases.where(~F.col("dropped")).drop("dropped").join(
         phrases.where("dropped").select("lang", "phrase").hint("merge"), ["lang", "phrase"], "left_anti")
