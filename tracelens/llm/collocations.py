@@ -47,6 +47,8 @@ TOP = 2000
 SHARD_BYTES = 2 << 20
 SAMPLE_EVERY = 16_384
 RANGE_ARCS = 500_000
+# Acceptors composed with a range in one go.
+ASKED_AT_ONCE = 64
 
 # Rows that hold transducers are sent to Python workers by size, a few at a time.
 BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -145,8 +147,14 @@ class Counts:
         (s1, e1), (s2, e2), (s3, e3) = at
         lo2, hi2 = (min(s2, self.three[0][s3]), max(e2, self.three[0][e3 - 1] + 1)) if e3 > s3 else (s2, e2)
         lo1, hi1 = (min(s1, self.two[0][lo2]), max(e1, self.two[0][hi2 - 1] + 1)) if hi2 > lo2 else (s1, e1)
-        one, two, three = np.arange(lo1, hi1), np.arange(lo2, hi2), np.arange(s3, e3)
-        return self._taken(one, self.n1[one] * ((one >= s1) & (one < e1)), two, self.n2[two] * ((two >= s2) & (two < e2)), three, self.n3[three])
+        # Only what lies in the run is touched: a shard is cut into very many.
+        one, two, three = self.one[lo1:hi1], self.two[1][lo2:hi2], self.three[1][s3:e3]
+        n1, n2 = np.zeros(hi1 - lo1, np.int64), np.zeros(hi2 - lo2, np.int64)
+        n1[s1 - lo1:e1 - lo1], n2[s2 - lo2:e2 - lo2] = self.n1[s1:e1], self.n2[s2:e2]
+        used, number = np.unique(np.concatenate([one, two, three]), return_inverse=True)
+        one, two, three = np.split(number, [len(one), len(one) + len(two)])
+        return Counts(self.words.take(pa.array(used)), one, n1, (self.two[0][lo2:hi2] - lo1, two), n2,
+                      (self.three[0][s3:e3] - lo2, three), self.n3[s3:e3])
 
     def _taken(self, one, n1, two, n2, three, n3) -> Counts:
         """Sorted arcs of each level that include their prefixes."""
@@ -182,16 +190,19 @@ class Counts:
         at2, arc3 = _spread(to3[arc2], off3)
         return cls(words, one, n1, (at1, lab2[arc2]), n2[arc2], (at2, lab3[arc3]), n3[arc3])
 
-    def find(self, other: Counts) -> tuple[np.ndarray, np.ndarray]:
-        """Weights that this transducer gives to the one- and two-word phrases of another (0: none)."""
-        number = _numbers(self.words, other.words)
-        at = _search(self.one, number[other.one])
-        n1 = np.where(at >= 0, np.r_[self.n1, 0][at], 0)
+    def find(self, others: list[Counts]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Weights that this transducer gives to the one- and two-word phrases of each of the others (0: none)."""
+        if not others:
+            return
+        # Words of all the others are looked up at once, so that this side's words are hashed once.
+        numbers = _numbers(self.words, pa.concat_arrays([other.words for other in others]))
         v = max(1, len(self.words))
-        own = self.two[0] * v + self.two[1]
-        first, second = at[other.two[0]], number[other.two[1]]
-        at2 = _search(own, np.where((first >= 0) & (second >= 0), first * v + second, -1))
-        return n1, np.where(at2 >= 0, np.r_[self.n2, 0][at2], 0)
+        own, weights1, weights2 = self.two[0] * v + self.two[1], np.r_[self.n1, 0], np.r_[self.n2, 0]
+        for other, number in zip(others, np.split(numbers, np.cumsum([len(other.words) for other in others])[:-1])):
+            at = _search(self.one, number[other.one])
+            first, second = at[other.two[0]], number[other.two[1]]
+            at2 = _search(own, np.where((first >= 0) & (second >= 0), first * v + second, -1))
+            yield np.where(at >= 0, weights1[at], 0), np.where(at2 >= 0, weights2[at2], 0)
 
 
 def _one_list(values: pa.Array) -> pa.Array:
@@ -501,12 +512,14 @@ def _compose(_key: tuple[pa.Scalar, ...], counts: pa.Table, asked: pa.Table) ->
     schema = arrow_schema(RANGES)
     own = Counts.from_bytes(counts.column("counts")[0].as_py()) if counts.num_rows else None
     out = []
-    for lang, home, raw in zip(asked.column("lang").to_pylist(), asked.column("home").to_pylist(), asked.column("asked")):
-        part = Counts.from_bytes(raw.as_py())
-        n1, n2 = own.find(part) if own else (part.n1 * 0, part.n2 * 0)
-        # A prefix that belongs to another range was not asked for.
-        part.n1, part.n2 = n1 * (part.n1 > 0), n2 * (part.n2 > 0)
-        out.append(to_batch({"lang": [lang], "range": [home], "counts": [part.to_bytes(share=False)]}, schema))
+    for begin in range(0, asked.num_rows, ASKED_AT_ONCE):
+        rows = asked.slice(begin, ASKED_AT_ONCE)
+        parts = [Counts.from_bytes(raw.as_py()) for raw in rows.column("asked")]
+        found = own.find(parts) if own else ((part.n1 * 0, part.n2 * 0) for part in parts)
+        for lang, home, part, (n1, n2) in zip(rows.column("lang").to_pylist(), rows.column("home").to_pylist(), parts, found):
+            # A prefix that belongs to another range was not asked for.
+            part.n1, part.n2 = n1 * (part.n1 > 0), n2 * (part.n2 > 0)
+            out.append(to_batch({"lang": [lang], "range": [home], "counts": [part.to_bytes(share=False)]}, schema))
     return pa.Table.from_batches(out, schema)
 
 
