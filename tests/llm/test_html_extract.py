@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 
@@ -49,6 +50,49 @@ def test_min_cut_is_minimal():
         assert abs(cut_cost(cost, edges, h.min_cut(cost, edges)) - best) < 1e-9
 
 
+def chain_cost(cost, weights):
+    """The least cost of labelling a chain, by a pass over it."""
+    keep, drop = max(0, -cost[0]), max(0, cost[0])
+    for c, w in zip(cost[1:], weights, strict=True):
+        keep, drop = max(0, -c) + min(keep, drop + w), max(0, c) + min(drop, keep + w)
+    return min(keep, drop)
+
+
+def test_min_cut_of_long_chains_is_minimal():
+    rng = random.Random(5)
+    for n in (50, 2000, 80_000):
+        for spread in (0.1, 1, 4):
+            cost = [rng.gauss(0, spread) for _ in range(n)]
+            weights = [rng.choice([0.2, 0.4, 0.8]) for _ in range(n - 1)]
+            edges = [(i, i + 1, w) for i, w in enumerate(weights)]
+            assert abs(cut_cost(cost, edges, h.min_cut(cost, edges)) - chain_cost(cost, weights)) < 1e-6 * n
+
+
+def test_pages_of_many_mixed_blocks_and_deep_tags_take_linear_time():
+    begin = time.monotonic()
+    paragraph, advert = "<p>A sentence of the real text is here.</p>", "<div class=ad><p>Buy this thing today.</p></div>"
+    page = "<article>" + (paragraph + advert) * 40_000 + "</article>"
+    assert h.main_text(page, W).split("\n") == ["A sentence of the real text is here."] * 40_000
+    deep = 60_000
+    for page in ("<b>" * deep + "<p>x</p>" * deep, "<b>x" * deep + "</i>" * deep + "</b>" * deep, "<div>" * deep + "x" + "</div>" * deep,
+                 "<b><p>x" * deep, "<" * 20 * deep, "<a" * deep + ">", "<li><i>x" * deep + "</i>" * deep, "<!" * 10 * deep):
+        h.main_text(page, W)
+    assert time.monotonic() - begin < 120
+
+
+def test_cut_decides_where_blocks_alone_mislead():
+    # No semantic tags or names: a line without a sentence amid paragraphs is text, a lone paragraph amid links is not.
+    text = "<p>" + "Some words of a real text that goes on. " * 5 + "</p>"
+    line = "<div>E is m c squared</div>"
+    links = "".join(f"<div><a href={k}>Item {k}</a></div>" for k in range(4))
+    for page, blocks, changed in ((text + line + text, 3, 1), (text + line + text + line + text, 5, 2), (links + "<p>Follow us</p>" + links, 9, 1)):
+        found = h.blocks_of(page)
+        alone = [c > 0 for c in h.costs_of(found, W)]
+        labels = h.label_blocks(found, W)
+        assert len(found) == blocks and sum(a != b for a, b in zip(alone, labels, strict=True)) == changed
+        assert all(labels) if page.startswith("<p>") else not any(labels)
+
+
 def test_article_text_of_the_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r for r in h.extract(pages).collect()}

@@ -19,7 +19,6 @@ block; repeated rows get equal results.
 from __future__ import annotations
 
 import re
-from collections import deque
 from html import unescape
 
 import numpy as np
@@ -59,11 +58,13 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "bad", "good", "hidden", "article", "boiler", "silver")
+    __slots__ = ("tag", "parent", "depth", "block", "bad", "good", "hidden", "article", "boiler")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
+        # The nearest block-level element, itself included.
+        self.block: Element = self if parent is None or tag in BLOCK else parent.block
         names: set[str] = set()
         gone = False
         if attrs:
@@ -92,9 +93,10 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The visible text blocks of a page, in order."""
+    """The visible text blocks of a page, in order.  Takes time in proportion to the page, however deep its tags lie."""
     root = Element("html", "", None)
     here, out = root, []
+    opened: dict[str, list[Element]] = {}  # the elements around this place, by tag
     parts: list[str] = []
     linked = in_link = 0
 
@@ -106,7 +108,26 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(Block(text, here, linked, len(text)))
             parts, linked = [], 0
 
-    at, n = 0, len(page)
+    def leave(upto: Element):
+        nonlocal here
+        while here is not upto:
+            opened[here.tag].pop()
+            here = here.parent
+
+    def close(tag: str):
+        """Leaves an open element that the next tag implies the end of, unless a container lies between."""
+        if here.block.tag == tag and here.block.parent is not None:
+            leave(here.block.parent)
+
+    def tag_end(start: int) -> int:
+        """The next ``>``; looked for once however many tags ask for it."""
+        nonlocal gt
+        if gt < start:
+            gt = page.find(">", start)
+            gt = n if gt < 0 else gt
+        return gt
+
+    at, n, gt = 0, len(page), -1
     while at < n:
         lt = page.find("<", at)
         end = n if lt < 0 else lt
@@ -123,13 +144,12 @@ def blocks_of(page: str) -> list[Block]:
                 stop = page.find("-->", lt + 4)
                 at = n if stop < 0 else stop + 3
             else:
-                stop = page.find(">", lt)
-                at = n if stop < 0 else stop + 1
+                at = min(n, tag_end(lt) + 1)
             continue
         m = _TAG.match(page, lt)
         if not m:
-            stop = page.find(">", lt)
-            if (nxt.isalpha() or nxt == "/") and stop >= 0 and "<" not in page[lt + 1:stop]:
+            stop = tag_end(lt) if nxt.isalpha() or nxt == "/" else n
+            if stop < n and page.find("<", lt + 1, stop) < 0:
                 at = stop + 1  # a tag with broken quotes
             else:
                 if not here.hidden:
@@ -139,13 +159,12 @@ def blocks_of(page: str) -> list[Block]:
         at = m.end()
         closing, tag, attrs = m.group(1), m.group(2).lower(), m.group(3)
         if closing:
-            e = here
-            while e is not None and e.tag != tag:
-                e = e.parent
             if tag in BLOCK or tag in HIDDEN:
                 flush()
-            if e is not None and e.parent is not None and not (tag not in BLOCK and _crosses(here, e)):
-                here = e.parent
+            ends = opened.get(tag)
+            # An inline end tag must not close a block element.
+            if ends and (tag in BLOCK or here.block.depth <= ends[-1].depth):
+                leave(ends[-1].parent)
             if tag == "a":
                 in_link = 0
             continue
@@ -160,9 +179,9 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCK or tag in HIDDEN:
             flush()
             if tag in CLOSES_P:
-                here = _close(here, "p")
+                close("p")
             if tag in ("li", "td", "th", "tr", "dd", "dt", "option"):
-                here = _close(here, tag)
+                close(tag)
             in_link = 0
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -172,36 +191,15 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag == "body" or tag == "html":
             if here.tag == "head" or here.hidden:
-                here = root
+                leave(root)
         if tag == "a":
             in_link = 1
         here = Element(tag, attrs, here)
+        opened.setdefault(tag, []).append(here)
     flush()
     return out
 
 
-def _close(here: Element, tag: str) -> Element:
-    """Leaves an open element that the next tag implies the end of, unless a container lies between."""
-    e = here
-    while e is not None and e.parent is not None:
-        if e.tag == tag:
-            return e.parent
-        if e.tag in BLOCK and e.tag != tag:
-            return here
-        e = e.parent
-    return here
-
-
-def _crosses(here: Element, upto: Element) -> bool:
-    """An inline end tag must not close a block element."""
-    e = here
-    while e is not upto:
-        if e.tag in BLOCK:
-            return True
-        e = e.parent
-    return False
-
-
 FEATURES = ("bias", "article", "good", "bad", "boiler", "link_share", "all_links", "log_words", "sentence", "heading", "paragraph",
             "list_item", "outside", "many_links", "short")
 PRIOR = {"bias": -0.5, "article": 4.0, "good": 1.5, "bad": -7.0, "boiler": -7.0, "link_share": -1.0, "all_links": -1.5, "log_words": 0.3,
@@ -215,11 +213,7 @@ def prior_weights() -> np.ndarray:
 def features(b: Block) -> tuple[float, ...]:
     e, words = b.element, b.words
     share = min(1.0, b.linked / b.chars)
-    tag = e.tag
-    while tag not in BLOCK and e.parent is not None:
-        e = e.parent
-        tag = e.tag
-    e = b.element
+    tag = e.block.tag
     return (1.0, e.article, e.good, e.bad, e.boiler, share, share > 0.9, min(8, words.bit_length()) / 4, b.text[-1] in ".!?…。",
             tag in ("h1", "h2", "h3", "h4"), tag in ("p", "pre", "blockquote"), tag in ("li", "td", "dd", "dt"), not (e.article or e.good),
             share > 0.5, words < 4)
@@ -238,59 +232,87 @@ def tree_distance(a: Element, b: Element) -> int:
     return steps
 
 
+NOTHING = 1e-12
+
+
 def min_cut(cost: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Labels that minimise the sum of -cost over false... exactly: cost[i] > 0 speaks for True and is paid if i is False, -cost[i]
-    is paid if a negative one is True, and an edge's weight is paid if its ends differ.  Max-flow by shortest augmenting paths."""
+    """Labels that minimise, exactly, what they cost: cost[i] > 0 speaks for True and is paid if i is False, -cost[i]
+    is paid if a negative one is True, and an edge's weight is paid if its ends differ.
+
+    Max-flow by blocking flows: nodes are put in levels by their distance from those that can still give, and
+    one pass saturates every way that leads from level to level, so the work is a few passes over the page
+    (as many as there are lengths of ways) and not one search per way.
+    """
     n = len(cost)
     near: list[list[int]] = [[] for _ in range(n)]
     to: list[int] = []
     cap: list[float] = []
     for i, j, w in edges:
         near[i].append(len(to))
-        to.append(j)
-        cap.append(w)
-        near[j].append(len(to))
-        to.append(i)
-        cap.append(w)
+        near[j].append(len(to) + 1)
+        to += (j, i)
+        cap += (w, w)
     give = [max(0.0, c) for c in cost]
     take = [max(0.0, -c) for c in cost]
-    # Flow goes from nodes that still can give to nodes that still can take.
     while True:
-        queue = deque(i for i in range(n) if give[i] > 1e-12)
-        came: list[int] = [-2] * n
-        for i in queue:
-            came[i] = -1
-        last = -1
-        while queue:
-            i = queue.popleft()
-            if take[i] > 1e-12:
-                last = i
-                break
+        level = [0 if g > NOTHING else -1 for g in give]
+        reached = [i for i in range(n) if not level[i]]
+        sources, open_way = len(reached), False
+        for i in reached:  # grows while it is read
+            open_way |= take[i] > NOTHING
             for e in near[i]:
-                if cap[e] > 1e-12 and came[to[e]] == -2:
-                    came[to[e]] = e
-                    queue.append(to[e])
-        if last < 0:
-            return [c != -2 for c in came]  # reachable from the source: content
-        flow, i = take[last], last
-        while came[i] >= 0:
-            flow = min(flow, cap[came[i]])
-            i = to[came[i] ^ 1]
-        flow = min(flow, give[i])
-        give[i] -= flow
-        take[last] -= flow
-        i = last
-        while came[i] >= 0:
-            cap[came[i]] -= flow
-            cap[came[i] ^ 1] += flow
-            i = to[came[i] ^ 1]
+                if cap[e] > NOTHING and level[to[e]] < 0:
+                    level[to[e]] = level[i] + 1
+                    reached.append(to[e])
+        if not open_way:
+            return [x >= 0 for x in level]  # what can still be given reaches it: content
+        arc = [0] * n  # arcs before this one lead nowhere in these levels
+        for source in reached[:sources]:
+            _send(source, near, to, cap, give, take, level, arc)
+
+
+def _send(source: int, near, to, cap, give, take, level, arc) -> None:
+    """Sends what a node can give along ways from level to level until none is left."""
+    i, way = source, []
+    while give[source] > NOTHING:
+        if take[i] > NOTHING:
+            flow = min(give[source], take[i], *[cap[e] for e in way])
+            give[source] -= flow
+            take[i] -= flow
+            full = None
+            for k, e in enumerate(way):
+                cap[e] -= flow
+                cap[e ^ 1] += flow
+                if full is None and cap[e] <= NOTHING:
+                    full = k
+            if full is not None:  # go on from before the first arc that is full
+                i = to[way[full] ^ 1]
+                del way[full:]
+            continue
+        arcs, k = near[i], arc[i]
+        while k < len(arcs) and not (cap[arcs[k]] > NOTHING and level[to[arcs[k]]] == level[i] + 1):
+            k += 1
+        arc[i] = k
+        if k < len(arcs):
+            way.append(arcs[k])
+            i = to[arcs[k]]
+        elif way:
+            i = to[way.pop() ^ 1]
+            arc[i] += 1
+        else:
+            return
+
+
+def costs_of(blocks: list[Block], weights: np.ndarray) -> list[float]:
+    """What speaks for content (positive) or boilerplate in each block on its own."""
+    return (np.array([features(b) for b in blocks], dtype=float).reshape(len(blocks), len(FEATURES)) @ weights).tolist()
 
 
 def label_blocks(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     """True for content.  Equal costs make a block boilerplate."""
     if not blocks:
         return []
-    cost = (np.array([features(b) for b in blocks], dtype=float) @ weights).tolist()
+    cost = costs_of(blocks, weights)
     if min(cost) > 0 or max(cost) <= 0:
         return [c > 0 for c in cost]  # no two labels to separate
     edges = []
