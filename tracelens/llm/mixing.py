@@ -200,8 +200,10 @@ def reached(domains: list[str], targets: dict[str, float], after: list[float]) -
 
 
 def _report(domains: list[str], targets: dict[str, float], after: list[float]) -> None:
+    if not any(after):
+        return  # no tokens or no targets: nothing was fitted
     missed = [r for r in reached(domains, targets, after) if abs(r["residual"]) > TOLERANCE * max(targets.values()) / sum(targets.values())]
-    if missed and any(after):
+    if missed:
         warnings.warn(f"target shares out of reach: {missed}", stacklevel=3)
 
 
