@@ -144,3 +144,24 @@ def test_unscored_counts(spark):
     assert got == [("s", 1, 2, 1), ("s", 2, 0, 3), ("t", 3, 1, 0)]
     flat = sim.unscored_counts(scores.drop("scope"), queries.drop("scope"), units.drop("scope"), [], "q", "u")
     assert sorted(tuple(r) for r in flat.collect()) == [(1, 2, 2), (2, 0, 4), (3, 1, 3)]
+
+
+def test_term_counts_partitions_follow_the_bytes(spark):
+    """A task gets a bounded share of the texts, however many there are; repeated and null keys keep one count per term."""
+    from tracelens import session
+
+    few, many = [session.repartition_by_size(spark.range(n).select("id", F.lit("x" * 100).alias("text")), ["id"], 10_000)
+                 for n in (100, 4000)]
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert many.rdd.getNumPartitions() == -(-4000 * (100 + 16 * 2 + 16) // 10_000)
+    rows = [(i % 50 if i % 7 else None, f"aa bb{i % 3} aa") for i in range(300)]
+    want = Counter((k, t) for k, text in rows for t in text.split())
+    got = sim.term_counts(spark.createDataFrame(rows, "k int, text string"), "k").collect()
+    assert {(r.k, r.term): r.tf for r in got} == want and len(got) == len(want)
+
+
+def test_distinct_texts(spark):
+    rows = [("a", "one two"), ("a", "one two"), (None, "three"), ("b", None), ("b", None)]
+    got = sim.distinct_texts(spark.createDataFrame(rows, "blob string, text string"), "blob")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # texts are shuffled once
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", "one two"), ("b", None), (None, "three")]

@@ -192,8 +192,7 @@ def snapshot_scores(spark, sf_dir):
     of paths or snapshots holding it; scores are joined back to paths.
     """
     manifest = _snapshot_manifest(spark, sf_dir)
-    blobs = manifest.select("blob_sha", "text").dropDuplicates(["blob_sha"])
-    blob_tf = sim.term_counts(blobs, "blob_sha")
+    blob_tf = sim.term_counts(sim.distinct_texts(manifest, "blob_sha"), "blob_sha", partition=False)
     q_tf = sim.term_counts(_issues(spark, sf_dir), "item_id", scope=["snapshot"])
     return sim.snapshot_top_k(q_tf, blob_tf, manifest, ["snapshot"], "item_id", k=3).select(
         "snapshot", "item_id", "path", "score", "rank")
@@ -215,10 +214,10 @@ SELECT snapshot, item_id, path, score, rank FROM r WHERE rank <= {FILLED_K}
 def snapshot_topk_filled(spark, sf_dir):
     """The list of each issue up to k files of its snapshot, those without a shared term at score 0."""
     manifest = _snapshot_manifest(spark, sf_dir)
-    blobs = manifest.select("blob_sha", "text").dropDuplicates(["blob_sha"])
+    blob_tf = sim.term_counts(sim.distinct_texts(manifest, "blob_sha"), "blob_sha", partition=False)
     issues = _issues(spark, sf_dir)
     q_tf = sim.term_counts(issues, "item_id", scope=["snapshot"])
-    ranked = sim.snapshot_top_k(q_tf, sim.term_counts(blobs, "blob_sha"), manifest, ["snapshot"], "item_id", k=FILLED_K)
+    ranked = sim.snapshot_top_k(q_tf, blob_tf, manifest, ["snapshot"], "item_id", k=FILLED_K)
     return sim.fill_top_k(materialize(ranked, "ranked"), issues, manifest, ["snapshot"], "item_id", FILLED_K).select(
         "snapshot", "item_id", "path", "score", "rank")
 
