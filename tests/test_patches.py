@@ -56,3 +56,10 @@ def test_long_patch(spark):
     df = spark.createDataFrame([(1, patch)], "id int, patch string")
     got = patch_lines(df).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("old_line").alias("o"), F.max("new_line").alias("e")).collect()
     assert {tuple(r) for r in got} == {("removed", n, n, None), ("added", n, None, n)}
+
+
+def test_lines_are_computed_once(spark):
+    """The planner must not repeat the parsing in a filter before the explode."""
+    df = spark.createDataFrame([(1, "@@ -1 +1 @@\n-a\n+b")], "id int, patch string").repartition(2)
+    plan = patch_lines(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?=@@") == 1
