@@ -91,3 +91,22 @@ def test_rejects_of_deep_nesting_and_other_encodings(spark):
     assert {r.blob_sha for r in cu.parse_errors(df).collect()} == {"deep", "null"}
     assert [r.name for r in cu.extract_functions(df).collect()] == ["f"]
     assert {r.blob_sha for r in cu.code_text(df).where("text is not null").collect()} >= {"good"}
+
+
+def test_workers_hold_bounded_results(spark):
+    """Results are handed on by size, and batches hold few whole sources."""
+    import pandas as pd
+
+    src = "def f():\n    return '" + "x" * 300_000 + "'\n"
+    frame = pd.DataFrame({"blob_sha": [str(i) for i in range(12)], "source": [src] * 12})
+    for batches in (cu._parse_batches, cu._pieces_batches):
+        out = list(batches(iter([frame])))
+        assert len(out) == 3 and sorted(b for x in out for b in x["blob_sha"]) == sorted(frame["blob_sha"])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        cu.extract_functions(_src(spark, [("a", GOLDEN)]))
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)

@@ -8,10 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import broadcast_limit, ensure_checkpoint_dir, materialize, ship_package  # noqa: F401
-
-ARROW_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
-TEXT_ROWS = 1000
+from ..session import ARROW_ROWS_KEY, TEXT_ROWS, bound_batches, broadcast_limit, ensure_checkpoint_dir, materialize, ship_package  # noqa: F401
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,16 +21,6 @@ def in_sample(name: str, key: str | Column, share: float | Column) -> Column:
     return unit < share
 
 
-def bound_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Before Python work on texts: executors get the package, and Arrow batches fewer rows.
-
-    Whole texts are wide, so a worker should hold few of them at a time.
-    """
-    ship_package(spark)
-    if int(spark.conf.get(ARROW_ROWS_KEY)) > rows:
-        spark.conf.set(ARROW_ROWS_KEY, str(rows))
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """``mapInArrow`` for a function that turns one batch into a dict of columns.
 
