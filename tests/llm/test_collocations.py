@@ -124,3 +124,26 @@ def test_odd_rows(spark):
     rows = [(None, None), ("en", ""), ("en", "...,,,"), ("en", long), ("en", long), ("fr", "x" * 300_000 + " y"), (None, "a b " * 10), ("de", "\x00 \x01 " * 12)]
     assert {tuple(r) for r in co.top_collocations(_table(spark, rows)).collect()} == _brute(rows)
     assert co.top_collocations(_table(spark, rows).limit(0)).count() == 0
+
+
+def test_shards_are_cut_into_few_pieces(spark, monkeypatch):
+    """Many ranges: a shard is cut at bundles of them, the united ranges are those of single cuts, and units join what is left."""
+    options = {"shard_bytes": 300, "sample_every": 2, "range_arcs": 8}
+    rows = _rows(3) + _rows(4)
+    shards = co.count_shards(_table(spark, rows), shard_bytes=300, sample_every=2)
+    bounds = co.range_bounds(shards, 2, 8)
+    held = []
+    for most in (1, 16):
+        monkeypatch.setattr(co, "MOST_BUNDLED", most)
+        united = co.unite_ranges(shards, bounds, 10, 8)
+        found = {(r.lang, r.range): _as_dict(co.Counts.from_bytes(r.counts)) for r in united.collect()}
+        held.append({k: v for k, v in found.items() if v})
+    sizes = co.bundle_sizes(bounds)
+    assert max(sizes.values()) > 1 and held[0] == held[1]
+    coarse = {lang: b[sizes[lang] - 1::sizes[lang]] for lang, b in bounds.items()}
+    fine, few = [shards.select("lang", "counts").mapInArrow(co._Split(b), co.RANGES).count() for b in (bounds, coarse)]
+    assert 2 * few < fine
+    units, starts = co.units_of(united, bounds, 20)
+    assert all(len(starts.get(lang, [])) < len(b) for lang, b in bounds.items())
+    got = [tuple(r) for r in co.top_collocations(_table(spark, rows), **options).collect()]
+    assert len(got) == len(set(got)) and set(got) == _brute(rows)
