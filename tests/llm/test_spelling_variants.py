@@ -113,3 +113,15 @@ def test_batches_keep_words_apart():
     total = defaultdict(int)
     sv._CountWords(6)._add(total, 1, "apples apples pears")
     assert sum(total.values()) == 2
+
+
+def test_no_vocabulary_is_broadcast(spark):
+    """Small files may hold many words: no join gathers them in the driver."""
+    docs = spark.createDataFrame([("w", "s", i, "colour colours color flavour flavours") for i in range(9)], SCHEMA)
+    words = sv.materialize(sv.count_words(docs), "words")
+    for table in (sv.near_pairs(words), sv.group_variants(docs)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    rows = sv.near_pairs(words)
+    rows.collect()
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()

@@ -17,6 +17,9 @@ have their own signatures, which carry the length.  A signature that more than
 ``refine_above`` words share is not compared pair by pair: inside it words meet
 on the word without its i-th letter instead, which only near words share.
 
+Every join of tables that grow with the vocabulary is a sort-merge join: a small
+file may hold many words, and a broadcast would gather them in the driver.
+
 Defined cases: null and empty texts have no words; a null document id counts as
 an empty text in the checksum; repeated rows count again; an empty table gives no
 words; columns other than the two named are ignored.
@@ -201,7 +204,7 @@ def near_pairs(words: DataFrame, parts: dict[int, tuple[int, int]] = PARTS, refi
     rows = map_batches(words.select("word", "n"), _Signatures(parts), "word string, n bigint, key bigint, side int")
     sized = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("sharing"), F.min("side").alias("lo"), F.max("side").alias("hi"))
                       # a signature of the lone shorter or the lone longer words joins nothing
-                      .where((F.col("sharing") > 1) & ((F.col("hi") == SAME) | (F.col("lo") != F.col("hi")))).drop("lo", "hi"), "key")
+                      .where((F.col("sharing") > 1) & ((F.col("hi") == SAME) | (F.col("lo") != F.col("hi")))).drop("lo", "hi").hint("merge"), "key")
     sized = materialize(sized, "signatures")
     few = sized.where(F.col("sharing") <= refine_above).drop("sharing")
     many = sized.where(F.col("sharing") > refine_above).drop("sharing")
@@ -221,7 +224,7 @@ def follow(forms: DataFrame) -> DataFrame:
     steps = materialize(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         further = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        after = materialize(steps.join(further, "root", "left").select(
+        after = materialize(steps.join(further.hint("merge"), "root", "left").select(
             "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         if after.where("moved").isEmpty():
             return after.select("word", "root")
@@ -244,6 +247,6 @@ def group_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = materialize(near.select("word", "n_near", F.when(taken, F.col("best.form")).alias("form"),
                                    F.when(taken, -F.col("best.less")).alias("form_n")), "near-words")
     roots = follow(near.where(F.col("form").isNotNull()))
-    return (words.join(near, "word", "left").join(roots, "word", "left")
+    return (words.join(near.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left")
                  .select("word", "form", F.coalesce("root", "word").alias("root"), "n",
                          F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), "form_n"))
