@@ -165,3 +165,27 @@ def test_lexical_expansions(spark):
     assert out == {1: "A being alive, my DOG and CATS; being alive", 2: "", 3: ""}
     none = tp.lexical_expansions(words, senses.where("false"), hypernyms, lemmas)
     assert none.count() == 0
+
+
+def test_corpus_terms_count_without_shuffling_texts(spark, tmp_dir):
+    """Terms of all rows, also of repeated, null and textless ones; only counted terms are shuffled."""
+    from tracelens.plans import queries_text as qt
+
+    rows = [(1, "Aa bb aa"), (1, "aa"), (None, "bb cc"), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_dir}/documents.parquet")
+    terms = qt._corpus_terms(spark, tmp_dir)
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(doc_id" not in plan
+    assert {(r.term, r.freq) for r in terms.collect()} == {("aa", 3), ("bb", 2), ("cc", 1)}
+
+
+def test_pieces_are_partitioned_by_bytes(spark, monkeypatch):
+    from tracelens import session
+
+    seen = []
+    plain = session.repartition_by_size
+    monkeypatch.setattr(tp, "repartition_by_size", lambda df, keys: seen.append(plain(df, keys, 5_000)) or seen[-1])
+    texts = spark.range(500).select("id", F.lit("The  buton " + "x " * 40).alias("text"))
+    fixed = tp.correct_texts(texts, "id", spark.createDataFrame([("button", 3), ("the", 9)], "term string, freq long"))
+    assert {r.text for r in fixed.collect()} == {"The  button " + "x " * 40}
+    assert seen[0].rdd.getNumPartitions() > 8

@@ -184,6 +184,8 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
                                                 F.lit("1").alias("version"), "vector", "text")
     else:
         texts = cu.code_text(todo)
+        if acronyms is not None or english_words is not None or spelling is not None:
+            texts = materialize(texts, "code-text")  # read several times below
         if acronyms is not None or english_words is not None:
             texts = tp.replace_words(texts, "blob_sha", acronyms=acronyms, words=english_words)
         if spelling is not None:
@@ -203,7 +205,7 @@ def score_issues(spark: SparkSession, root: str, sources: DataFrame, k: int = 10
         # Postings per distinct content id, shared by every snapshot holding it.
         texts = feats.select("blob_sha", "text").join(
             manifest.select("blob_sha").distinct(), "blob_sha", "left_semi")
-        blob_tf = sim.term_counts(texts.dropDuplicates(["blob_sha"]), "blob_sha")
+        blob_tf = sim.term_counts(sim.distinct_texts(texts, "blob_sha"), "blob_sha", partition=False)
         q_tf = sim.term_counts(queries, "issue_number", scope=scope)
         ranked = sim.snapshot_top_k(q_tf, blob_tf, manifest, scope, "issue_number", k, digits=None)
         if k is not None:
