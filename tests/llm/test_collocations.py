@@ -1,10 +1,13 @@
 """Collocations: transducers against plain counters, the operator against plain Python, odd rows."""
 
+import glob
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tracelens.llm import collocations as co
@@ -147,3 +150,68 @@ def test_shards_are_cut_into_few_pieces(spark, monkeypatch):
     assert all(len(starts.get(lang, [])) < len(b) for lang, b in bounds.items())
     got = [tuple(r) for r in co.top_collocations(_table(spark, rows), **options).collect()]
     assert len(got) == len(set(got)) and set(got) == _brute(rows)
+
+
+def _alike(n):
+    """Shards of one language: the same vocabulary in other orders."""
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    maker = co._Shards(1 << 20, 64)
+    rows = [maker._row("en", [" ".join(r.choices(vocab, k=600)).encode()]) for _ in range(n)]
+    return [co.Counts.from_bytes(row.column("counts")[0].as_py()) for row in rows], [s for row in rows for s in row.column("samples")[0].as_py()]
+
+
+def test_ranges_stay_even_with_many_like_shards():
+    """Samples at the same places of every shard left ranges between them that grew with the number of shards."""
+    shards, samples = _alike(120)
+    bounds = sorted({tuple((s.split("\t") + ["", ""])[:3]) for s in sorted(samples)[::30]})
+    arcs = Counter()
+    for shard in shards:
+        for number, part in co.split_at(shard, bounds):
+            arcs[number] += sum(len(n) for n in part.weights())
+    assert len(arcs) > 50 and max(arcs.values()) < 2 * 30 * 64
+
+
+def test_small_shards_are_sampled():
+    """Shards with fewer phrases than lie between samples are sampled in their share."""
+    maker = co._Shards(1 << 20, 4096)
+    rows = [maker._row("en", [(" ".join(f"w{i * 997 + j}" for j in range(200))).encode()]) for i in range(200)]
+    n = sum(len(row.column("samples")[0]) for row in rows)
+    assert 10 < n < 60                                     # 119,400 phrases
+
+
+def test_union_takes_a_bundle_batch_by_batch():
+    """A bundle's pieces are never asked for all at once, and results leave range by range."""
+    shards, samples = _alike(30)
+    bounds = sorted({tuple((s.split("\t") + ["", ""])[:3]) for s in sorted(samples)[::20]})[:3]
+    raws = [shard.to_bytes(False) for shard in shards]
+    unite = co._Unite({"en": bounds}, {"en": 4}, 2, 3000)
+    alive, most = [], 0
+
+    def batches():
+        nonlocal most
+        for raw in raws:
+            alive.append(len(raw))
+            most = max(most, len(alive))
+            yield pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([0], pa.int32()), pa.array([raw], pa.binary())], schema=co.arrow_schema(co.RANGES))
+            alive.pop()
+
+    out = list(unite(batches()))
+    assert most == 1 and [row.column("range")[0].as_py() for row in out] == [0, 1, 2, 3] and all(row.num_rows == 1 for row in out)
+    total = Counter()
+    for shard in shards:
+        total.update(_as_dict(shard))
+    assert {k: v for row in out for k, v in _as_dict(co.Counts.from_bytes(row.column("counts")[0].as_py())).items()} == {k: v for k, v in total.items() if v >= 2}
+
+
+def test_transducers_are_written_in_small_pages(spark):
+    """A few large rows make row groups and pages of their own, and no codec holds them."""
+    r = random.Random(2)
+    rows = [("en", 1, 1, [], r.randbytes(3 << 20)) for _ in range(8)]
+    written = co.written(spark.createDataFrame(rows, co.SHARDS).coalesce(1), "pages")
+    assert {(x.lang, bytes(x.counts)) for x in written.collect()} == {("en", x[4]) for x in rows}
+    path, = glob.glob(written.inputFiles()[0].removeprefix("file://"))
+    meta = pq.ParquetFile(path).metadata
+    groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
+    assert len(groups) > 1 and all(g.num_rows <= 4 for g in groups)
+    assert {g.column(i).compression for g in groups for i in range(g.num_columns)} == {"UNCOMPRESSED"}
